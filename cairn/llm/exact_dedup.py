@@ -6,7 +6,7 @@ Nulls count as empty text. Of equal texts the row with the largest id stays; nul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.spark_io import bounded, fresh_name, saved, text_or_empty
@@ -38,18 +38,14 @@ def _refined(df: DataFrame, text_col: str, prefix_chars: int) -> tuple[DataFrame
 def mark_exact_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: dict[str, Column] | None = None, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per row of df: its id, keep_id, group_size, kept, full_hash (null if it wasn't needed), and carry's columns."""
     rows, key, hit = _refined(df, text_col, prefix_chars)
-    narrow = saved(rows.select(F.col(id_col).alias("id"), F.col(key).alias("full_hash"), *[c.alias(n) for n, c in (carry or {}).items()]))
+    # A tag tells repeated rows apart; it is fixed once the rows are saved.
+    narrow = saved(rows.select(F.col(id_col).alias("id"), F.col(key).alias("full_hash"), F.monotonically_increasing_id().alias("tag"), *[c.alias(n) for n, c in (carry or {}).items()]))
     extra = [F.col(n) for n in carry or {}]
     single = narrow.filter("full_hash is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "full_hash", *extra)
     many = narrow.filter("full_hash is not null")
-    groups = many.groupBy("full_hash").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    many = many.join(groups, "full_hash").withColumn("top", F.col("id").eqNullSafe(F.col("keep_id")))
-    # Of repeated rows with the largest id one is kept; rows with other ids need no place in that window.
-    first = Window.partitionBy("full_hash").orderBy(F.lit(1))
-    kept = many.filter("top").withColumn("kept", F.row_number().over(first) == 1)
-    shown = [F.col(c) for c in ("id", "keep_id", "group_size", "kept", "full_hash")] + extra
-    out = single.unionByName(kept.select(*shown)).unionByName(many.filter(~F.col("top")).withColumn("kept", F.lit(False)).select(*shown))
-    return out.withColumnRenamed("id", id_col)
+    groups = many.groupBy("full_hash").agg(F.max(F.struct("id", "tag")).alias("top"), F.count("*").alias("group_size"))
+    many = many.join(groups, "full_hash").select("id", F.col("top.id").alias("keep_id"), "group_size", (F.col("tag") == F.col("top.tag")).alias("kept"), "full_hash", *extra)
+    return single.unionByName(many).withColumnRenamed("id", id_col)
 
 
 def drop_exact_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
