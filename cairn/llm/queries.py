@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, exact_dedup, mixing
+from cairn.llm import chat, exact_dedup, mixing, ngram_join, quality, toxicity
 from cairn.llm.spark_io import table, text_or_empty
 
 
@@ -22,6 +22,32 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def fold(column: Column, parts: int) -> Column:
+    """crc32 of an id as text, modulo parts."""
+    return F.crc32(column.cast("string").cast("binary")) % parts
+
+
+def _held_out(scores: DataFrame, parts: int, rest: int, least: float) -> DataFrame:
+    held = F.coalesce(fold(F.col("doc_id"), parts) == rest, F.lit(False))
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    trees = quality.train_quality(docs, labels, fold(F.col("doc_id"), 3) != 1)
+    return _held_out(quality.score_quality(docs, trees), 3, 1, 0.5)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.train_toxicity(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    return _held_out(toxicity.score_toxicity(docs, model), 4, 2, 0.3)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
@@ -46,5 +72,5 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY blk) - 1 AS par
 FROM parts
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op8_source_mix": op8_source_mix, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op8_source_mix": op8_source_mix, "op10_chat_format": op10_chat_format}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_chat_format": OP10_SQL}
