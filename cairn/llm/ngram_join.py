@@ -271,6 +271,13 @@ def ngram_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     return full.unionByName(empty).withColumnRenamed("id", id_col)
 
 
+def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """df's rows and columns: of each component the rows with the smallest id stay, and rows with a null id."""
+    found = ngram_components(df, text_col, id_col, n, num, den)
+    gone = saved(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct())
+    return df.join(bounded(gone), F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+
+
 def _links(docs: DataFrame, member: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) between linked classes: a spanning forest of each pair of blocks."""
     # Bands of sizes: linked sets are in one band or in neighbouring ones, as tops grow by den / num.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, exact_dedup, mixing, ngram_join, quality, toxicity
+from cairn.llm import chat, decontaminate, exact_dedup, mixing, ngram_join, quality, toxicity
 from cairn.llm.spark_io import table, text_or_empty
 
 
@@ -52,6 +52,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.contaminated(docs, benchmark)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.maximal_conversations(table(spark, sf_dir, "conversations"))
     return chat.render_chat(turns).select(F.col("conv").alias("conv_id"), "part", "n_parts", "n_turns", "text")
@@ -72,5 +77,5 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY blk) - 1 AS par
 FROM parts
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op8_source_mix": op8_source_mix, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_chat_format": OP10_SQL}

@@ -23,7 +23,9 @@ from cairn.llm.words import U64, buffers, letters_digits, lower_ascii, mix64, sl
 
 #: Labelled rows that are learned from: those of either class with the smallest hashes of their ids.
 MAX_ROWS = 6_000
-BUCKETS, DIM, STEPS, RATE, DECAY = 1 << 17, 8, 120, 0.05, 1e-7
+BUCKETS, DIM, STEPS, RATE = 1 << 17, 8, 300, 0.3
+#: Loss at which fitting ends: what few rows can teach is learned soon.
+ENOUGH = 0.02
 GRAMS = (3, 4, 5)
 #: Words whose score a task remembers.
 CACHE = 400_000
@@ -106,54 +108,54 @@ class SubwordModel:
         return np.concatenate(out) if out else np.empty(0)
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], word_first: np.ndarray, word_bucket: np.ndarray, y: np.ndarray) -> SubwordModel:
-    """Embeddings and softmax by full-batch Adam. docs: (word indices, counts) of each; word_*: the words' n-grams."""
-    share = float(np.clip(y.mean(), 1e-4, 1 - 1e-4)) if len(y) else 1e-4
-    bias = np.log(share / (1 - share))
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], word_first: np.ndarray, word_bucket: np.ndarray, y: np.ndarray, share: float) -> SubwordModel:
+    """Embeddings and softmax by gradient steps of fixed length with momentum, over all rows at once.
+
+    docs: (word indices, counts) of each row; word_*: the words' n-grams; share: of label 1 among all that may be learned.
+    """
+    share = float(np.clip(share, 1e-4, 1 - 1e-4))
+    prior = float(np.log(share / (1 - share)))
     if len(np.unique(y)) < 2:
-        return SubwordModel(np.zeros(BUCKETS), float(bias))
+        return SubwordModel(np.zeros(BUCKETS), prior)
     # Only buckets that occur are trained.
     used, gram = np.unique(word_bucket, return_inverse=True)
-    n_words, n_docs = len(word_first) - 1, len(docs)
-    gram_word = np.repeat(np.arange(n_words), np.diff(word_first))
-    gram_weight = (1 / np.diff(word_first))[gram_word].astype(np.float32)
-    doc = np.repeat(np.arange(n_docs), [len(w) for w, _ in docs])
-    word = np.concatenate([w for w, _ in docs])
+    gram, n_words, n_docs = gram.astype(np.int32), len(word_first) - 1, len(docs)
+    gram_word = np.repeat(np.arange(n_words, dtype=np.int32), np.diff(word_first))
+    gram_weight = (1 / np.diff(word_first)).astype(np.float32)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), [len(w) for w, _ in docs])
+    word = np.concatenate([w for w, _ in docs]).astype(np.int32)
     count = np.concatenate([c for _, c in docs]).astype(np.float32)
     weight = count / np.maximum(np.bincount(doc, count, n_docs), 1)[doc].astype(np.float32)
     rng = np.random.default_rng(5)
-    e = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
-    w = rng.normal(0, 1.0, (2, DIM)).astype(np.float32)
-    b = np.array([0.0, bias], np.float32)
-    # Classes weigh alike while training; the bias is put right below.
-    row = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, b)]
-    b[1] = 0.0
-    for t in range(1, STEPS + 1):
+    e, w, b = rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 1.0, (2, DIM)), 0.0
+    move_e, move_w, move_b = np.zeros_like(e), np.zeros_like(w), 0.0
+    row = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # the classes weigh alike; the prior comes last
+    for _ in range(STEPS):
         side = w[1] - w[0]
-        word_score = np.bincount(gram_word, (e @ side)[gram] * gram_weight, n_words)
-        logit = np.bincount(doc, word_score[word] * weight, n_docs) + (b[1] - b[0])
+        word_score = np.bincount(gram_word, (e @ side)[gram], n_words) * gram_weight
+        logit = np.bincount(doc, word_score[word] * weight, n_docs) + b
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        if -(row * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum() < ENOUGH:
+            break
         d = (p - y) * row
-        d_word = np.bincount(word, d[doc] * weight, n_words)
-        d_gram = np.bincount(gram, d_word[gram_word] * gram_weight, len(used)).astype(np.float32)
-        ge = np.outer(d_gram, side) + DECAY * e
-        gw = (d_gram @ e).astype(np.float32)
-        grads = ge, np.stack([-gw, gw]), np.array([-d.sum(), d.sum()], np.float32)
-        for param, g, (m, v), rate in zip((e, w, b), grads, moments, (RATE, RATE, RATE)):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.99
-            v += 0.01 * g * g
-            param -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        d_word = np.bincount(word, d[doc] * weight, n_words) * gram_weight
+        d_gram = np.bincount(gram, d_word[gram_word], len(used))
+        d_gram /= np.linalg.norm(d_gram) + 1e-12
+        side_step = d_gram @ e
+        move_e = 0.9 * move_e - RATE * np.outer(d_gram, side)
+        move_w = 0.9 * move_w - 1e-4 * np.stack([-side_step, side_step])
+        move_b = 0.9 * move_b - d.sum()
+        e, w, b = e + move_e, w + move_w, b + move_b
     score = np.zeros(BUCKETS)
     score[used] = e @ (w[1] - w[0])
-    return SubwordModel(score, float(b[1] - b[0]))
+    return SubwordModel(score, b + prior)
 
 
 def train_toxicity(df: DataFrame, labels: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> SubwordModel:
     """A model fitted on labelled rows of df (joined by id) for which learn, an expression over the id, is true."""
     good = labels.filter(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    counts = {r["label"]: r["count"] for r in good.groupBy("label").count().collect()}
+    share = counts.get(1, 0) / max(sum(counts.values()), 1)
     one, two = (good.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(max_rows // 2) for k in (0, 1))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -173,7 +175,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, learn: Column, text_col: st
     flat = lists.flatten() if len(rows) else pa.array([], pa.binary())
     codes = flat.dictionary_encode() if len(flat) else None
     if codes is None:
-        return fit([], np.zeros(1, np.int64), np.empty(0, np.int64), y)
+        return fit([], np.zeros(1, np.int64), np.empty(0, np.int64), y, share)
     vocab = codes.dictionary.to_pylist()
     end = np.cumsum([len(v) for v in vocab])
     start = end - np.array([len(v) for v in vocab])
@@ -181,7 +183,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, learn: Column, text_col: st
     first, bucket = word_grams(data, start, end)
     index, counts = codes.indices.to_numpy(), rows["counts"].combine_chunks().flatten().to_numpy()
     cut = np.cumsum([len(x) for x in lists])[:-1]
-    return fit(list(zip(np.split(index, cut), np.split(counts, cut))), first, bucket, y)
+    return fit(list(zip(np.split(index, cut), np.split(counts, cut))), first, bucket, y, share)
 
 
 def score_toxicity(df: DataFrame, model: SubwordModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
