@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, decontaminate, exact_dedup, mixing, ngram_join, quality, toxicity
-from cairn.llm.spark_io import table, text_or_empty
+from cairn.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, suffix_tree, toxicity, warc
+from cairn.llm.spark_io import saved, table, text_or_empty, work_path
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,38 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score_toxicity(docs, model), 4, 2, 0.3)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    records = saved(warc.read_warc(spark, path))
+    # A revisit's payload is that of the response it refers to.
+    first = records.filter("kind = 'response'").groupBy(F.col("page").alias("refers"), "digest").agg(F.max("length").alias("of"))
+    out = records.join(first, ["refers", "digest"], "left")
+    size = F.when(F.col("kind") == "revisit", F.col("of")).otherwise(F.col("length"))
+    return out.select(F.col("page").alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
+
+
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = suffix_tree.score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 1)
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["first_word"])
+
+    def labels(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    nearest = F.array_min(F.transform("spans", lambda s: s["edits"] / F.length(s["notice"])))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"), F.coalesce(1 - nearest, F.lit(0.0)).alias("score"),
+    )
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
@@ -77,5 +109,5 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY blk) - 1 AS par
 FROM parts
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_suffix_tree": op6_suffix_tree, "op7_licenses": op7_licenses, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_chat_format": OP10_SQL}
