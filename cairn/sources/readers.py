@@ -15,10 +15,10 @@ from cairn.operators.catalog import as_items
 
 #: What a position of a raw signal may hold; numbers are read as text, as exports write either.
 _TEXT = "string"
-RECORD = "struct<latitudeE7:string,longitudeE7:string,timestamp:string,timestampMs:string,timestampMS:string,accuracy:string,altitude:string,verticalAccuracy:string,velocity:string,heading:string,source:string,deviceTag:string,platformType:string,formFactor:string,osLevel:string,serverTimestamp:string,deviceTimestamp:string,batteryCharging:string,activity:string>"
+RECORD = "struct<latitudeE7:string,longitudeE7:string,timestamp:string,timestampMs:string,timestamp_upper_ms:string,accuracy:string,altitude:string,verticalAccuracy:string,velocity:string,heading:string,source:string,deviceTag:string,platformType:string,formFactor:string,osLevel:string,serverTimestamp:string,deviceTimestamp:string,batteryCharging:string,activity:string>"
 RECORD_METADATA = ("deviceTag", "platformType", "formFactor", "osLevel", "serverTimestamp", "deviceTimestamp", "batteryCharging", "activity")
 SEGMENT = "struct<startTime:string,endTime:string,timelinePath:array<struct<point:string,time:string>>,visit:struct<hierarchyLevel:string,probability:string,topCandidate:struct<placeId:string,semanticType:string,probability:string,placeLocation:string>>,activity:struct<distanceMeters:string,probability:string,start:string,end:string,topCandidate:struct<type:string,probability:string>>>"
-SIGNAL = "struct<position:struct<LatLng:string,latLng:string,timestamp:string,source:string,accuracyMeters:string,accuracy:string,altitudeMeters:string,altitude:string,speedMetersPerSecond:string,speed:string,headingDegrees:string,heading:string>,activityRecord:struct<timestamp:string,probableActivities:array<struct<type:string,confidence:string>>>,wifiScan:string>"
+SIGNAL = "struct<position:struct<LatLng:string,timestamp:string,source:string,accuracyMeters:string,accuracy:string,altitudeMeters:string,altitude:string,speedMetersPerSecond:string,speed:string,headingDegrees:string,heading:string>,activityRecord:struct<timestamp:string,probableActivities:array<struct<type:string,confidence:string>>>,wifiScan:string>"
 PLACE = "struct<placeLocation:string,placeId:string,label:string>"
 
 
@@ -79,7 +79,7 @@ def read_gpx(files: DataFrame, source_id: str, label: str | None = None) -> Data
 def _record_points(rows: DataFrame) -> DataFrame:
     """rows (path, index, r: RECORD) with the fields of an item, and ok."""
     lat, lon = (finite(F.col(f"r.{c}E7")) / 1e7 for c in ("latitude", "longitude"))
-    ms = F.coalesce(iso_to_ms(F.col("r.timestamp")), *[finite(F.col(f"r.{c}")).cast("long") for c in ("timestampMs", "timestampMS")])
+    ms = F.coalesce(iso_to_ms(F.col("r.timestamp")), *[finite(F.col(f"r.{c}")).cast("long") for c in ("timestampMs", "timestamp_upper_ms")])
     meta = F.map_filter(F.create_map(*[x for k in RECORD_METADATA for x in (F.lit(k), F.col(f"r.{k}"))]), lambda _, v: v.isNotNull())
     out = rows.select(
         "path", "index", lat.alias("latitude"), lon.alias("longitude"), ms.alias("timestamp_ms"), non_empty(F.col("r.source")).alias("source_type"), meta.alias("metadata"),
@@ -88,8 +88,13 @@ def _record_points(rows: DataFrame) -> DataFrame:
     return out.withColumn("ok", valid_coordinate("latitude", "longitude") & F.col("timestamp_ms").isNotNull())
 
 
+def _one_case(text: Column) -> Column:
+    """Column names don't tell timestampMS from timestampMs, so the former is renamed."""
+    return F.regexp_replace(text, '"timestampMS"', '"timestamp_upper_ms"')
+
+
 def record_points(files: DataFrame) -> DataFrame:
-    parsed = files.select("path", F.from_json("content", f"struct<locations:array<{RECORD}>>").alias("j"))
+    parsed = files.select("path", F.from_json(_one_case(F.col("content")), f"struct<locations:array<{RECORD}>>").alias("j"))
     return _record_points(parsed.select("path", F.posexplode("j.locations").alias("index", "r")).withColumn("index", F.col("index") + 1))
 
 
@@ -108,7 +113,7 @@ def read_records_objects(spark: SparkSession, paths: str | list[str], source_id:
     Each piece is a location's fields from its latitude on; fields that stand before it aren't seen, and there is no index.
     """
     text = spark.read.option("lineSep", '"latitudeE7"').text(paths).select(F.col("_metadata.file_path").alias("path"), F.concat(F.lit('{"latitudeE7"'), "value").alias("v"))
-    one = F.from_json(F.regexp_replace("v", r"(?s),?\s*\{?\s*$", ""), RECORD)
+    one = F.from_json(F.regexp_replace(_one_case(F.col("v")), r"(?s),?\s*\{?\s*$", ""), RECORD)
     return _record_items(_record_points(text.select("path", F.lit(None).cast("long").alias("index"), one.alias("r"))), source_id, label)
 
 
@@ -122,7 +127,8 @@ def _pair(text: Column) -> Column:
 def read_timeline(files: DataFrame, source_id: str, label: str | None = None) -> DataFrame:
     """Items of a timeline export: raw positions and activity samples, then segments' path points, visits and activities, then places."""
     shape = f"struct<semanticSegments:array<{SEGMENT}>,rawSignals:array<{SIGNAL}>,userLocationProfile:struct<frequentPlaces:array<{PLACE}>>>"
-    j = files.select("path", F.from_json("content", shape).alias("j"))
+    one_case = F.regexp_replace("content", r'"latLng"(\s*:\s*)', '"LatLng"$1')
+    j = files.select("path", F.from_json(one_case, shape).alias("j"))
     signal = j.select("path", F.posexplode("j.rawSignals").alias("index", "s"))
     segment = j.select("path", F.posexplode("j.semanticSegments").alias("index", "s"))
     place = j.select("path", F.posexplode("j.userLocationProfile.frequentPlaces").alias("index", "s"))
@@ -137,7 +143,7 @@ def read_timeline(files: DataFrame, source_id: str, label: str | None = None) ->
         pairs = [x for k, v in values.items() for x in (F.lit(k), v.cast("string"))]
         return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
-    raw = at(signal, _pair(F.coalesce("s.position.LatLng", "s.position.latLng"))).withColumn("timestamp_ms", iso_to_ms(F.col("s.position.timestamp"))).filter("timestamp_ms is not null")
+    raw = at(signal, _pair(F.col("s.position.LatLng"))).withColumn("timestamp_ms", iso_to_ms(F.col("s.position.timestamp"))).filter("timestamp_ms is not null")
     raw = _with(
         raw, kind=F.lit("geo_point"), media_id=geo_point_hash(F.col("latitude"), F.col("longitude"), F.col("timestamp_ms")), source_dataset=F.lit("google_timeline_raw_signals"), source_type=non_empty(F.col("s.position.source")),
         accuracy_m=either("accuracyMeters", "accuracy"), altitude_m=either("altitudeMeters", "altitude"), velocity_mps=either("speedMetersPerSecond", "speed"), heading_deg=either("headingDegrees", "heading"),
