@@ -135,10 +135,10 @@ def mix_plan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sour
 
 def apply_mix(df: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """df's rows, each as often as its plan says, with copy_no from 1. Rows that repeat an id share that id's copies in any order."""
-    row, n = fresh_name(df, "row"), "copies"
+    row = fresh_name(df, "row")
     by_id = plan.groupBy(F.col(id_col).alias("plan_id")).agg(F.array_sort(F.collect_list("copies")).alias("plan_copies"))
     numbered = df.withColumn(row, F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1))))
     met = numbered.join(by_id, numbered[id_col].eqNullSafe(by_id["plan_id"]))
-    met = met.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.element_at("plan_copies", F.col(row)).cast("int"))))
-    del n
+    copies = F.element_at("plan_copies", F.col(row)).cast("int")
+    met = met.withColumn("copy_no", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
     return met.select(*[df[c] for c in df.columns], "copy_no")
