@@ -1,7 +1,9 @@
 """N-gram Jaccard self-join with vertical partitioning of the global n-gram order.
 
-A document is the set of its n-grams, as 64-bit hashes, and the global order is that of the hashes. For documents of like
-size the order is cut into m fragments. Two sets with a Jaccard similarity of p/q or more differ in at most
+A document is the set of its n-grams, as 64-bit hashes, and the global order is that of the hashes. First the order is cut
+into fragments of bounded size, in each of which the n-grams that a document has in common with any other one are counted.
+The counts are summed per document; linked sets have at least p/q of their n-grams in common, so only documents with as many
+are candidates. Of those, for documents of like size the order is cut into m fragments. Two sets with a Jaccard similarity of p/q or more differ in at most
 D = (q-p)/(q+p) * (|x|+|y|) n-grams, so with m > D + s fragments they agree in more than s of them: a hash of each
 fragment's n-grams finds candidates, none is missed, and common n-grams alone don't make one, as a fragment agrees as a
 whole. Each candidate's partial overlaps are counted in each fragment of a coarser cut and summed per pair.
@@ -35,6 +37,10 @@ U64 = np.uint64
 COARSE = 16
 #: n-grams of a block's documents, and documents in a block, on average at most.
 BLOCK_GRAMS, BLOCK_DOCS = 400_000, 384
+#: n-grams of a fragment in which documents' common n-grams are counted, and n-grams that a task holds before it sends them.
+FRAGMENT_GRAMS, HELD_GRAMS = 2_000_000, 1_500_000
+#: Stands for several documents of a task.
+SEVERAL = 0
 #: Distinct sets that a task remembers, so as not to send their fragments twice.
 SEEN = 500_000
 
@@ -127,6 +133,90 @@ def _sets(df: DataFrame, rule: Rule) -> DataFrame:
     return df.mapInArrow(run, "id long, k long, n long")
 
 
+def _common(df: DataFrame, rule: Rule, parts: int, wide: bool) -> DataFrame:
+    """(doc) of the sets that may have num/den of their n-grams in common with others: a key, or 32 bits of it unless wide.
+
+    No such set is missing; there may be more where 32 bits of n-grams or keys collide. Rows between the steps are packed:
+    a fragment's n-grams with the documents that hold them, then documents' counts, a row for a task and fragment.
+    """
+    doc_type = U64 if wide else np.uint32
+    names, row_type = ["part", "kind", "a", "b"], "part long, kind int, a binary, b binary"
+    grams_kind, count_kind, need_kind = 0, 1, 2
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names)
+
+    def by_doc(kind: int, docs: np.ndarray, values: np.ndarray, sign: int) -> list[tuple]:
+        bucket = (docs % doc_type(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        docs, values, cut = docs[order], values[order].astype(np.uint32), np.searchsorted(bucket[order], np.arange(parts + 1))
+        return [(b if sign > 0 else -1 - b, kind, docs[cut[b] : cut[b + 1]].tobytes(), values[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cut)).tolist()]
+
+    def send(held: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+        g, own, sizes = np.concatenate(held), np.array(keys, doc_type), np.array([len(x) for x in held])
+        doc = np.repeat(own, sizes)
+        order = np.argsort(g)
+        g, doc = g[order], doc[order]
+        new = np.r_[True, g[1:] != g[:-1]]
+        run = np.diff(np.r_[np.flatnonzero(new), len(g)])
+        many = np.repeat(run > 1, run)
+        # n-grams of several sets here: counted, and sent once for the other tasks.
+        known, count = np.unique(doc[many], return_counts=True)
+        part = (((g[new] >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+        low, who = g[new].astype(np.uint32), np.where(many[new], doc_type(SEVERAL), doc[new])
+        cut = np.searchsorted(part, np.arange(parts + 1))
+        rows = [(p, grams_kind, low[cut[p] : cut[p + 1]].tobytes(), who[cut[p] : cut[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cut)).tolist()]
+        return packed(rows + by_doc(count_kind, known, count, -1) + by_doc(need_kind, own, -(-sizes * rule.num // rule.den), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, size, seen = [], [], 0, set()
+        for b in batches:
+            for g in gram_sets(b.column(0), rule.n):
+                if not len(g) or (k := set_key(g)) in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(k)
+                held.append(g)
+                keys.append(k if wide else max(1, k & 0xFFFFFFFF))
+                size += len(g)
+                if size >= HELD_GRAMS:
+                    yield send(held, keys)
+                    held, keys, size = [], [], 0
+        if held:
+            yield send(held, keys)
+
+    def count(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        if part < 0:  # counts and needs of a bucket of documents
+            return table.set_column(0, "part", pa.array([-1 - part] * len(table), pa.int64()))
+        grams = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["a"]])
+        docs = np.concatenate([np.frombuffer(x.as_buffer(), doc_type) for x in table["b"]])
+        order = np.argsort(grams, kind="stable")
+        g = grams[order]
+        run = np.diff(np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)])
+        docs = docs[order][np.repeat(run > 1, run)]
+        return pa.Table.from_batches([packed(by_doc(count_kind, *np.unique(docs[docs != SEVERAL], return_counts=True), 1))])
+
+    def enough(table: pa.Table) -> pa.Table:
+        kinds = table["kind"].to_numpy()
+        docs = [np.frombuffer(x.as_buffer(), doc_type) for x in table["a"]]
+        values = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table["b"]]
+
+        def joined(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            some = np.flatnonzero(kinds == kind).tolist()
+            return np.concatenate([docs[i] for i in some] or [np.empty(0, doc_type)]), np.concatenate([values[i] for i in some] or [np.empty(0, np.int64)])
+
+        (who, n), (own, need) = joined(count_kind), joined(need_kind)
+        found, at = np.unique(own, return_inverse=True)
+        least = np.full(len(found), 1 << 62)
+        np.minimum.at(least, at, need)
+        total = np.bincount(np.searchsorted(found, who), n, len(found)) if len(who) else np.zeros(len(found))
+        return pa.table({"doc": pa.array(found[total >= least].astype(np.int64))})
+
+    sent = df.mapInArrow(run, row_type)
+    return sent.groupBy("part").applyInArrow(count, row_type).groupBy("part").applyInArrow(enough, "doc long")
+
+
 def _signatures(df: DataFrame, rule: Rule) -> DataFrame:
     """(sig, k) of every distinct set's fragments."""
 
@@ -251,13 +341,22 @@ def ngram_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     rows = saved(_sets(docs, rule))
     classes = rows.filter("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.max("n").alias("n"))
 
+    # Documents with enough n-grams in common with others; keys take 32 bits as long as they are much fewer than that.
+    docs_, grams = rows.filter("k is not null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wide = docs_ > 100_000_000
+    parts = -(-grams // FRAGMENT_GRAMS) or 1
+    doc = F.col("k") if wide else F.greatest(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(1))
+    near = classes.withColumn("doc", doc).join(_common(docs.select("text"), rule, parts, wide), "doc", "left_semi").select("k", "id", "n")
+    near = saved(near)
+    docs = docs.join(bounded(near.select(F.col("id").alias("want")).distinct()), F.col("id").eqNullSafe(F.col("want")), "left_semi")
+
     # Candidates: a class and the smallest class with the same fragment. A set is in a bucket once per task that read it.
     sig = _signatures(docs, rule)
     low = F.min("k").over(Window.partitionBy("sig"))
     star = saved(sig.withColumn("c", low).filter("k > c").select("k", "c").distinct())
     cluster = saved(connected_components(star.select(F.col("k").alias("a"), F.col("c").alias("b"))))
     cluster = cluster.unionByName(cluster.select(F.col("component").alias("id"), "component").distinct())
-    member = saved(cluster.select(F.col("id").alias("k"), F.col("component").alias("cluster")).join(classes, "k"))
+    member = saved(cluster.select(F.col("id").alias("k"), F.col("component").alias("cluster")).join(near, "k"))
 
     links = _links(docs, member, rule)
     found = saved(connected_components(links))
