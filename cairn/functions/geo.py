@@ -20,7 +20,7 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance in metres."""
     lat1, lon1, lat2, lon2 = map(_col, (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.when(a > 1.0, F.lit(1.0)).otherwise(F.sqrt(a)))  # null if a coordinate is
 
 
 def normalize_lon(lon) -> Column:

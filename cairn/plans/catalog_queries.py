@@ -29,7 +29,7 @@ R = "CAST(6371008.8 AS DOUBLE)"
 
 def _haversine(lat1, lon1, lat2, lon2) -> str:
     a = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
-    return f"2 * {R} * asin(least(CAST(1 AS DOUBLE), sqrt({a})))"
+    return f"2 * {R} * asin(CASE WHEN {a} > 1 THEN CAST(1 AS DOUBLE) ELSE sqrt({a}) END)"
 
 
 def _d(x: float) -> str:
