@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cairn.llm.words import U64, buffers, letters_digits, lower_ascii, mix64, slices, words
 
 #: Labelled rows that are learned from: those of either class with the smallest hashes of their ids.
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 BUCKETS, DIM, STEPS, RATE = 1 << 17, 8, 300, 0.3
 #: Loss at which fitting ends: what few rows can teach is learned soon.
 ENOUGH = 0.02
@@ -176,13 +176,18 @@ def train_toxicity(df: DataFrame, labels: DataFrame, learn: Column, text_col: st
     codes = flat.dictionary_encode() if len(flat) else None
     if codes is None:
         return fit([], np.zeros(1, np.int64), np.empty(0, np.int64), y, share)
-    vocab = codes.dictionary.to_pylist()
+    # Words of one learned row only tell nothing of others.
+    index, counts = codes.indices.to_numpy(), rows["counts"].combine_chunks().flatten().to_numpy()
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
+    seen = np.bincount(index, minlength=len(codes.dictionary))
+    place = np.cumsum(seen > 1) - 1
+    vocab = [w for w, n in zip(codes.dictionary.to_pylist(), seen) if n > 1]
+    index, counts, owner = place[index][seen[index] > 1], counts[seen[index] > 1], owner[seen[index] > 1]
     end = np.cumsum([len(v) for v in vocab])
     start = end - np.array([len(v) for v in vocab])
     data = np.frombuffer(b"".join(vocab), np.uint8)
     first, bucket = word_grams(data, start, end)
-    index, counts = codes.indices.to_numpy(), rows["counts"].combine_chunks().flatten().to_numpy()
-    cut = np.cumsum([len(x) for x in lists])[:-1]
+    cut = np.cumsum(np.bincount(owner, minlength=len(rows)))[:-1]
     return fit(list(zip(np.split(index, cut), np.split(counts, cut))), first, bucket, y, share)
 
 
