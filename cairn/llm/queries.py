@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, suffix_tree, toxicity, warc
-from cairn.llm.spark_io import saved, table, text_or_empty, work_path
+from cairn.llm.spark_io import table, text_or_empty, work_path
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    records = saved(warc.read_warc(spark, path))
+    records = warc.read_warc(spark, path)
     # A revisit's payload is that of the response it refers to.
     first = records.filter("kind = 'response'").groupBy(F.col("page").alias("refers"), "digest").agg(F.max("length").alias("of"))
     out = records.join(first, ["refers", "digest"], "left")

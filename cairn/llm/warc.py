@@ -5,8 +5,10 @@ are revisits without a payload (rows that repeat that id are responses, too). Nu
 null and unfit URLs are left out or escaped. Files are committed by Spark, so lost executors leave no partial archive.
 
 Reading: Spark splits the archives at the magic line, wherever it stands, within payloads as well. Tasks parse what follows
-each magic into a candidate (offset, successor's offset). Pointer jumping from each file's start, with offsets joined to
-offsets and jumps doubling each round, keeps only records that the chain reaches; magic inside a payload isn't reached.
+each magic into a candidate (offset, successor's offset). Within a block of a file, which a task holds whole, candidates are
+led to where their chain leaves the block; pointer jumping from each file's start over blocks, with offsets joined to offsets
+and jumps doubling each round, finds where blocks are entered, and only records on the chain from there are kept. Magic
+inside a payload isn't reached.
 Payloads that hold the magic are put together from their pieces in a second scan, of these files' pieces only.
 """
 
@@ -16,6 +18,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -138,6 +141,34 @@ def reachable(links: DataFrame) -> DataFrame:
     return found
 
 
+def _jumped(at: np.ndarray, next_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of each sorted candidate's successor or -1, where its chain leaves the block), by pointer jumping."""
+    to = np.minimum(np.searchsorted(at, next_), len(at) - 1)
+    to = np.where(at[to] == next_, to, -1)
+    last = np.arange(len(at))
+    jump = to.copy()
+    while (jump >= 0).any():
+        last = np.where(jump >= 0, last[jump], last)
+        jump = np.where(jump >= 0, jump[jump], -1)
+    return to, next_[last]
+
+
+def _exits(table: pa.Table) -> pa.Table:
+    table = table.sort_by("at")
+    _, out = _jumped(table["at"].to_numpy(), table["next"].to_numpy())
+    return table.set_column(table.column_names.index("next"), "next", pa.array(out))
+
+
+def _on_chain(table: pa.Table) -> pa.Table:
+    table = table.sort_by("at")
+    to, _ = _jumped(table["at"].to_numpy(), table["next"].to_numpy())
+    kept = table["entered"].to_numpy(zero_copy_only=False).copy()
+    for i in range(len(to)):  # successors follow in the file
+        if kept[i] and to[i] >= 0:
+            kept[to[i]] = True
+    return table.filter(pa.array(kept)).select(["file", "block", "at"])
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, page, kind, refers, digest, length) of each record; digest is that of the payload read, or of a revisit's header."""
     pieces = saved(_raw(spark, path).mapInArrow(_pieces, _PIECE))
@@ -145,10 +176,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     blocks = pieces.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("size"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", (F.coalesce(F.sum("size").over(before), F.lit(0)) - len(MAGIC)).alias("base"))
-    placed = saved(pieces.join(bounded(saved(blocks)), ["file", "block"]).withColumn("at", F.col("at") + F.col("base")).withColumn("next", F.col("next") + F.col("base")).drop("base"))
+    placed = pieces.join(bounded(saved(blocks)), ["file", "block"]).withColumn("at", F.col("at") + F.col("base")).withColumn("next", F.col("next") + F.col("base")).drop("base")
     records = placed.filter("next is not null")
-    found = reachable(records.select("file", "at", "next"))
-    chain = saved(records.join(found, ["file", "at"]))
+    candidates = records.select("file", "block", "at", "next")
+    ways = candidates.groupBy("file", "block").applyInArrow(_exits, "file string, block long, at long, next long")
+    entered = reachable(saved(ways.select("file", "at", "next"))).withColumn("entered", F.lit(True))
+    marked = candidates.join(entered, ["file", "at"], "left").withColumn("entered", F.coalesce("entered", F.lit(False))).select("file", "block", "at", "next", "entered")
+    found = marked.groupBy("file", "block").applyInArrow(_on_chain, "file string, block long, at long")
+    chain = records.join(saved(found), ["file", "block", "at"])
     broken = saved(chain.filter("not whole").select("file", "at", "next", "length"))
     good = chain.filter("whole").select("file", "at", "page", "kind", "refers", "digest", "length")
     if broken.isEmpty():
