@@ -127,13 +127,14 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], word_first: np.ndarray, word_
     count = np.concatenate([c for _, c in docs]).astype(np.float32)
     weight = count / np.maximum(np.bincount(doc, count, n_docs), 1)[doc].astype(np.float32)
     rng = np.random.default_rng(5)
-    e, w, b = rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 1.0, (2, DIM)), 0.0
-    move_e, move_w, move_b = np.zeros_like(e), np.zeros_like(w), 0.0
-    row = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # the classes weigh alike; the prior comes last
+    e, w = rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 1.0, (2, DIM))
+    move_e, move_w = np.zeros_like(e), np.zeros_like(w)
+    # The classes weigh alike and the prior comes last; without a bias, words that nothing is known of score the prior.
+    row = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     for _ in range(STEPS):
         side = w[1] - w[0]
         word_score = np.bincount(gram_word, (e @ side)[gram], n_words) * gram_weight
-        logit = np.bincount(doc, word_score[word] * weight, n_docs) + b
+        logit = np.bincount(doc, word_score[word] * weight, n_docs)
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if -(row * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum() < ENOUGH:
             break
@@ -144,11 +145,10 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], word_first: np.ndarray, word_
         side_step = d_gram @ e
         move_e = 0.9 * move_e - RATE * np.outer(d_gram, side)
         move_w = 0.9 * move_w - 1e-4 * np.stack([-side_step, side_step])
-        move_b = 0.9 * move_b - d.sum()
-        e, w, b = e + move_e, w + move_w, b + move_b
+        e, w = e + move_e, w + move_w
     score = np.zeros(BUCKETS)
     score[used] = e @ (w[1] - w[0])
-    return SubwordModel(score, b + prior)
+    return SubwordModel(score, prior)
 
 
 def train_toxicity(df: DataFrame, labels: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> SubwordModel:

@@ -13,13 +13,13 @@ from cairn.llm import decontaminate, quality, suffix_tree, toxicity
 from cairn.llm.queries import fold
 
 
-def corpus(n, seed):
+def corpus(n, seed, toxic=0.3):
     rng = random.Random(seed)
     good = ["the", "river", "runs", "under", "old", "bridges", "and", "quiet", "towns"]
     docs, labels = [], []
     for i in range(n):
         w = [rng.choice(good) + rng.choice(["", "s", "er", "ing"]) for _ in range(rng.randint(20, 80))]
-        bad, junk = rng.random() < 0.3, rng.random() < 0.3
+        bad, junk = rng.random() < toxic, rng.random() < 0.3
         if bad:
             for _ in range(len(w) // 12 + 1):
                 w[rng.randrange(len(w))] = "grumbl" + rng.choice(["e", "er", "ing", "ish", "ed", "y"])

@@ -12,7 +12,7 @@ from tests.llm.test_ngram_join import brute, edited
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory, docs_of):
     rng = random.Random(12)
-    docs, labels = corpus(260, 4)
+    docs, labels = corpus(260, 4, toxic=0.15)
     rows = [(i, t, rng.choice(["a", "b", None])) for i, t in docs]
     word = lambda: f"w{rng.randint(0, 4000)}"
     items = [(k, " ".join(word() for _ in range(20))) for k in range(6)]
