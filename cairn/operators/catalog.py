@@ -106,9 +106,9 @@ class Catalog:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _read(self, name: str, schema: str | None = None) -> DataFrame:
+    def _read(self, name: str, schema: str | T.StructType | None = None) -> DataFrame:
         try:
-            return self.spark.read.parquet(self._path(name))
+            return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(self._path(name))
         except Exception as e:
             if schema is None or "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -116,6 +116,8 @@ class Catalog:
 
     _SOURCES = "source_id string, label string, root_path string, generation long, active boolean, at long"
     _STATE = "version long, index_version long, at long"
+    #: Given when read, as nothing may have been written yet and as ids of digits would be taken for numbers.
+    _OCCURRENCES = T.StructType([*ITEM.fields, T.StructField("ingest_seq", T.LongType()), T.StructField("generation", T.LongType())])
 
     def sources(self) -> DataFrame:
         """One row per source: the last one written."""
@@ -168,8 +170,7 @@ class Catalog:
     def materialise(self) -> DataFrame:
         """Writes assets, time_geo, groups and group_points of the present version, and gives the assets."""
         version, _ = self._state()
-        seen = self._read("occurrences").withColumns({"source_id": F.col("source_id").cast("string"), "generation": F.col("generation").cast("long")})
-        materialise(seen, self.sources()).write.mode("overwrite").parquet(self._path(f"assets/v={version}"))
+        materialise(self._read("occurrences", self._OCCURRENCES), self.sources()).write.mode("overwrite").parquet(self._path(f"assets/v={version}"))
         assets = self._read(f"assets/v={version}")
         time_geo(assets).repartitionByRange("ts_sec").sortWithinPartitions("ts_sec", "asset_id").write.mode("overwrite").parquet(self._path(f"time_geo/v={version}"))
         members = assets.withColumn("group_ids", F.concat(F.array("group_id"), F.transform("locations", lambda x: x["group_id"])))

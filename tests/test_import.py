@@ -96,6 +96,17 @@ def test_streaming_import_is_repeatable(spark, folder, tmp_path):
         assert c.count_media() == 11
 
 
+def test_batches_without_items(spark, folder, tmp_path):
+    c = Catalog(spark, str(tmp_path / "catalog"))
+    assert c.materialise().count() == 0
+    nothing, _ = readers.read_locations(spark, str(folder / "t.txt"), "007")
+    c.append(nothing, c.prepare_import("007"))
+    assert c.materialise().count() == 0 and c.count_media() == 0
+    items, _ = readers.read_locations(spark, str(folder / "Records.json"), "007")
+    c.append(items, 1, 1)
+    assert {r.source_id for r in c.materialise().collect()} == {"007"} and c.count_media() == 2
+
+
 def test_media_folder(spark, tmp_path):
     (tmp_path / "x").mkdir()
     for name in ("x/A.JPG", "b.mov", "c.txt"):
