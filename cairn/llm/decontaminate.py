@@ -1,17 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Words are [a-z0-9 and non-ASCII]+ of the lower-cased text. Seeds are an item's n-grams of SEED words; of any WINDOW seeds in
-a row the one that the fewest documents of the whole corpus hold is used, so a copy that keeps SEED + WINDOW - 1 words in a
-row is always found, whatever its seeds' frequencies. Around a document's seed hits the item is aligned to the document's
-words (match 1, mismatch and gap -1); the score is the alignment's over the item's length, and copies score LEAST or more.
+Words are [a-z0-9 and non-ASCII]+ of the lower-cased text. Seeds are all of an item's n-grams of SEED words, whatever their
+frequencies, so a copy that keeps any SEED words in a row is always found; an item of fewer words has one seed, the whole of
+it. Around a document's seed hits the item is aligned to the document's words (match 1, mismatch and gap -1), in a window
+that holds every alignment through the seed that can reach least; the score is the alignment's over the item's length, and
+copies score LEAST or more. Windows that share too few words with the item to reach least aren't aligned.
 
 The benchmark is a stated query set: it is taken in blocks of at most BLOCK_WORDS words, each of which is sent to all tasks
-and met by every document; documents aren't shuffled. Null and empty texts have no words. Items of fewer than SEED words are
-too short to tell a copy from chance and are never found. Repeated rows and items give repeated results.
+and met by every document; documents aren't shuffled. Null and empty texts and items have no words and aren't found. Copies
+without SEED unedited words in a row aren't found, even if they would score LEAST. Repeated rows and items give repeated
+results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,20 +25,21 @@ from pyspark.sql import functions as F
 
 from cairn.llm.words import U64, letters_digits, mix64, slices, words
 
-SEED, WINDOW, LEAST = 5, 3, 0.6
+SEED, LEAST = 5, 0.6
 BLOCK_WORDS = 2_000_000
 _BITS = 22
 
 
 @dataclass
 class Items:
-    """A block of the benchmark: ids, word hashes, and seeds with the item and place each stands at, sorted by seed."""
+    """A block of the benchmark: ids, word hashes, and seeds with the item and place each stands at, sorted by seed; lengths of seeds."""
 
     ids: list[int | None]
     words: list[np.ndarray]
     seed: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    lengths: list[int]
 
     def table(self) -> np.ndarray:
         t = np.zeros(1 << _BITS, bool)
@@ -43,33 +47,33 @@ class Items:
         return t
 
 
-def _seeds(h: np.ndarray) -> np.ndarray:
-    """The hash of the n-gram that starts at each word but the last ones."""
-    n = max(0, len(h) - SEED + 1)
-    g = np.zeros(n, U64)
-    for k in range(SEED):
+def _seeds(h: np.ndarray, size: int = SEED) -> np.ndarray:
+    """The hash of the n-gram of size words that starts at each word but the last ones."""
+    n = max(0, len(h) - size + 1)
+    g = np.full(n, size, U64)
+    for k in range(size):
         g = g * U64(0x9E3779B97F4A7C15) + h[k : k + n]
     return mix64(g)
 
 
-def _items(ids: list, hashes: list[np.ndarray], chosen: list[np.ndarray] | None = None) -> Items:
-    seeds = [_seeds(h) for h in hashes]
-    at = [np.arange(len(s)) for s in seeds] if chosen is None else chosen
-    seed = np.concatenate([s[a] for s, a in zip(seeds, at)]) if seeds else np.empty(0, U64)
-    item = np.repeat(np.arange(len(seeds)), [len(a) for a in at])
-    place = np.concatenate(at).astype(np.int64) if at else np.empty(0, np.int64)
+def _items(ids: list, hashes: list[np.ndarray]) -> Items:
+    lengths = [min(SEED, len(h)) for h in hashes]
+    seeds = [_seeds(h, n) for h, n in zip(hashes, lengths)]
+    seed = np.concatenate(seeds) if seeds else np.empty(0, U64)
+    item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
+    place = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.empty(0, np.int64)
     order = np.argsort(seed, kind="stable")
-    return Items(ids, hashes, seed[order], item[order], place[order])
+    return Items(ids, hashes, seed[order], item[order], place[order], sorted(set(lengths)))
 
 
-def _hits(h: np.ndarray, first: np.ndarray, items: Items, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, index into seed) of every seed that stands whole within one text."""
-    g = _seeds(h)
+def _hits(h: np.ndarray, first: np.ndarray, items: Items, table: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, index into seed) of every seed of size words that stands whole within one text."""
+    g = _seeds(h, size)
     maybe = np.flatnonzero(table[(g >> U64(64 - _BITS)).astype(np.int64)])
     if not len(maybe):
         return maybe, maybe
     doc = np.searchsorted(first, maybe, "right")
-    maybe = maybe[maybe + SEED <= first[np.minimum(doc, len(first) - 1)]]
+    maybe = maybe[maybe + size <= first[np.minimum(doc, len(first) - 1)]]
     lo, hi = np.searchsorted(items.seed, g[maybe], "left"), np.searchsorted(items.seed, g[maybe], "right")
     n = hi - lo
     start = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) if len(n) else lo
@@ -96,23 +100,27 @@ def find_copies(texts: pa.Array, items: Items, table: np.ndarray, least: float)
     out = []
     for lo, hi in slices(texts):
         first, _, _, h = words(texts.slice(lo, hi - lo), letters_digits())
-        word, at = _hits(h, first, items, table)
+        word, at = (np.concatenate(x) for x in zip(*(_hits(h, first, items, table, n) for n in items.lengths)))
         if not len(word):
             continue
         doc, item = np.searchsorted(first, word, "right") - 1, items.item[at]
         start = word - items.place[at]
         order = np.lexsort((start, item, doc))
+        by = np.stack([doc, item, start])[:, order]
+        order = order[np.r_[True, (by[:, 1:] != by[:, :-1]).any(0)]]  # seeds in a row share their start
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         group, until = None, 0
         for d, i, s in zip(doc[order].tolist(), item[order].tolist(), start[order].tolist()):
             size = len(items.words[i])
-            pad = size // 4 + 4
+            pad = max(size // 4 + 4, math.ceil((1 - least) * size))
             if group == (d, i) and s <= until:
                 continue
             group, until = (d, i), s + pad
             a, z = max(int(first[d]), s - pad), min(int(first[d + 1]), s + size + 2 * pad)
             if best.get(group, (0,))[0] >= 1.0:
                 continue
+            if np.isin(items.words[i], h[a:z]).sum() < size * max(least, best.get(group, (0.0,))[0]):
+                continue
             score, end = align(items.words[i], h[a:z])
             if score / size >= max(least, best.get(group, (0.0,))[0]):
                 _, back = align(items.words[i][::-1], h[a : a + end][::-1])
@@ -126,7 +134,7 @@ def _blocks(benchmark: DataFrame, text_col: str, id_col: str, limit: int) -> Ite
     ids, hashes, n = [], [], 0
     for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
         _, _, _, h = words(pa.array([row[1]], pa.string()), letters_digits())
-        if len(h) < SEED:
+        if not len(h):
             continue
         if n and n + len(h) > limit:
             yield ids, hashes
@@ -138,45 +146,13 @@ def _blocks(benchmark: DataFrame, text_col: str, id_col: str, limit: int) -> Ite
         yield ids, hashes
 
 
-def _frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
-    """In how many texts of docs each seed stands; counts are summed in the tasks first."""
-    table = items.table()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[int, int] = {}
-        for b in batches:
-            for lo, hi in slices(b.column(0)):
-                first, _, _, h = words(b.column(0).slice(lo, hi - lo), letters_digits())
-                word, at = _hits(h, first, items, table)
-                doc = np.searchsorted(first, word, "right") - 1
-                pairs = np.unique(np.stack([doc, items.seed[at].view(np.int64)]), axis=1)[1] if len(at) else []
-                for s, n in zip(*np.unique(pairs, return_counts=True)):
-                    count[int(s)] = count.get(int(s), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], ["seed", "n"])
-
-    rows = docs.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(rows["seed"].to_pylist(), rows["n"].to_pylist()))
-
-
-def rare_seeds(docs: DataFrame, ids: list, hashes: list[np.ndarray]) -> Items:
-    """The items with the seeds that are the rarest of some WINDOW in a row (the first of equals)."""
-    everything = _items(ids, hashes)
-    count = _frequencies(docs, everything)
-    chosen = []
-    for h in hashes:
-        n = np.array([count.get(int(s), 0) for s in _seeds(h).view(np.int64)])
-        w = min(WINDOW, len(n))
-        chosen.append(np.unique([i + int(n[i : i + w].argmin()) for i in range(len(n) - w + 1)]))
-    return _items(ids, hashes, chosen)
-
-
 def contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_id_col: str = "item_id", least: float = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item it holds a copy of: id, item id, score, start_word and end_word in the document."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"`{id_col}` long, `{item_id_col}` long, score double, start_word long, end_word long"
     found = df.sparkSession.createDataFrame([], schema)
     for ids, hashes in _blocks(benchmark, text_col, item_id_col, block_words):
-        items = rare_seeds(docs.select("text"), ids, hashes)
+        items = _items(ids, hashes)
         found = found.unionByName(docs.mapInArrow(_copies_of(items, least, id_col, item_id_col), schema))
     return found
 
@@ -198,7 +174,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
     """df's rows and columns without documents that hold a copy of an item; nothing is shuffled."""
     at, clean = df.columns.index(text_col), df
     for ids, hashes in _blocks(benchmark, text_col, item_id_col, block_words):
-        items = rare_seeds(df.select(F.col(text_col).cast("string").alias("text")), ids, hashes)
+        items = _items(ids, hashes)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             table = items.table()

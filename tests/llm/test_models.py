@@ -129,6 +129,27 @@ def test_copies_are_found_and_clean_documents_left(spark, docs_of):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [6, 7])
+def test_copies_with_an_edit_every_few_words(spark, docs_of, every):
+    item = [f"i{k}" for k in range(30)]
+    copy = [f"e{k}" if k % every == every - 1 else w for k, w in enumerate(item)]
+    text = lambda w: " ".join(["before"] * 40 + w + ["after"] * 40)
+    df = docs_of((1, text(copy)), (2, text(item)), (3, text(item)), (4, text([])))
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {1: pytest.approx(1 - 2 * (30 // every) / 30, abs=0.05), 2: 1.0, 3: 1.0}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {4}
+
+
+def test_short_items_and_copies_with_words_put_in(spark, docs_of):
+    item = [f"i{k}" for k in range(40)]
+    longer = [x for k, w in enumerate(item) for x in ([f"n{k}", w] if 5 <= k <= 19 else [w])]  # score 25 / 40
+    df = docs_of((1, "see Four short words, here!"), (2, "four short other words here"), (3, " ".join(longer)), (4, "one"))
+    bench = spark.createDataFrame([(7, "four short words here"), (8, " ".join(item)), (9, "One"), (10, ""), (11, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(1, 7): 1.0, (3, 8): pytest.approx(25 / 40), (4, 9): 1.0}
+
+
 def base_scores(docs):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + ["\0"] for i, t in docs}
