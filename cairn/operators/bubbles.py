@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.geo import lat_to_px, lon_to_px, px_to_lat, px_to_lon, world_px
+from cairn.llm.components import connected_components
+from cairn.llm.spark_io import saved
 from cairn.plans.spec import DEFAULT_BUBBLES, MAX_BUBBLES
 
 
@@ -56,35 +56,36 @@ def bubble_radius(count: np.ndarray, scale: float) -> np.ndarray:
     return steps * max(scale, 0.1) + 2
 
 
-_MERGED = "cell_id string, count long, latitude double, longitude double, min_lat double, max_lat double, min_lon double, max_lon double, asset_id long"
+_MERGED = ("cell_id", "count", "latitude", "longitude", "min_lat", "max_lat", "min_lon", "max_lon", "asset_id")
+
+
+def _touching(b: DataFrame, zoom: int, scale: float) -> DataFrame:
+    """(a, b): ids of the bubbles whose circles touch; each meets those of its own and the eight squares around it."""
+    k = max(scale, 0.1)
+    r = F.when(F.col("count") <= 1, 8).when(F.col("count") < 10, 10).when(F.col("count") < 100, 12).when(F.col("count") < 1000, 15).otherwise(18) * F.lit(float(k)) + 2
+    square = 2 * (18 * k + 2)  # of the side of the largest circle
+    at = b.select("id", lon_to_px("longitude", zoom).alias("x"), lat_to_px("latitude", zoom).alias("y"), r.alias("r"))
+    at = at.withColumns({"gx": F.floor(F.col("x") / square), "gy": F.floor(F.col("y") / square)})
+    near = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    other = at.select(F.col("id").alias("b"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("r").alias("q"), near.alias("g")).select("b", "u", "v", "q", "g.*")
+    return at.join(other, ["gx", "gy"]).filter("id < b").filter(F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("v")) < F.col("r") + F.col("q")).select(F.col("id").alias("a"), "b")
 
 
 def merge_overlapping(bubbles: DataFrame, zoom: int, scale: float = 1.0) -> DataFrame:
-    """Bubbles whose circles touch become one, again and again until none do. bubbles: capped, so at most MAX_BUBBLES rows."""
-    size = world_px(zoom)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = pd.concat(list(frames)).sort_values(["count", "cell_id"], ascending=[False, True]).reset_index(drop=True)
-        while len(b) > 1:
-            s = np.sin(np.radians(b.latitude.clip(-85.0511287798066, 85.0511287798066)))
-            x, y = ((b.longitude + 180) / 360 * size).to_numpy(), ((0.5 - np.log((1 + s) / (1 - s)) / (4 * math.pi)) * size).to_numpy()
-            r = bubble_radius(b["count"].to_numpy(), scale)
-            label = np.arange(len(b))
-            touch = np.hypot(x[:, None] - x, y[:, None] - y) < r[:, None] + r
-            while True:  # labels spread to everything they touch
-                new = np.where(touch, label, len(b)).min(1)
-                if (new == label).all():
-                    break
-                label = new
-            if len(np.unique(label)) == len(b):
-                break
-            w = b["count"]
-            b = b.assign(lat_w=b.latitude * w, lon_w=b.longitude * w, one=1).groupby(label).agg(
-                cell_id=("cell_id", "first"), count=("count", "sum"), lat_w=("lat_w", "sum"), lon_w=("lon_w", "sum"), min_lat=("min_lat", "min"), max_lat=("max_lat", "max"),
-                min_lon=("min_lon", "min"), max_lon=("max_lon", "max"), asset_id=("asset_id", "first"), one=("one", "sum"),
-            )
-            b = b.assign(latitude=b.lat_w / b["count"], longitude=b.lon_w / b["count"], asset_id=b.asset_id.where(b.one == 1)).reset_index(drop=True)
-        b["asset_id"] = b["asset_id"].astype("Int64")
-        yield b[[c.split()[0] for c in _MERGED.split(", ")]]
-
-    return bubbles.select(*[c.split()[0] for c in _MERGED.split(", ")]).coalesce(1).mapInPandas(run, _MERGED)
+    """Bubbles whose circles touch become one, again and again until none do; a cap comes after it, as no point may be lost.
+
+    A merged bubble stands at the mean of its points and has the id of its fullest part (of equal ones the smallest id).
+    """
+    b = bubbles.select(*_MERGED)
+    while True:
+        b = saved(b.withColumn("id", F.monotonically_increasing_id()))  # saved, so that ids stay as they are
+        edges = saved(_touching(b, zoom, scale))
+        if edges.isEmpty():
+            return b.select(*_MERGED)
+        own = b.join(connected_components(edges), "id", "left").groupBy(F.coalesce("component", "id").alias("component"))
+        alone = F.count("*") == 1
+        mean = {c: F.when(alone, F.min(c)).otherwise(F.sum(F.col(c) * F.col("count")) / F.sum("count")).alias(c) for c in ("latitude", "longitude")}
+        b = own.agg(
+            F.min_by("cell_id", F.struct(-F.col("count"), F.col("cell_id"))).alias("cell_id"), *mean.values(), F.min("min_lat").alias("min_lat"), F.max("max_lat").alias("max_lat"),
+            F.min("min_lon").alias("min_lon"), F.max("max_lon").alias("max_lon"), F.when(alone, F.min("asset_id")).alias("asset_id"), F.sum("count").alias("count"),
+        ).select(*_MERGED)

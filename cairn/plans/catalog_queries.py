@@ -142,7 +142,7 @@ _add("bubbles_cell_center", lambda s, d: _grid(s, d, 4, 64.0).select("cell_id",
       round((cx + 0.5) * 64 / {_d(geo.world_px(4))} * 360 - 180, 6) AS center_lon FROM g""")
 _add("bubbles_capped", lambda s, d: bubbles.capped(_grid(s, d, 4, 64.0), 40).select("cell_id", "count"), f"WITH {_grid_sql(4, 64.0)} SELECT cell_id, count FROM g ORDER BY count DESC, cell_id LIMIT 40")
 _add("bubbles_summary", lambda s, d: bubbles.bubble_summary(_grid(s, d, 3, 64.0)), f"WITH {_grid_sql(3, 64.0)} SELECT CAST(sum(count) AS BIGINT) AS matched, count(*) AS bubbles, max(count) AS largest FROM g")
-_add("bubbles_merged", lambda s, d: bubbles.merge_overlapping(bubbles.capped(_grid(s, d, 4, 64.0), 500), 4, 1.5))
+_add("bubbles_merged", lambda s, d: bubbles.capped(bubbles.merge_overlapping(_grid(s, d, 4, 64.0), 4, 1.5), 500))
 
 
 # --- groups

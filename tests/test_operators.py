@@ -1,5 +1,7 @@
 import math
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,23 @@ def test_bubbles_count_all_points(city):
     assert bubbles.cell_px(None, 1024, 768, 5000) == 64 and bubbles.cell_px(1, 1024, 768, 100) == pytest.approx(math.sqrt(1024 * 768 / 100))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_the_whole_grid_is_merged_and_capped_last(spark):
+    from cairn.functions.geo import MAX_MERCATOR_LAT, world_px
+    from cairn.plans.catalog_queries import QUERIES, _grid
+
+    grid = _grid(spark, "/root/testdata/sf0.01", 4, 64.0).localCheckpoint()
+    rows = bubbles.merge_overlapping(grid, 4, 1.5).collect()
+    assert grid.count() > 500 and sum(r["count"] for r in rows) == grid.agg(F.sum("count")).first()[0]
+    lat = np.radians(np.clip([r.latitude for r in rows], -MAX_MERCATOR_LAT, MAX_MERCATOR_LAT))
+    x, y = (np.array([r.longitude for r in rows]) + 180) / 360 * world_px(4), (0.5 - np.log((1 + np.sin(lat)) / (1 - np.sin(lat))) / (4 * math.pi)) * world_px(4)
+    r = bubbles.bubble_radius(np.array([r["count"] for r in rows]), 1.5)
+    apart = np.hypot(x[:, None] - x, y[:, None] - y) - r[:, None] - r
+    assert (apart[np.triu_indices(len(rows), 1)] > -1e-6).all()
+    fullest = sorted(((r["count"], r["cell_id"]) for r in rows), key=lambda c: (-c[0], c[1]))[:500]
+    assert sorted((r["count"], r["cell_id"]) for r in QUERIES["bubbles_merged"](spark, "/root/testdata/sf0.01").collect()) == sorted(fullest)
+
+
 TRIP = "asset_id long, group_id string, ts_sec long, sequence long, latitude double, longitude double"
 
 
