@@ -3,11 +3,13 @@
 The model reads the bytes of lower-cased words with single spaces between them and an end mark, as symbols of a fixed
 alphabet of 64 (rare bytes share a symbol and are equally likely within it). The tree holds contexts of 0 to DEPTH symbols.
 A context is kept if the next symbol's distribution after it diverges from that after its suffix by enough: its count times
-the divergence must reach GAIN, and the MAX_STATES contexts with the most gain, with their suffixes, make the tree. A kept
-context's distribution is its counts' smoothed with its suffix's. A symbol is scored by the longest kept suffix before it.
+the divergence must reach GAIN. All such contexts, with their suffixes, make the tree. A kept context's distribution is its
+counts' smoothed with its suffix's. A symbol is scored by the longest kept suffix before it.
 
-All learned rows are counted: symbol grams and words are counted in the tasks, then summed by key. The tree and the most
-frequent words are of bounded size and go to every task; other words of a text meet their counts in a join.
+All learned rows are counted: symbol grams and words are counted in the tasks, then summed by key. The tree is a table; its
+MAX_STATES most frequent contexts (a tree as well: a suffix is no rarer) and the most frequent words go to every task. Other
+words of a text, and its symbols after contexts that the head may lack (a bit map of fixed size tells), meet their counts in
+joins.
 
 Null and empty texts are an end mark alone. Repeated rows get equal scores. With nothing learned, symbols are equally likely.
 """
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.spark_io import saved
+from cairn.llm.spark_io import bounded, saved
 from cairn.llm.words import U64, buffers, lower_ascii, mix64, not_space, slices, words
 
 DEPTH, MAX_STATES, GAIN, SMOOTH = 5, 1 << 17, 12.0, 8.0
@@ -32,11 +34,15 @@ SLICE = 1 << 20
 HEAD_WORDS = 1 << 17
 #: Distinct keys that a task counts before it sends them on.
 HELD = 1_500_000
+#: Bits of the map of the contexts that aren't in the head: ctx + (d << 30), times _TIMES, modulo a prime.
+MAP_BITS, _TIMES = 67_108_859, 402_653_189
 
 # The symbols that stand for one byte or for a class of equally likely ones.
 _SINGLE = "abcdefghijklmnopqrstuvwxyz .,;:!?'\"-()/#$%&*=".encode() + bytes([0xC2, 0xC3, 0xE2, 0x9F, 0xA0, 0xA1, 0xA4, 0xA7, 0xA8, 0xA9, 0xAA, 0xAD, 0xB1, 0xB3, 0xB6])
 _DIGITS = b"0123456789"
 END, DIGIT, OTHER = 0, 62, 63
+#: Bits of a gram, and the most occurrences that stand beside it in one number.
+_GRAM, _MOST = 6 * (DEPTH + 1), 1 << 26
 
 
 def _alphabet() -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +90,8 @@ def to_symbols(data: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.n
     return Symbols(out, share, head, size)
 
 
-def gram_codes(s: Symbols) -> np.ndarray:
-    """Of each symbol of a text, the DEPTH before it and itself as one number."""
+def _all_codes(s: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol but the first DEPTH: the DEPTH before it and itself as one number, and whether it is a text's own."""
     x = s.symbols.astype(np.int64)
     code = np.zeros(max(len(x) - DEPTH, 0), np.int64)
     for j in range(DEPTH + 1):
@@ -93,7 +99,13 @@ def gram_codes(s: Symbols) -> np.ndarray:
     own = np.ones(len(x), bool)
     pads = (s.head[:, None] - 1 - np.arange(DEPTH)).ravel()
     own[pads] = False
-    return code[own[DEPTH:]]
+    return code, own[DEPTH:]
+
+
+def gram_codes(s: Symbols) -> np.ndarray:
+    """Of each symbol of a text, the DEPTH before it and itself as one number."""
+    code, own = _all_codes(s)
+    return code[own]
 
 
 @dataclass
@@ -105,8 +117,8 @@ class Tree:
     depth: np.ndarray
     near: np.ndarray  # of the last three symbols: the node they lead to
 
-    def score(self, s: Symbols) -> np.ndarray:
-        """Of each text, the log10 probability of its symbols."""
+    def nodes(self, s: Symbols) -> np.ndarray:
+        """Of each symbol but the first DEPTH, the node of the longest context before it."""
         x = s.symbols
         n = len(x) - DEPTH
         at = [x[DEPTH - d : DEPTH - d + n].astype(np.int32) for d in range(DEPTH + 1)]
@@ -117,8 +129,24 @@ class Tree:
             ok = more >= 0
             deep = deep[ok]
             node[deep] = more[ok]
-        p = self.logp[(node << 6) | at[0]].astype(np.float64) + s.share[DEPTH:]
-        total = np.r_[0.0, np.cumsum(p)]
+        return node
+
+    def beyond(self, s: Symbols, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, gram) of the texts' symbols that may have a longer context in the table than in this tree."""
+        code, own = _all_codes(s)
+        at = np.flatnonzero(own & (self.depth[node] < DEPTH))
+        d = self.depth[node[at]].astype(np.int64) + 1
+        bit = (((code[at] >> 6) & ((1 << (6 * d)) - 1)) + (d << 30)) * _TIMES % MAP_BITS
+        at = at[(bits[bit >> 6] >> (bit & 63).astype(U64)) & U64(1) == 1]
+        return at, code[at]
+
+    def score(self, s: Symbols, node: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
+        """Of each text, the log10 probability of its symbols, those at left counted as certain within the alphabet."""
+        node = self.nodes(s) if node is None else node
+        p = self.logp[(node << 6) | s.symbols[DEPTH:]].astype(np.float64)
+        if left is not None:
+            p[left] = 0.0
+        total = np.r_[0.0, np.cumsum(p + s.share[DEPTH:])]
         a = s.head - DEPTH
         return total[a + s.size] - total[a]
 
@@ -191,8 +219,16 @@ def _count(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "kind int, key long, n long")
 
 
-def _kept(grams: DataFrame) -> list[DataFrame]:
-    """Per depth 1 to DEPTH: (context, symbol, n) of the contexts that pass the divergence test, and of their suffixes."""
+@dataclass
+class Kept:
+    """Per depth 0 to DEPTH: counts (ctx, sym, n) of the kept contexts; states: (d, ctx, total) of all but the empty one."""
+
+    counts: list[DataFrame]
+    states: DataFrame
+
+
+def _kept(grams: DataFrame) -> Kept:
+    """The contexts that pass the divergence test, and their suffixes."""
     # Gram counts by context of d symbols: the gram's last d + 1 symbols.
     levels = []
     for d in range(DEPTH + 1):
@@ -208,16 +244,38 @@ def _kept(grams: DataFrame) -> list[DataFrame]:
         g = own.join(up, ["suffix", "sym"]).groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
         g = g.filter(F.col("gain") >= GAIN).select(F.lit(d).alias("d"), "ctx", "gain")
         gains = g if gains is None else gains.unionByName(g)
-    best = saved(gains.orderBy(F.desc("gain"), "d", "ctx").limit(MAX_STATES).select("d", "ctx"))
-    out, deeper = [], None
+    best = saved(gains.select("d", "ctx"))
+    out, states, deeper = [], None, None
     for d in range(DEPTH, 0, -1):
         own = best.filter(F.col("d") == d).select("ctx")
         if deeper is not None:
             own = own.unionByName(deeper.select(F.col("ctx").bitwiseAND(F.lit((1 << (6 * d)) - 1)).alias("ctx"))).distinct()
         deeper = own
+        state = totals[d].join(own, "ctx", "left_semi").select(F.lit(d).alias("d"), "ctx", "total")
+        states = state if states is None else states.unionByName(state)
         out.append(levels[d].join(own, "ctx", "left_semi"))
-    root = levels[0].select("ctx", "sym", "n")
-    return [root, *out[::-1]]
+    return Kept([levels[0].select("ctx", "sym", "n"), *out[::-1]], saved(states))
+
+
+def _map(states: DataFrame) -> np.ndarray:
+    """The bit map of states."""
+    bit = (F.col("ctx") + F.shiftleft(F.col("d").cast("long"), 30)) * _TIMES % MAP_BITS
+    rows = states.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 64 + 1, U64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(U64)
+    return bits
+
+
+def _gram_logs(grams: DataFrame, kept: Kept, root: np.ndarray) -> DataFrame:
+    """(g, logp) of grams (g): log10 of the last symbol after the longest kept context, as build_tree smooths it."""
+    base = F.array(*[F.lit(float(x)) for x in (root + 0.5) / (root.sum() + 32.0)])
+    out = grams.withColumn("sym", F.col("g").bitwiseAND(F.lit(63)).cast("int")).withColumn("p", F.get(base, F.col("sym")))
+    for d in range(1, DEPTH + 1):
+        total = bounded(kept.states.filter(F.col("d") == d).select("ctx", "total"))
+        out = out.withColumn("ctx", F.shiftright("g", 6).bitwiseAND(F.lit((1 << (6 * d)) - 1))).join(total, "ctx", "left").join(bounded(saved(kept.counts[d])), ["ctx", "sym"], "left")
+        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("n", F.lit(0)) + SMOOTH * F.col("p")) / (F.col("total") + SMOOTH))
+        out = out.select("g", "sym", p.alias("p"))
+    return out.select("g", F.log10("p").alias("logp"))
 
 
 def score_texts(df: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -226,7 +284,13 @@ def score_texts(df: DataFrame, learn: Column, text_col: str = "text", id_col: st
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"))
     learned = docs.filter("learn").select("text")
     counts = saved(_count(learned).groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    tables = [t.toArrow() for t in _kept(counts.filter("kind = 0").select("key", "n"))]
+    kept = _kept(counts.filter("kind = 0").select("key", "n"))
+    states, bits = kept.states, None
+    if states.count() > MAX_STATES:
+        states = saved(states.orderBy(F.desc("total"), "d", "ctx").limit(MAX_STATES))
+        bits = _map(kept.states.join(states, ["d", "ctx"], "left_anti"))
+    heads = [kept.counts[0], *(t.join(states.filter(F.col("d") == d).select("ctx"), "ctx", "left_semi") for d, t in enumerate(kept.counts[1:], 1))]
+    tables = [t.toArrow() for t in heads]
     parts = [tuple(t[c].to_numpy() for c in ("ctx", "sym", "n")) for t in tables]
     root = np.zeros(64)
     np.add.at(root, parts[0][1], parts[0][2])
@@ -240,11 +304,11 @@ def score_texts(df: DataFrame, learn: Column, text_col: str = "text", id_col: st
     head = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).toArrow()
     words_, n = head["word"].to_numpy(), head["n"].to_numpy()
     order = np.argsort(words_.view(U64) if len(words_) else words_)
-    model = spark.sparkContext.broadcast((tree, words_[order].view(U64), np.log10(n[order] + 0.5)))
+    model = spark.sparkContext.broadcast((tree, words_[order].view(U64), np.log10(n[order] + 0.5), bits))
     end_score = float(np.log10(n_docs + 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, logn = model.value
+        tree, known, logn, bits = model.value
         for b in batches:
             for lo, hi in slices(b.column(2), SLICE):
                 part = b.column(2).slice(lo, hi - lo)
@@ -261,13 +325,23 @@ def score_texts(df: DataFrame, learn: Column, text_col: str = "text", id_col: st
                 key = (mix64(key + n_words.astype(U64)) >> U64(1)).astype(np.int64)
                 rest = ~hit
                 tail, cut = h[rest].view(np.int64), np.r_[0, np.cumsum(np.bincount(text[rest], minlength=len(n_words)))].astype(np.int32)
-                score = tree.score(to_symbols(data, first, start, end))
+                symbols = to_symbols(data, first, start, end)
+                node = tree.nodes(symbols)
+                left, gram = tree.beyond(symbols, node, bits) if bits is not None else (np.empty(0, np.int64),) * 2
+                score = tree.score(symbols, node, left)
+                of = np.searchsorted(symbols.head - DEPTH, left, "right") - 1
+                own, times = np.unique((of << _GRAM) | gram, return_counts=True)
+                parts = -(-times // _MOST)  # so that a gram and its count are one number
+                own, times = np.repeat(own, parts), np.repeat(times, parts)
+                nth = np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)
+                packed = (np.minimum(times - nth * _MOST, _MOST) << _GRAM) | (own & ((1 << _GRAM) - 1))
+                cut_grams = np.r_[0, np.cumsum(np.bincount(own >> _GRAM, minlength=len(n_words)))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(lo, hi - lo) for c in b.columns[:2]), pa.array(key), pa.array(n_words + 1), pa.array(np.bincount(text[hit], minlength=len(n_words))), pa.array(base.astype(float)), pa.array(score), pa.ListArray.from_arrays(pa.array(cut), pa.array(tail))],
-                    ["id", "learn", "key", "n_tokens", "head_known", "head_base", "score", "tail"],
+                    [*(c.slice(lo, hi - lo) for c in b.columns[:2]), pa.array(key), pa.array(n_words + 1), pa.array(np.bincount(text[hit], minlength=len(n_words))), pa.array(base.astype(float)), pa.array(score), pa.ListArray.from_arrays(pa.array(cut), pa.array(tail)), pa.ListArray.from_arrays(pa.array(cut_grams), pa.array(packed))],
+                    ["id", "learn", "key", "n_tokens", "head_known", "head_base", "score", "tail", "grams"],
                 )
 
-    schema = "id long, learn boolean, key long, n_tokens long, head_known long, head_base double, score double, tail array<long>"
+    schema = "id long, learn boolean, key long, n_tokens long, head_known long, head_base double, score double, tail array<long>, grams array<long>"
     rows = saved(docs.select("id", "learn", "text").mapInArrow(run, schema))
     # Each text's other words, one row for a word, meet the counts; equal texts are taken once for each partition.
     texts = rows.filter(F.size("tail") > 0).select("key", "tail", F.spark_partition_id().alias("p")).dropDuplicates(["key", "p"])
@@ -275,7 +349,14 @@ def score_texts(df: DataFrame, learn: Column, text_col: str = "text", id_col: st
     met = tail.join(vocabulary, "word", "left")
     sums = met.groupBy("key", "p").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
     sums = sums.groupBy("key").agg(F.max("tail_base").alias("tail_base"), F.max("tail_known").alias("tail_known"))
-    out = rows.drop("tail").join(sums, "key", "left")
+    score = F.col("score")
+    if bits is not None:  # each text's grams meet their probabilities; equal texts get one sum
+        met = rows.withColumn("row", F.monotonically_increasing_id()).select("key", "row", F.explode("grams").alias("x"))
+        met = met.select("key", "row", F.col("x").bitwiseAND(F.lit((1 << _GRAM) - 1)).alias("g"), F.shiftright("x", _GRAM).alias("times"))
+        logs = bounded(saved(_gram_logs(saved(met.select("g").distinct()), kept, root)))
+        beyond = met.join(logs, "g").groupBy("key", "row").agg(F.sum(F.col("times") * F.col("logp")).alias("beyond")).groupBy("key").agg(F.max("beyond").alias("beyond"))
+        sums, score = sums.join(beyond, "key", "full"), score + F.coalesce("beyond", F.lit(0.0))
+    out = rows.drop("tail", "grams").join(sums, "key", "left")
     base = F.col("head_base") + F.coalesce("tail_base", F.lit(0.0)) + F.lit(end_score) - F.col("n_tokens") * F.lit(norm)
     known = F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(n_docs > 0))
-    return out.select(F.col("id").alias(id_col), "n_tokens", known.alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(F.col("id").alias(id_col), "n_tokens", known.alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -176,6 +176,19 @@ def test_suffix_tree_and_its_base(docs_of, monkeypatch, head):
     assert len(same) == 1
 
 
+@pytest.mark.parametrize("head", [0, 40])
+def test_contexts_beyond_the_head_score_alike(docs_of, monkeypatch, head):
+    docs, _ = corpus(150, 3)
+    docs += [(500, None), (501, ""), (502, "Émile 9,5 zzz"), (503, docs[1][1]), (504, docs[1][1])]
+    learn = fold(F.col("doc_id"), 5) != 1
+    whole = {r.doc_id: r.score for r in suffix_tree.score_texts(docs_of(*docs), learn).collect()}
+    monkeypatch.setattr(suffix_tree, "MAX_STATES", head)
+    monkeypatch.setattr(suffix_tree, "_MOST", 3, raising=False)  # counts take several numbers
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(docs_of(*docs), learn).collect()}
+    assert got == {i: pytest.approx(s, rel=1e-5) for i, s in whole.items()}
+    assert got[1] == got[503] == got[504]
+
+
 def test_contexts_help_on_unseen_words(docs_of, monkeypatch):
     rng = random.Random(8)
     docs = [(i, " ".join("".join(rng.choices(["ka", "to", "min", "re", "sul", "po"], k=rng.randint(3, 6))) for _ in range(60))) for i in range(120)]
