@@ -55,11 +55,13 @@ def last_locations(occurrences: DataFrame, location_id: str, fields: list[str],
 
 
 def materialise(occurrences: DataFrame, sources: DataFrame) -> DataFrame:
-    """Assets of ITEM occurrences (with generation and ingest_seq): live, merged, with sorted locations and a dense asset_id.
+    """Assets of ITEM occurrences (with generation, ingest_seq and perhaps ingest_batch, which comes before it): live, merged, with sorted locations and a dense asset_id.
 
     Metadata is merged key by key, first come first kept. The first location by (path, id) is primary and names the asset.
     """
     rows = live(occurrences, sources)
+    if "ingest_batch" in rows.columns:
+        rows = rows.withColumn("ingest_seq", F.struct("ingest_batch", "ingest_seq"))
     fields = [f.name for f in ITEM if f.name not in ("media_id", "source_id", "relative_path", "display_name", "metadata", "location")]
     merged = merge_occurrences(rows, [*fields, "display_name"])
     meta = rows.select("media_id", "ingest_seq", F.explode("metadata").alias("key", "value")).groupBy("media_id", "key").agg(F.min_by("value", "ingest_seq").alias("value"))
@@ -117,7 +119,7 @@ class Catalog:
     _SOURCES = "source_id string, label string, root_path string, generation long, active boolean, at long"
     _STATE = "version long, index_version long, at long"
     #: Given when read, as nothing may have been written yet and as ids of digits would be taken for numbers.
-    _OCCURRENCES = T.StructType([*ITEM.fields, T.StructField("ingest_seq", T.LongType()), T.StructField("generation", T.LongType())])
+    _OCCURRENCES = T.StructType([*ITEM.fields, T.StructField("ingest_batch", T.LongType()), T.StructField("ingest_seq", T.LongType()), T.StructField("generation", T.LongType())])
 
     def sources(self) -> DataFrame:
         """One row per source: the last one written."""
@@ -162,8 +164,7 @@ class Catalog:
 
     def append(self, items: DataFrame, generation: int, batch: int = 0) -> None:
         """Appends ITEM rows as occurrences; sequences follow (batch, row order in the batch)."""
-        seq = F.lit(batch).cast("long") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40)
-        rows = as_items(items).withColumns({"generation": F.lit(generation).cast("long"), "ingest_seq": seq})
+        rows = as_items(items).withColumns({"generation": F.lit(generation).cast("long"), "ingest_batch": F.lit(batch).cast("long"), "ingest_seq": F.monotonically_increasing_id()})
         rows.write.mode("append").partitionBy("source_id", "generation").parquet(self._path("occurrences"))
         self._changed()
 

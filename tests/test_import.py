@@ -107,6 +107,24 @@ def test_batches_without_items(spark, folder, tmp_path):
     assert {r.source_id for r in c.materialise().collect()} == {"007"} and c.count_media() == 2
 
 
+def test_order_of_many_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cairn.operators.catalog import LOCATION
+
+    row = spark.range(0, 130, 1, 130)
+    place = F.struct(*[(F.lit("p") if f.name == "id" else F.col("id") if f.name == "timestamp_ms" else F.lit(None)).cast(f.dataType).alias(f.name) for f in LOCATION])
+    items = row.select(F.lit("m").alias("media_id"), F.lit("s").alias("source_id"), F.expr("if(id >= 5, id, null)").alias("duration_ms"), place.alias("location"))
+    c = Catalog(spark, str(tmp_path / "catalog"))
+    g = c.prepare_import("s")
+    c.append(items, g)
+    asset = c.materialise().first()
+    assert asset.duration_ms == 5 and [x.timestamp_ms for x in asset.locations] == [129]
+    c.append(items.filter("id < 9"), g, 1)
+    asset = c.materialise().first()
+    assert asset.duration_ms == 5 and [x.timestamp_ms for x in asset.locations] == [8]
+
+
 def test_media_folder(spark, tmp_path):
     (tmp_path / "x").mkdir()
     for name in ("x/A.JPG", "b.mov", "c.txt"):
