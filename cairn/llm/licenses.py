@@ -90,19 +90,19 @@ class Scanner:
             while at >= 0:
                 add(at, at + len(pattern), label, phrase, 0, True, n)
                 at = whole.find(pattern, at + 1)
-        spots: dict[int, set[int]] = {}
+        spots: dict[int, set[tuple[int, int]]] = {}  # of a notice: the texts that hold pieces of it, and where it would start
         for piece, uses in self.pieces.items():
             at = whole.find(piece)
             while at >= 0:
+                d = int(np.searchsorted(heads, at, "right")) - 1
                 for n, place in uses:
-                    spots.setdefault(n, set()).add(at - place)
+                    spots.setdefault(n, set()).add((d, at - place))
                 at = whole.find(piece, at + 1)
         fuzzy: dict[int, list] = {}
         for n, starts in spots.items():
             pattern, notice, label, size, k = self.notices[n]
             done = -1
-            for s in sorted(starts):
-                d = int(np.searchsorted(heads, max(s, 0), "right")) - 1
+            for d, s in sorted(starts):
                 a, z = max(s - k, int(heads[d]), done), min(s + size + 2 * k, int(heads[d + 1]) - 1)
                 if m := pattern.search(whole, a, z):
                     fuzzy.setdefault(d, []).append((sum(m.fuzzy_counts) / size, m.start(), m.end(), sum(m.fuzzy_counts), label, notice))

@@ -59,3 +59,9 @@ def test_notices_with_edits(docs_of):
     assert [(s[0], s[2], s[4]) for s in got[1][1]] == [("mit", 2, 2)]
     assert got[2][1] == [] and got[3][1][0][:1] == ("mit",)
     assert [s[0] for s in got[4][1]] == ["gpl-3"]  # the closest of overlapping notices
+
+
+def test_notice_without_its_first_characters_is_found_wherever_the_text_stands(docs_of):
+    text = "is free and unencumbered software released into the public domain by us"
+    got = spans(docs_of((1, text), (2, "some text before"), (3, text), (4, text)).coalesce(1))
+    assert [s[0] for s in got[1][1]] == ["unlicense"] and got[1] == got[3] == got[4] and got[2][1] == []
