@@ -6,7 +6,11 @@ files are read by read_records_objects, which splits them at object boundaries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.geo import valid_coordinate
@@ -107,14 +111,52 @@ def read_records(files: DataFrame, source_id: str, label: str | None = None) ->
     return _record_items(record_points(files), source_id, label)
 
 
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+
+
+def _cut(piece: str) -> tuple[bool, str, str, int]:
+    """Of a piece between latitudes: is it its file's first, the rest of its location, what the next one begins with, and
+    the number of locations without a latitude that it holds."""
+    first = not piece.lstrip().startswith(":")
+    head, n, open_ = "", 0, [] if first else [-1]  # -1: the location that the latitude before stands in
+    for m in _TOKEN.finditer(piece):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif m[0] == "}" and open_:
+            if open_.pop() == -1:
+                head = piece[: m.end()]
+            elif len(open_) == first:
+                n += 1
+        elif m[0] == '"locations"' and len(open_) == first:
+            n = 0
+    return first, head, piece[open_[-1] :] if open_ and open_[-1] >= 0 else "", n
+
+
+def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cut = [_cut(x) for x in b.column(3).to_pylist()]
+        kinds = (pa.bool_(), pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array([c[k] for c in cut], t) for k, t in enumerate(kinds)]], ["path", "block", "at", "first", "head", "tail", "n"])
+
+
 def read_records_objects(spark: SparkSession, paths: str | list[str], source_id: str, label: str | None = None) -> DataFrame:
     """As read_records, of files too large for a row: Spark splits them at '"latitudeE7"', so that no task holds a whole one.
 
-    Each piece is a location's fields from its latitude on; fields that stand before it aren't seen, and there is no index.
+    A location is put together from the end of one piece and the start of the next, within a block of the file; what a
+    block's last piece ends with, and its number of locations, go to the next block by a table of one row for a block.
     """
-    text = spark.read.option("lineSep", '"latitudeE7"').text(paths).select(F.col("_metadata.file_path").alias("path"), F.concat(F.lit('{"latitudeE7"'), "value").alias("v"))
-    one = F.from_json(F.regexp_replace(_one_case(F.col("v")), r"(?s),?\s*\{?\s*$", ""), RECORD)
-    return _record_items(_record_points(text.select("path", F.lit(None).cast("long").alias("index"), one.alias("r"))), source_id, label)
+    text = spark.read.option("lineSep", '"latitudeE7"').text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    pieces = text.mapInArrow(_cut_pieces, "path string, block long, at long, first boolean, head string, tail string, n long")
+    size = F.col("n") + F.when(F.col("first"), 0).otherwise(1)
+    blocks = pieces.groupBy("path", "block").agg(F.sum(size).alias("size"), F.max_by("tail", "at").alias("last"))
+    file = Window.partitionBy("path").orderBy("block")
+    blocks = blocks.select("path", "block", F.lag("last").over(file).alias("last"), F.coalesce(F.sum("size").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = Window.partitionBy("path", "block").orderBy("at")
+    rows = pieces.withColumns({"start": F.lag("tail").over(within), "index": F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    rows = rows.join(blocks, ["path", "block"]).filter(~F.col("first"))
+    whole = F.concat(F.coalesce("start", "last"), F.lit('"latitudeE7"'), F.col("head"))
+    one = F.from_json(_one_case(whole), RECORD)
+    return _record_items(_record_points(rows.select("path", (F.col("index") + F.col("before") + 1).alias("index"), one.alias("r"))), source_id, label)
 
 
 def _pair(text: Column) -> Column:

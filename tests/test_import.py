@@ -47,6 +47,22 @@ def test_records_times_and_metadata(spark, folder):
     assert {r.media_id for r in split} == {r.media_id for r in rows}
 
 
+@pytest.mark.parametrize("block", [400, 10_000_000])
+def test_split_records_equal_whole_ones(spark, tmp_path, block):
+    late = lambda k: {"timestampMs": str(1704067200000 + k), "activity": [{"x": {"y": "} {"}}], "source": "a\"{", "accuracy": k, "latitudeE7": 481000000 + k, "longitudeE7": 115000000, "altitude": 3}
+    early = lambda k: {"latitudeE7": 471000000 + k, "longitudeE7": 1, "timestampMs": str(1704067200000 + k)}
+    rows = [late(0), {"timestampMs": "1"}, {"a": {"b": 1}}, early(2), late(3), {"source": "x"}, *[(late, early)[k % 3 == 0](k) for k in range(4, 40)]]
+    for name, indent in (("a.json", None), ("b.json", 1)):
+        (tmp_path / name).write_text(json.dumps({"info": {"z": {}}, "locations": rows, "end": {"e": 1}}, indent=indent))
+    whole = readers.read_records(readers.read_files(spark, str(tmp_path)), "s").collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        split = readers.read_records_objects(spark, str(tmp_path), "s").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(whole) == 78 and sorted(map(repr, split)) == sorted(map(repr, whole))
+
+
 def test_timeline_kinds_and_groups(spark, folder):
     rows = readers.read_timeline(readers.read_files(spark, str(folder / "Timeline.json")), "s").collect()
     assert sorted(r.kind for r in rows) == ["activity_sample", "frequent_place", "geo_point", "geo_point", "geo_point", "geo_point", "timeline_activity", "timeline_visit"]
