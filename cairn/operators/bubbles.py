@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.geo import lat_to_px, lon_to_px, px_to_lat, px_to_lon, world_px
-from cairn.llm.components import connected_components
-from cairn.llm.spark_io import saved
+from cairn.operators.components import connected_components
+from cairn.operators.tables import saved
 from cairn.plans.spec import DEFAULT_BUBBLES, MAX_BUBBLES
 
 
