@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.tables import join_groups, saved
+from cairn.operators import tables
+from cairn.operators.tables import saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,16 +19,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     if e.isEmpty():
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    few = 2 * e.count() <= tables.MAX_BROADCAST_ROWS  # edges don't get more
+
+    def tie(rows: DataFrame, low: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(low), "u") if few else tables.join_groups(rows, saved(low), ["u"])
+
     while True:
         # Large star: every larger neighbour of u is tied to the smallest of u and its neighbours.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        large = join_groups(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        large = saved(large.distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = tie(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = large if few else saved(large)
         # Small star: every smaller neighbour of u, and u, is tied to the smallest of them.
-        low = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        tied = join_groups(large, low, ["u"])
-        small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = tie(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = saved(small.filter("u > v").distinct())
         stars = new.groupBy("u").agg(F.count("*").alias("n"))
         # It is over when each u has one v, and no v is a u.
