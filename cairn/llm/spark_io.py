@@ -1,47 +1,14 @@
-"""Shared-folder and bounded-join helpers of the text operators."""
+"""Small helpers of the text operators: input tables, column names, and bit tables of keys."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table with at most this many narrow key rows (tens of bytes each) is broadcast; a larger one is joined by shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or, where that is unset (tests), a local folder set here."""
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if known.isEmpty():
-        conf = conf or os.path.join(tempfile.gettempdir(), f"cairn-{os.getpid()}")
-        sc.setCheckpointDir(conf)
-    return conf or known.get()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: later reads survive lost executors and don't recompute."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for a table or for files written by Spark."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def bounded(keys: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """keys with a broadcast hint if it was counted to hold at most limit rows; else as it is (a shuffle join follows).
-
-    keys should be saved() or cheap: it is read once more to be counted, and at most limit + 1 rows are.
-    """
-    small = keys.limit(limit + 1).count() <= limit
-    return F.broadcast(keys) if small else keys
+#: Bits of a bit table (a power of two): it is broadcast and takes at most 16 MB, whatever the number of keys.
+BITS = 1 << 27
+#: Bits of one of its rows.
+_ROW = 1 << 15
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -58,3 +25,24 @@ def fresh_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def _bit(keys: list[Column]) -> Column:
+    """The bit of a key, nulls included."""
+    return F.xxhash64(*keys, *[k.isNull() for k in keys]).bitwiseAND(F.lit(BITS - 1))
+
+
+def bit_table(keys: DataFrame) -> DataFrame:
+    """The bits of a table of keys: at most BITS / _ROW rows of 4 kB. A key that isn't there may share a bit, none is missing."""
+    bit = _bit([F.col(c) for c in keys.columns])
+    return keys.select(F.shiftright(bit, 15).alias("row"), bit.bitwiseAND(F.lit(_ROW - 1)).alias("at")).groupBy("row").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def marked(df: DataFrame, bits: DataFrame, name: str, *keys: Column) -> DataFrame:
+    """df with a boolean column: false only if the key isn't in the bit table, which is broadcast, so df isn't shuffled."""
+    row, have = fresh_name(df, "row"), fresh_name(df, "bits")
+    bit = _bit(list(keys))
+    met = df.withColumn(row, F.shiftright(bit, 15)).join(F.broadcast(bits.select(F.col("row").alias(row), F.col("bits").alias(have))), row, "left")
+    at = bit.bitwiseAND(F.lit(_ROW - 1))
+    byte = F.conv(F.hex(F.substring(have, (F.shiftright(at, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
+    return met.withColumn(name, F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop(row, have)
