@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.spark_io import bounded, fresh_name, saved, text_or_empty
+from cairn.llm.spark_io import fresh_name, text_or_empty
+from cairn.operators.tables import bounded, saved
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3

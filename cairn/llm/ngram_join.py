@@ -8,13 +8,16 @@ D = (q-p)/(q+p) * (|x|+|y|) n-grams, so with m > D + s fragments they agree in m
 fragment's n-grams finds candidates, none is missed, and common n-grams alone don't make one, as a fragment agrees as a
 whole. Each candidate's partial overlaps are counted in each fragment of a coarser cut and summed per pair.
 
-Documents with equal sets are one class. The candidates' graph (each class with the smallest of its fragment's) splits the
-classes into clusters, a cluster into bands of sizes and blocks of bounded size, and every pair of blocks that may hold
-links is one group: it sums the partial overlaps of its pairs and returns a spanning forest of its links, never the pairs.
-So links' components are exact, and a group of near copies of any size is spread over many bounded tasks.
-
-Null and empty texts have no n-grams and link with nothing; a text with fewer than n words is one n-gram. Null ids are
-allowed, repeated rows are one class. An empty table gives an empty result.
+Documents with equal sets are one class. The candidates' graph (each class with the smallest of its fragment's, first within
+a task, then of all) splits the classes into clusters. Each class is first compared with the one class that it shares most
+fragments with, in blocks of bounded size; in a group of near copies this links nearly all. What isn't of one component then
+is compared within its cluster: bands of sizes are cut into blocks, and every pair of blocks that may hold links between
+different components is one group. A group sums the partial overlaps of its pairs and returns a spanning forest of its
+links, never the pairs. So links' components are exact, and a group of near copies of any size is spread over bounded tasks.
+
+Null and empty texts have no n-grams and link with nothing; a text with fewer than n words is one n-gram. Texts may be of any
+length. Null ids are allowed, repeated rows are one class. An empty table gives an empty result. Other columns of df may have
+any names.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.llm.components import connected_components
-from cairn.llm.spark_io import bounded, saved
+from cairn.llm.spark_io import bit_table, fresh_name, marked
 from cairn.llm.words import mix64, not_space, slices, words
+from cairn.operators.components import connected_components
+from cairn.operators.tables import join_groups, saved
 
 U64 = np.uint64
 #: Fragments of the coarser cut in which overlaps are counted.
@@ -41,6 +46,8 @@ BLOCK_GRAMS, BLOCK_DOCS = 400_000, 384
 FRAGMENT_GRAMS, HELD_GRAMS = 2_000_000, 1_500_000
 #: Stands for several documents of a task.
 SEVERAL = 0
+#: Fragments that a task holds before it ties and sends them.
+HELD_SIGS = 1_000_000
 #: Distinct sets that a task remembers, so as not to send their fragments twice.
 SEEN = 500_000
 
@@ -86,7 +93,8 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         first, _, _, h = words(texts.slice(lo, hi - lo), not_space())
         g = np.zeros(len(h), U64)
         for k in range(n):
-            g[: len(h) - k] = g[: len(h) - k] * U64(0x9E3779B97F4A7C15) + h[k:]
+            m = max(len(h) - k, 0)
+            g[:m] = g[:m] * U64(0x9E3779B97F4A7C15) + h[len(h) - m :]
         g = mix64(g)
         for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
             if z - a >= n:
@@ -217,14 +225,29 @@ def _common(df: DataFrame, rule: Rule, parts: int, wide: bool) -> DataFrame:
     return sent.groupBy("part").applyInArrow(count, row_type).groupBy("part").applyInArrow(enough, "doc long")
 
 
-def _signatures(df: DataFrame, rule: Rule) -> DataFrame:
-    """(sig, k) of every distinct set's fragments."""
+def _stars(df: DataFrame, rule: Rule) -> DataFrame:
+    """(k, c, w): each set's key, a smaller one with w equal fragments. Sets with an equal fragment are connected by such rows.
+
+    A task ties the sets of a fragment to the smallest that it holds; only that one is sent on, to meet those of other tasks.
+    So a fragment that many sets share has one row for each task, or for each HELD_SIGS fragments of one.
+    """
+    names = ["sig", "k", "c", "w"]
+
+    def tied(sigs: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        s, k = np.concatenate(sigs), np.concatenate(keys)
+        order = np.lexsort((k, s))
+        s, k = s[order], k[order]
+        head = np.r_[True, s[1:] != s[:-1]]
+        low = k[head][np.cumsum(head) - 1]
+        pair, w = np.unique(np.stack([k, low])[:, k != low], axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int64()), pa.array(pair[0]), pa.array(pair[1]), pa.array(w.astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(s[head].view(np.int64)), pa.array(k[head]), pa.nulls(int(head.sum()), pa.int64()), pa.array(np.ones(int(head.sum()), np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        keys, sigs, rows = [], [], 0
         for b in batches:
-            keys, sigs, rows = [], [], 0
-            for g in gram_sets(b.column(1), rule.n):
+            for g in gram_sets(b.column(0), rule.n):
                 if not len(g) or (k := set_key(g)) in seen:
                     continue
                 if len(seen) < SEEN:
@@ -233,13 +256,16 @@ def _signatures(df: DataFrame, rule: Rule) -> DataFrame:
                     sigs.append(s)
                     keys.append(np.full(len(s), k, np.int64))
                     rows += len(s)
-                if rows > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], ["sig", "k"])
+                if rows > HELD_SIGS:
+                    yield from tied(sigs, keys)
                     keys, sigs, rows = [], [], 0
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], ["sig", "k"])
+        if rows:
+            yield from tied(sigs, keys)
 
-    return df.mapInArrow(run, "sig long, k long")
+    rows = saved(df.select("text").mapInArrow(run, "sig long, k long, c long, w long"))
+    low = F.min("k").over(Window.partitionBy("sig"))
+    across = rows.filter("sig is not null").withColumn("c", low).filter("k > c").select("k", "c", "w")
+    return across.unionByName(rows.filter("sig is null").select("k", "c", "w")).groupBy("k", "c").agg(F.sum("w").alias("w"))
 
 
 def _grams(df: DataFrame, rule: Rule) -> DataFrame:
@@ -334,75 +360,155 @@ def _compare(rule: Rule):
     return run
 
 
-def ngram_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id (the smallest id reachable by links of similarity num/den)."""
-    rule = Rule(n, num, den)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """docs (id, text) as rows (id, k, n), and the classes (k, component, component_id, n_rows) of non-empty ones."""
     rows = saved(_sets(docs, rule))
-    classes = rows.filter("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    classes = saved(rows.filter("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("n_rows")))
 
     # Documents with enough n-grams in common with others; keys take 32 bits as long as they are much fewer than that.
-    docs_, grams = rows.filter("k is not null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    wide = docs_ > 100_000_000
+    n_docs, grams = rows.filter("k is not null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wide = n_docs > 100_000_000
     parts = -(-grams // FRAGMENT_GRAMS) or 1
     doc = F.col("k") if wide else F.greatest(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(1))
     near = classes.withColumn("doc", doc).join(_common(docs.select("text"), rule, parts, wide), "doc", "left_semi").select("k", "id", "n")
     near = saved(near)
-    docs = docs.join(bounded(near.select(F.col("id").alias("want")).distinct()), F.col("id").eqNullSafe(F.col("want")), "left_semi")
+    docs = _with_ids(docs, near)
 
-    # Candidates: a class and the smallest class with the same fragment. A set is in a bucket once per task that read it.
-    sig = _signatures(docs, rule)
-    low = F.min("k").over(Window.partitionBy("sig"))
-    star = saved(sig.withColumn("c", low).filter("k > c").select("k", "c").distinct())
+    star = saved(_stars(docs, rule))
     cluster = saved(connected_components(star.select(F.col("k").alias("a"), F.col("c").alias("b"))))
     cluster = cluster.unionByName(cluster.select(F.col("component").alias("id"), "component").distinct())
     member = saved(cluster.select(F.col("id").alias("k"), F.col("component").alias("cluster")).join(near, "k"))
 
-    links = _links(docs, member, rule)
-    found = saved(connected_components(links))
-    # Rows without links stand alone under their own key.
-    least = classes.join(found.withColumnRenamed("id", "k"), "k", "left").select("k", "id", F.coalesce("component", "k").alias("component"))
+    found = saved(_components(docs, member, star, rule))
+    # Classes without links stand alone under their own key.
+    least = classes.join(found.withColumnRenamed("id", "k"), "k", "left").select("k", "id", "n_rows", F.coalesce("component", "k").alias("component"))
     least = saved(least)
-    ends = least.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_key = least.join(ends, "component").select("k", "component_id")
+    ends = saved(least.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n")))
+    return rows, saved(join_groups(least, ends, ["component"]).select("k", "component", "component_id", "n_rows"))
+
+
+def _with_ids(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of docs (id, text) the rows whose id is among keys', and perhaps a few others; docs aren't shuffled."""
+    return marked(docs, saved(bit_table(keys.select("id"))), "wanted", F.col("id")).filter("wanted").select("id", "text")
+
+
+def ngram_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row per row of df: id, n_shingles, component_id (the smallest id reachable by links of similarity num/den)."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows, classes = _classes(docs, Rule(n, num, den))
     empty = rows.filter("k is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    full = rows.filter("k is not null").join(by_key, "k").select("id", F.col("n").alias("n_shingles"), "component_id")
+    full = join_groups(rows.filter("k is not null"), classes, ["k"], "n_rows").select("id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(empty).withColumnRenamed("id", id_col)
 
 
+def _keyed(df: DataFrame, text_col: str, rule: Rule, name: str) -> DataFrame:
+    """df with each row's set key (null if empty) in a new column."""
+    at, schema = df.columns.index(text_col), T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [set_key(g) if len(g) else None for g in gram_sets(b.column(at).cast(pa.string()), rule.n)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
+
+
 def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """df's rows and columns: of each component the rows with the smallest id stay, and rows with a null id."""
-    found = ngram_components(df, text_col, id_col, n, num, den)
-    gone = saved(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct())
-    return df.join(bounded(gone), F.col(id_col).cast("long") == F.col("gone"), "left_anti")
-
-
-def _links(docs: DataFrame, member: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (a, b) between linked classes: a spanning forest of each pair of blocks."""
-    # Bands of sizes: linked sets are in one band or in neighbouring ones, as tops grow by den / num.
-    step = math.log(rule.den / rule.num)
-    m = member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
-    sizes = m.groupBy("cluster", "band").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("grams") / BLOCK_GRAMS)).cast("int"))
-    whole = m.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).filter((F.col("docs") <= BLOCK_DOCS) & (F.col("grams") <= BLOCK_GRAMS))
-    whole = saved(whole.filter("docs > 1"))
-    # Small clusters: one comparison of all, and many of them in a group of bounded size.
-    total = whole.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
+    """df's rows and columns, one row of each component: that with the smallest id (nulls last), then the smallest set key.
+
+    Of rows that repeat that id and set, the one with the largest hash of its columns stays. Rows without words all stay.
+    A row is dropped for its own text: other rows with its id aren't touched. Only rows whose id is in a component of several
+    rows are read apart; others aren't shuffled.
+    """
+    rule = Rule(n, num, den)
+    rows, classes = _classes(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), rule)
+    pairs = saved(rows.filter("k is not null").groupBy("id", "k").agg(F.count("*").alias("n_rows")))
+    sizes = pairs.groupBy("k").agg(F.count("*").alias("n")).join(classes.select("k", "component"), "k")
+    of = saved(join_groups(pairs, saved(sizes), ["k"]).drop("n"))
+    first = of.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("f"), F.count("*").alias("n"), F.sum("n_rows").alias("rows"))
+    several = join_groups(of, saved(first.filter("rows > 1")), ["component"])
+    several = saved(several.select("id", "k", (F.col("id").eqNullSafe(F.col("f.id")) & (F.col("k") == F.col("f.k"))).alias("stays")))
+    touched = saved(bit_table(several.select("id")))
+
+    def keyed(of: DataFrame, id_: Column) -> DataFrame:
+        return of.withColumns({key_id: F.coalesce(id_, F.lit(0)), no_id: id_.isNull()})
+
+    mark, key, key_id, no_id, row, n_rows = (fresh_name(df, x) for x in ("touched", "key", "key_id", "no_id", "row", "n_rows"))
+    id_ = F.col(id_col).cast("long")
+    all_rows = marked(df, touched, mark, id_)
+    apart = keyed(_keyed(all_rows.filter(F.col(mark)).select(*df.columns), text_col, rule, key), id_)
+    # What becomes of the sets of all ids that may be touched.
+    fate = keyed(marked(pairs, touched, "maybe", F.col("id")).filter("maybe"), F.col("id")).withColumnRenamed("k", key)
+    gone = keyed(several.filter("not stays"), F.col("id")).select(key_id, no_id, F.col("k").alias(key))
+    fate = saved(fate.join(gone, [key_id, no_id, key], "left_anti").select(key_id, no_id, key, F.col("n_rows").alias(n_rows)))
+    stay = join_groups(apart.filter(F.col(key).isNotNull()), fate, [key_id, no_id, key], n_rows)
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    others = [F.col(f.name) for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    one = stay.filter(F.col(n_rows) > 1).groupBy(key_id, no_id, key).agg(F.max_by(whole, F.xxhash64(F.lit(0), *others)).alias(row)).select(f"{row}.*")
+    parts = (all_rows.filter(~F.col(mark)), apart.filter(F.col(key).isNull()), stay.filter(F.col(n_rows) == 1))
+    for part in parts:
+        one = one.unionByName(part.select(*df.columns))
+    return one
+
+
+def _linked(docs: DataFrame, places: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) between linked classes of places (k, unit, side, same): a spanning forest of each unit's links.
+
+    Units are packed into groups: as many as there are blocks' n-grams in all, so a group holds about one block's.
+    """
+    total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = max(1, int(total // BLOCK_GRAMS))
-    small = m.join(whole.select("cluster"), "cluster").select("k", "id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(groups)).alias("group"), F.lit(0).alias("side"), F.lit(True).alias("same"))
-    # Large ones: blocks against blocks of the same and the next band; ones that float rounding puts a band away, too.
-    sizes = saved(sizes.join(whole.select("cluster"), "cluster", "left_anti"))
-    b = saved(m.join(sizes.select("cluster", "band", "blocks"), ["cluster", "band"]).withColumn("blk", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
-    twin = sizes.select("cluster", F.col("band").alias("band2"), F.col("blocks").alias("blocks2"))
-    up = b.join(twin, "cluster").filter("band2 >= band and band2 <= band + 2")
-    up = up.withColumn("blk2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1))).filter("band2 > band or blk2 >= blk")
-    left = up.select("k", "id", "cluster", F.xxhash64("cluster", "band", "blk", "band2", "blk2").alias("group"), F.lit(0).alias("side"), F.expr("band = band2 and blk = blk2").alias("same"))
-    down = b.join(twin, "cluster").filter("band2 <= band and band2 >= band - 2")
-    down = down.withColumn("blk2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1))).filter("band2 < band or blk2 < blk")
-    right = down.select("k", "id", "cluster", F.xxhash64("cluster", "band2", "blk2", "band", "blk").alias("group"), F.lit(1).alias("side"), F.lit(False).alias("same"))
-    # The texts of the classes' first documents are read again; their sets meet in the groups.
-    places = saved(small.unionByName(left).unionByName(right))
-    wanted = saved(m.select("id").distinct())
-    again = docs.join(bounded(wanted.withColumnRenamed("id", "want")), F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    met = _grams(again, rule).join(places.drop("id"), "k")
-    return met.groupBy("group").applyInArrow(_compare(rule), "a long, b long")
+    placed = places.select("k", F.col("unit").alias("cluster"), "side", "same", F.pmod("unit", F.lit(groups)).alias("group"))
+    return _grams(docs, rule).join(placed, "k").groupBy("group").applyInArrow(_compare(rule), "a long, b long")
+
+
+def _blocks(docs: str = "docs", grams: str = "grams") -> Column:
+    return F.ceil(F.greatest(F.col(docs) / BLOCK_DOCS, F.col(grams) / BLOCK_GRAMS)).cast("int")
+
+
+def _components(docs: DataFrame, member: DataFrame, star: DataFrame, rule: Rule) -> DataFrame:
+    """(id, component) of the classes that have links; member: (k, cluster, id, n) of all candidates, star: as _stars'."""
+    size = (F.count("*").alias("docs"), F.sum("n").alias("grams"))
+    whole = (F.lit(0).alias("side"), F.lit(True).alias("same"))
+    # Each class with the one that it shares most fragments with.
+    most = star.groupBy("k").agg(F.max_by("c", F.struct("w", -F.col("c"))).alias("c")).join(member.select("k", "n"), "k")
+    most = saved(most)
+    sizes = saved(most.groupBy("c").agg(*size).withColumn("blocks", _blocks()))
+    near = join_groups(most, sizes, ["c"], "docs").withColumn("unit", F.xxhash64("c", F.pmod(F.xxhash64("k"), F.col("blocks"))))
+    centres = near.select("c", "unit").distinct().select(F.col("c").alias("k"), "unit", F.lit(0).cast("long").alias("n"))
+    places = saved(near.select("k", "unit", "n").unionByName(centres).select("*", *whole))
+    links = saved(_linked(docs, places, rule))
+    part = connected_components(links)
+
+    # Clusters that aren't one component yet.
+    m = saved(member.join(part.withColumnRenamed("id", "k"), "k", "left").withColumn("part", F.coalesce("component", "k")).drop("component"))
+    open_ = m.groupBy("cluster").agg(*size, F.min("part").alias("p1"), F.max("part").alias("p2")).filter("p1 <> p2").drop("p1", "p2")
+    m = saved(join_groups(m, saved(open_), ["cluster"], "docs"))
+    small = (F.col("docs") <= BLOCK_DOCS) & (F.col("grams") <= BLOCK_GRAMS)
+    places = m.filter(small).select("k", F.col("cluster").alias("unit"), "n", *whole)
+
+    # Large ones: a component that fills a block has cells of its own, and these don't meet one another; others share cells.
+    large = m.filter(~small).drop("docs", "grams")
+    if not large.isEmpty():
+        # Bands of sizes: linked sets are in one band or in neighbouring ones, as tops grow by den / num.
+        step = math.log(rule.den / rule.num)
+        large = large.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
+        parts = saved(large.groupBy("cluster", "part").agg(F.count("*").alias("in_part")))
+        large = saved(join_groups(large, parts, ["cluster", "part"], "in_part").withColumn("own", F.when(F.col("in_part") >= BLOCK_DOCS, F.col("part")).otherwise(F.lit(-1))))
+        cells = saved(large.groupBy("cluster", "band", "own").agg(*size).withColumn("blocks", _blocks()))
+        large = saved(join_groups(large, cells, ["cluster", "band", "own"], "docs").withColumn("blk", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
+        cell = ["cluster", "band", "own", "blk"]
+        one = cells.select("cluster", "band", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+        # Cells meet those of the same and the next bands; ones that float rounding puts a band away, too.
+        two = one.select("cluster", *[F.col(c).alias(f"{c}2") for c in cell[1:]])
+        met = one.withColumn("band2", F.explode(F.sequence(F.col("band"), F.col("band") + 2))).join(two, ["cluster", "band2"])
+        met = met.filter("(band2 > band or own2 > own or (own2 = own and blk2 >= blk)) and (own <> own2 or own = -1)")
+        met = saved(met.withColumn("unit", F.xxhash64(*cell, "band2", "own2", "blk2")).withColumn("same", F.expr("band = band2 and own = own2 and blk = blk2")))
+        left = large.join(met.select(*cell, "unit", "same"), cell).select("k", "unit", "n", F.lit(0).alias("side"), "same")
+        other = met.filter("not same").select("cluster", *[F.col(f"{c}2").alias(c) for c in cell[1:]], "unit", "same")
+        right = large.join(other, cell).select("k", "unit", "n", F.lit(1).alias("side"), "same")
+        places = places.unionByName(left).unionByName(right)
+    places = saved(places)
+    if places.isEmpty():
+        return part
+    return connected_components(links.unionByName(_linked(_with_ids(docs, m), places, rule)))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, suffix_tree, toxicity, warc
-from cairn.llm.spark_io import table, text_or_empty, work_path
+from cairn.llm.spark_io import table, text_or_empty
+from cairn.operators.tables import work_path
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

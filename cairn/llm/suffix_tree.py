@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.spark_io import bounded, saved
 from cairn.llm.words import U64, buffers, lower_ascii, mix64, not_space, slices, words
+from cairn.operators.tables import bounded, saved
 
 DEPTH, MAX_STATES, GAIN, SMOOTH = 5, 1 << 17, 12.0, 8.0
 #: Bytes of text that are turned into symbols at once; temporary arrays take some 60 times as much.

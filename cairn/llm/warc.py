@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.spark_io import bounded, saved
+from cairn.operators.tables import bounded, saved
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"

@@ -2,10 +2,11 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from cairn.llm import ngram_join
-from cairn.llm.components import connected_components
+from cairn.operators.components import connected_components
 
 
 def brute(rows, n, num, den):
@@ -92,3 +93,53 @@ def test_connected_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(1, 31)) and got[100] == got[75] == 50 and got[201] == 200
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 5, 8])
+def test_batches_of_few_words(n):
+    texts = [" ".join(f"w{k}" for k in range(words)) for words in range(n + 2)]
+    for t in texts:  # a batch of its own
+        got = list(ngram_join.gram_sets(pa.array([t, t.upper(), None]), n))
+        assert [len(g) for g in got] == [brute([(1, t)], n, 80, 100)[1][0]] * 2 + [0] and (got[0] == got[1]).all()
+    alone = [list(ngram_join.gram_sets(pa.array([t]), n))[0].tolist() for t in texts]
+    assert [g.tolist() for g in ngram_join.gram_sets(pa.array(texts), n)] == alone and len({tuple(g) for g in alone}) == n + 2
+
+
+def test_a_batch_of_two_words(docs_of):
+    df = docs_of((1, "one two"), (2, "ONE two")).coalesce(1)
+    assert [r.doc_id for r in ngram_join.drop_near_duplicates(df).collect()] == [1]
+
+
+def test_drop_of_repeated_ids_rows_and_clashing_names(spark, docs_of):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (2, text + " x"), (2, "a text of its own words only here"), (2, text + " x"), (None, text), (None, "some words without an id of theirs"), (7, ""), (7, ""), (7, None), (1, text), (8, "one two"), (8, "one two")]
+    df = docs_of(*rows)
+    for c in ("gone", "k", "n", "id", "touched", "__key", "stays", "group"):
+        df = df.withColumn(c, df.doc_id)
+    got = ngram_join.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter({(1, text): 1, (2, rows[2][1]): 1, (None, rows[5][1]): 1, (7, ""): 2, (7, None): 1, (8, "one two"): 1})
+    assert ngram_join.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_very_long_text(docs_of):
+    text = " ".join(f"w{k % 70000}" for k in range(400_000))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs_of((3, text), (4, text + " end"), (5, "short"))).collect()}
+    assert got == {3: 3, 4: 3, 5: 5}
+
+
+@pytest.mark.parametrize("few", [1_000_000, 2])
+def test_clusters_of_several_components(docs_of, monkeypatch, few):
+    """A passage that chains unlinked families into one cluster, cut into small blocks; with few broadcast rows as well."""
+    from cairn.operators import tables
+
+    monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", few)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 6)
+    rng, rows = random.Random(21), []
+    passage = [f"p{k}" for k in range(60)]
+    for f in range(5):
+        own = [f"f{f}x{k}" for k in range(rng.choice([8, 12, 40]))]
+        for _ in range(rng.choice([3, 9, 15])):
+            rows.append((len(rows), " ".join(edited(rng, passage + own, rng.randint(0, 3)))))
+    got = ngram_join.ngram_components(docs_of(*rows), n=3, num=90, den=100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90, 100)

@@ -3,7 +3,7 @@ import hashlib
 import re
 
 from cairn.llm import licenses, warc
-from cairn.llm.spark_io import work_path
+from cairn.operators.tables import work_path
 
 
 def digest(text):
