@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
 from cairn.llm.queries import fold
-from cairn.llm.spark_io import saved, table, work_path
+from cairn.llm.spark_io import table
+from cairn.operators.tables import saved, work_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
