@@ -49,16 +49,17 @@ def bounded(keys: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(keys) if small else keys
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """rows joined (inner) with groups: one row per key, with the number of its rows in the column n.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with groups: one row per key, with the number of its rows in the column n. how: inner or left.
 
     Few groups are broadcast. Of many, only those that hold more than a HOT_PARTS-th of all rows are: there are fewer than
-    HOT_PARTS of them, and what is shuffled has no hot key left. groups should be saved(); rows are read twice then.
+    HOT_PARTS of them, and what is shuffled has no hot key left (for left: if keys without a group aren't hot). groups should
+    be saved(); rows are read twice then. Null keys meet nothing.
     """
     count, total = groups.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).first()
     if count <= MAX_BROADCAST_ROWS:
-        return rows.join(F.broadcast(groups), keys)
+        return rows.join(F.broadcast(groups), keys, how)
     hot = F.col(n) > total / HOT_PARTS
     top = F.broadcast(groups.filter(hot))
-    rest = rows.join(F.broadcast(groups.filter(hot).select(*keys)), keys, "left_anti").join(groups.filter(~hot), keys)
+    rest = rows.join(F.broadcast(groups.filter(hot).select(*keys)), keys, "left_anti").join(groups.filter(~hot), keys, how)
     return rows.join(top, keys).unionByName(rest)

@@ -189,3 +189,5 @@ def test_groups_join_whichever_way(spark, monkeypatch, few):
     k = lambda i: 0 if i < 100 else i % 90
     size = {j: sum(k(i) == j for i in range(300)) for j in range(90)}
     assert sorted((r.id, r.n) for r in got) == [(i, size[k(i)]) for i in range(300) if k(i) != 5]
+    got = tables.join_groups(rows, groups, ["k"], how="left").collect()
+    assert sorted((r.id, r.n or 0) for r in got) == [(i, size[k(i)] if k(i) != 5 else 0) for i in range(300)]
