@@ -67,18 +67,36 @@ def test_mix_targets_and_rounding(docs_of):
 
 
 def test_mix_keeps_expected_copies(spark):
-    units = spark.range(1000).select(F.lit("k").alias("key"), "id", (F.col("id") % 37).alias("size"), F.lit(1).cast("long").alias("whole"), F.lit(0.3).alias("p"))
+    units = spark.range(1000).select(F.lit("k").alias("key"), "id", (F.col("id") % 37).alias("size"), F.col("id").alias("row"), F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("whole"), F.lit(0.3).alias("p"))
     got = mixing.pivotal_round(units, "key", 1, block=16).collect()
     assert len(got) == 1000 and abs(sum(r.copies for r in got) - 1300) <= 1
     assert {r.copies for r in got} == {1, 2}
 
 
-def test_apply_mix_repeats_rows(docs_of, spark):
-    df = docs_of((1, "a"), (2, "b"), (3, "c"), (3, "c"), (None, "d"))
-    plan = spark.createDataFrame([(1, 0), (2, 3), (3, 1), (3, 0), (None, 2)], "doc_id long, copies long")
+def test_mix_of_rows_that_repeat_an_id(docs_of):
+    """A third of all rows has no id and one size: their blocks are bounded by salts, the totals are right, reruns agree."""
+    rows = [(i, "a b c", "s") for i in range(600)] + [(None, "x y z", "s")] * 300 + [(700, "q", "t")]
+    got = mixing.mix_plan(docs_of(*rows)).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got if r.source == "s") <= 2701
+    want = level({"s": 2700, "t": 1})
+    assert abs(sum(r.taken for r in got if r.source == "s") - want["s"]) <= 3
+    again = mixing.mix_plan(docs_of(*rows)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    assert mixing.mix_plan(docs_of(*rows).limit(0)).count() == 0
+
+
+def test_apply_mix_repeats_rows(docs_of):
+    df = docs_of((1, "a"), (2, "b"), (3, "c"), (3, "c"), (3, "other"), (None, "d"), (None, "e"), (4, None), (4, ""))
+    for c in ("plan_copies", "copy_no", "plan_id", "key", "row", "__key"):
+        df = df.withColumn(c, F.col("n_chars"))
+    copies = {"a": 0, "b": 3, "c": 1, "other": 2, "d": 2, "e": 0, None: 1, "": 3}
+    key = F.create_map(*[F.lit(x) for t, n in copies.items() if t is not None for x in (t, n)])
+    plan = df.select("doc_id", mixing.row_key(df, "text", "doc_id", "source").alias("row_key"), F.coalesce(key[F.col("text")], F.lit(1)).alias("copies"))
     got = mixing.apply_mix(df, plan)
-    assert got.columns == [*df.columns, "copy_no"]
-    assert collections.Counter(r.doc_id for r in got.collect()) == {2: 3, 3: 1, None: 2}
+    assert got.columns == [*df.columns, "__copy_no"]
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == {(2, "b"): 3, (3, "c"): 2, (3, "other"): 2, (None, "d"): 2, (4, None): 1, (4, ""): 3}
+    assert sorted(r["__copy_no"] for r in got.collect() if r.text == "b") == [1, 2, 3]
+    assert mixing.apply_mix(df.limit(0), plan.limit(0)).count() == 0
 
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -109,7 +127,7 @@ def test_chat_snapshots_collapse(spark):
     rows += [(99, None, "user", None), (99, None, "user", None), (None, 1, None, "z")]
     want, seqs = brute_maximal(rows)
     df = spark.createDataFrame(rows + rows[:5], TURNS)
-    got = chat.render_chat(chat.maximal_conversations(df, block=7), block=7).collect()
+    got = chat.render_chat(chat.maximal_conversations(df, block=7)).collect()
     text = collections.defaultdict(list)
     for r in got:
         text[r.conv].append((r.part, r.text))
@@ -118,3 +136,14 @@ def test_chat_snapshots_collapse(spark):
     for c, parts in text.items():
         assert "".join(t for _, t in sorted(parts)) == "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in seqs[c])
     assert chat.render_chat(chat.maximal_conversations(df.limit(0))).count() == 0
+
+
+def test_chat_with_few_broadcast_rows_long_texts_and_clashing_names(spark, monkeypatch):
+    from cairn.operators import tables
+
+    monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", 1)
+    long = "x" * 3_000_000
+    rows = [(None, t, "user", f"n{t}") for t in range(200)] + [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "user", "y"), (3, 0, "user", "n0")]
+    df = spark.createDataFrame(rows, TURNS).withColumns({c: F.lit(1) for c in ("pos", "blk", "none", "c0", "n_turns", "conv")})
+    got = chat.render_chat(chat.maximal_conversations(df)).collect()
+    assert sorted((r.conv or 0, r.part, r.n_parts) for r in got) == [(0, 0, 4), (0, 1, 4), (0, 2, 4), (0, 3, 4), (2, 0, 1)]  # 3 starts as the null one does
