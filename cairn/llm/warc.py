@@ -1,15 +1,17 @@
 """WARC archives: records written by Spark's text writer, and read back by boundary-chain verification.
 
 Writing: a row becomes a record; of equal payloads of at least least_bytes the smallest id is a response and the others
-are revisits without a payload (rows that repeat that id are responses, too). Null payloads are empty, null ids sort last,
-null and unfit URLs are left out or escaped. Files are committed by Spark, so lost executors leave no partial archive.
+are revisits without a payload, whose header has the payload's size (rows that repeat that id are responses, too). Null
+payloads are empty, null ids sort last, null and unfit URLs are left out or escaped, and payloads may be of any length. Other
+columns aren't read, so their names may clash; an empty table gives no records. Files are committed by Spark, so lost executors leave no partial archive.
 
 Reading: Spark splits the archives at the magic line, wherever it stands, within payloads as well. Tasks parse what follows
 each magic into a candidate (offset, successor's offset). Within a block of a file, which a task holds whole, candidates are
 led to where their chain leaves the block; pointer jumping from each file's start over blocks, with offsets joined to offsets
 and jumps doubling each round, finds where blocks are entered, and only records on the chain from there are kept. Magic
 inside a payload isn't reached.
-Payloads that hold the magic are put together from their pieces in a second scan, of these files' pieces only.
+Payloads that hold the magic are put together from their pieces in a second scan, of these files' pieces only: within a
+block, each piece belongs to the last record before it, or to the last one of the blocks before.
 """
 
 from __future__ import annotations
@@ -61,6 +63,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         line("WARC-Refers-To", F.when(F.col("revisit"), urn(F.col("first")))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
+        line("X-Payload-Length", F.when(F.col("revisit"), F.col("size").cast("string"))),
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
         body,
@@ -91,7 +94,7 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-_PIECE = "file string, block long, seq long, at long, bytes long, page long, kind string, refers long, digest string, length long, next long, whole boolean"
+_PIECE = "file string, block long, seq long, at long, bytes long, page long, kind string, refers long, digest string, length long, payload long, next long, whole boolean"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +113,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 length = int(f[b"content-length"])
                 whole = len(raw) >= start + length
                 digest = _digest(raw[start : start + length]) if whole and f[b"warc-type"] != b"revisit" else f.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("ascii", "replace")
-                row += [_page(f.get(b"warc-record-id")), f[b"warc-type"].decode("utf-8", "replace"), _page(f.get(b"warc-refers-to")), digest, length, n[1] + start + length + len(END) + len(MAGIC), whole]
+                row += [_page(f.get(b"warc-record-id")), f[b"warc-type"].decode("utf-8", "replace"), _page(f.get(b"warc-refers-to")), digest, length, int(full) if (full := f.get(b"x-payload-length", b"")).isdigit() else length, n[1] + start + length + len(END) + len(MAGIC), whole]
             else:
-                row += [None] * 7
+                row += [None] * 8
             rows.append(row)
             n[0] += 1
             n[1] += len(raw) + len(MAGIC)
@@ -170,7 +173,9 @@ def _on_chain(table: pa.Table) -> pa.Table:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, page, kind, refers, digest, length) of each record; digest is that of the payload read, or of a revisit's header."""
+    """(file, at, page, kind, refers, digest, length, payload) of each record: length bytes follow its header; digest and payload
+    (bytes) are those of what was read, or of a revisit's header.
+    """
     pieces = saved(_raw(spark, path).mapInArrow(_pieces, _PIECE))
     # Blocks follow one another in a file; the text before a file's first magic is its first piece.
     blocks = pieces.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("size"))
@@ -185,12 +190,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     found = marked.groupBy("file", "block").applyInArrow(_on_chain, "file string, block long, at long")
     chain = records.join(saved(found), ["file", "block", "at"])
     broken = saved(chain.filter("not whole").select("file", "at", "next", "length"))
-    good = chain.filter("whole").select("file", "at", "page", "kind", "refers", "digest", "length")
+    good = chain.filter("whole").select("file", "at", "page", "kind", "refers", "digest", "length", "payload")
     if broken.isEmpty():
         return good
     # Payloads with a magic in them: their pieces are read again and put together.
+    files = bounded(broken.select("file").distinct())
+    record = chain.join(files, "file").select("file", "block", F.col("at").alias("piece"), F.lit(True).alias("starts"))
+    own = placed.join(files, "file").select("file", "block", "seq", F.col("at").alias("piece")).join(record, ["file", "block", "piece"], "left")
+    within = Window.partitionBy("file", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.when(F.col("starts"), F.col("piece"))
+    last = record.groupBy("file", "block").agg(F.max("piece").alias("last"))
+    carried = blocks.join(last, ["file", "block"], "left").select("file", "block", F.max("last").over(before).alias("carried"))
+    own = own.withColumn("record", F.last(start, ignorenulls=True).over(within)).join(bounded(saved(carried)), ["file", "block"]).withColumn("record", F.coalesce("record", "carried"))
     span = broken.select("file", F.col("at").alias("record"), F.col("next").alias("until"), "length")
-    parts = placed.select("file", "block", "seq", F.col("at").alias("piece")).join(bounded(span), "file").filter("piece >= record and piece < until")
+    parts = own.join(bounded(span), ["file", "record"]).filter("piece < until")
     parts = saved(parts.select("file", "block", "seq", "piece", "record", "length"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@ import base64
 import hashlib
 import re
 
-from cairn.llm import licenses, warc
+from cairn.llm import licenses, queries, warc
 from cairn.operators.tables import work_path
 
 
@@ -29,6 +29,7 @@ def test_round_trip_with_magic_in_payloads(spark):
     want = [(i, "response" if first[digest(h)] == i else "revisit", None if first[digest(h)] == i else first[digest(h)], digest(h), len((h or "").encode()) if first[digest(h)] == i else 0) for i, _, h in pages]
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted([(r.page, r.kind, r.refers, r.digest, r.length) for r in got], key=key) == sorted(want, key=key)
+    assert sorted([(r.page, r.payload) for r in got], key=key) == sorted([(i, len((h or "").encode())) for i, _, h in pages], key=key)
 
 
 def test_empty_table(spark):
@@ -37,6 +38,18 @@ def test_empty_table(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_query_of_pages_equals_brute_force(spark, tmp_path):
+    long = "word \r\n\r\n" * 400_000
+    pages = [(k, f"u{k}", h) for k, h in enumerate(["a", "b", "a", None, "", long, long, "x WARC/1.0\r\ny" * 9, "c WARC/1.0\r\n\r\n", "b", "a"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "page_id as id", "url as digest", "url as file").write.parquet(str(tmp_path / "pages.parquet"))
+    first = {}
+    for i, _, h in pages:
+        first.setdefault(h or "", i)
+    want = [(i, len((h or "").encode()), digest(h), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, _, h in pages]
+    got = queries.op5_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+
+
 def spans(df):
     return {r.doc_id: (r.n_words, [tuple(s) for s in r.spans]) for r in licenses.license_spans(df).collect()}
 
