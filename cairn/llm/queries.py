@@ -53,11 +53,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     records = warc.read_warc(spark, path)
-    # A revisit's payload is that of the response it refers to.
-    first = records.filter("kind = 'response'").groupBy(F.col("page").alias("refers"), "digest").agg(F.max("length").alias("of"))
-    out = records.join(first, ["refers", "digest"], "left")
-    size = F.when(F.col("kind") == "revisit", F.col("of")).otherwise(F.col("length"))
-    return out.select(F.col("page").alias("page_id"), size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
+    return records.select(F.col("page").alias("page_id"), F.col("payload").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
+
+
+#: Base32 of a SHA-1: of every 40 bits (10 hex digits) 8 digits of 5 bits.
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(1 + 10 * (k // 8) AS INTEGER), 10) AS BIGINT) >> (35 - 5 * (k % 8))) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +118,4 @@ FROM parts
 """
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_suffix_tree": op6_suffix_tree, "op7_licenses": op7_licenses, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_chat_format": OP10_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op10_chat_format": OP10_SQL}

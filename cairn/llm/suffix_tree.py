@@ -11,7 +11,8 @@ MAX_STATES most frequent contexts (a tree as well: a suffix is no rarer) and the
 words of a text, and its symbols after contexts that the head may lack (a bit map of fixed size tells), meet their counts in
 joins.
 
-Null and empty texts are an end mark alone. Repeated rows get equal scores. With nothing learned, symbols are equally likely.
+Null and empty texts are an end mark alone; texts may be of any length. Repeated rows get equal scores. With nothing learned,
+symbols are equally likely. An empty table gives an empty result. Other columns aren't read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.words import U64, buffers, lower_ascii, mix64, not_space, slices, words
-from cairn.operators.tables import bounded, saved
+from cairn.operators.tables import bounded, join_groups, saved
 
 DEPTH, MAX_STATES, GAIN, SMOOTH = 5, 1 << 17, 12.0, 8.0
 #: Bytes of text that are turned into symbols at once; temporary arrays take some 60 times as much.
@@ -153,20 +154,21 @@ class Tree:
 
 def build_tree(contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray) -> Tree:
     """contexts[d - 1]: (context, symbol, count) of the kept contexts of d symbols, sorted; root: counts without context."""
-    base = (root + 0.5) / (root.sum() + 32.0)
-    probs, depth, known = [base[None, :]], [np.zeros(1, np.int8)], np.zeros(1, np.int64)
+    p = ((root + 0.5) / (root.sum() + 32.0))[None, :]
+    logs, depth, known = [np.log10(p).astype(np.float32)], [np.zeros(1, np.int8)], np.zeros(1, np.int64)
     child, first = [np.full((1, 64), -1, np.int32)], 0
     for d, (ctx, sym, n) in enumerate(contexts, 1):
         own, of = np.unique(ctx, return_inverse=True)
         if not len(own):
             break
         parent = np.searchsorted(known, own & ((1 << (6 * (d - 1))) - 1))
-        counts = np.zeros((len(own), 64))
-        np.add.at(counts, (of, sym), n)
-        p = (counts + SMOOTH * probs[-1][parent]) / (counts.sum(1, keepdims=True) + SMOOTH)
+        total = np.bincount(of, n, len(own))
+        p = p[parent] * SMOOTH
+        p[of, sym] += n
+        p /= (total + SMOOTH)[:, None]
         child[-1][parent, own >> (6 * (d - 1))] = first + len(known) + np.arange(len(own))
         first += len(known)
-        probs.append(p)
+        logs.append(np.log10(p).astype(np.float32))
         depth.append(np.full(len(own), d, np.int8))
         child.append(np.full((len(own), 64), -1, np.int32))
         known = own
@@ -177,7 +179,7 @@ def build_tree(contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root:
         more = child_all[(near << 6) | s]
         alive &= more >= 0
         near = np.where(alive, more, near).astype(np.int32)
-    return Tree(child_all, np.log10(np.concatenate(probs)).astype(np.float32).ravel(), depth_all, near)
+    return Tree(child_all, np.concatenate(logs).ravel(), depth_all, near)
 
 
 def _count(df: DataFrame) -> DataFrame:
@@ -356,7 +358,9 @@ def score_texts(df: DataFrame, learn: Column, text_col: str = "text", id_col: st
         logs = bounded(saved(_gram_logs(saved(met.select("g").distinct()), kept, root)))
         beyond = met.join(logs, "g").groupBy("key", "row").agg(F.sum(F.col("times") * F.col("logp")).alias("beyond")).groupBy("key").agg(F.max("beyond").alias("beyond"))
         sums, score = sums.join(beyond, "key", "full"), score + F.coalesce("beyond", F.lit(0.0))
-    out = rows.drop("tail", "grams").join(sums, "key", "left")
+    # One row for a distinct text, whatever the number of its copies.
+    per_text = rows.groupBy("key").agg(F.count("*").alias("copies")).join(sums, "key", "left")
+    out = join_groups(rows.drop("tail", "grams"), saved(per_text), ["key"], "copies")
     base = F.col("head_base") + F.coalesce("tail_base", F.lit(0.0)) + F.lit(end_score) - F.col("n_tokens") * F.lit(norm)
     known = F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(n_docs > 0))
     return out.select(F.col("id").alias(id_col), "n_tokens", known.alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -176,6 +176,55 @@ def test_suffix_tree_and_its_base(docs_of, monkeypatch, head):
     assert len(same) == 1
 
 
+def plain_scores(docs, learn):
+    """Every context of up to DEPTH symbols counted, tested and smoothed in dictionaries, then walked symbol by symbol."""
+    sym, share, end = suffix_tree.SYMBOL, suffix_tree.SHARE, suffix_tree.END
+    low = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+    def symbols(text):
+        raw = b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())).translate(low)
+        return [int(sym[b]) for b in raw] + [end], float(sum(share[b] for b in raw))
+
+    counts = collections.defaultdict(collections.Counter)
+    for i, t in docs:
+        if learn(i):
+            s = [end] * suffix_tree.DEPTH + symbols(t)[0]
+            for k in range(suffix_tree.DEPTH, len(s)):
+                for d in range(suffix_tree.DEPTH + 1):
+                    counts[tuple(s[k - d : k])][s[k]] += 1
+    total = {c: sum(n.values()) for c, n in counts.items()}
+    kept = {()}
+    for c, n in counts.items():
+        gain = sum(m * math.log(m / total[c] / (counts[c[1:]][x] / total[c[1:]])) for x, m in n.items()) if c else 0
+        if c and gain >= suffix_tree.GAIN:
+            kept |= {c[j:] for j in range(len(c))}
+
+    def p(c, x):
+        if not c:
+            return (counts[c][x] + 0.5) / (total.get(c, 0) + 32)
+        return (counts[c][x] + suffix_tree.SMOOTH * p(c[1:], x)) / (total[c] + suffix_tree.SMOOTH)
+
+    out = {}
+    for i, t in docs:
+        own, spread = symbols(t)
+        s, score = [end] * suffix_tree.DEPTH + own, spread
+        for k in range(suffix_tree.DEPTH, len(s)):
+            d = 0
+            while d < suffix_tree.DEPTH and tuple(s[k - d - 1 : k]) in kept:
+                d += 1
+            score += math.log10(p(tuple(s[k - d : k]), s[k]))
+        out[i] = score
+    return out
+
+
+def test_scores_equal_a_plain_walk(docs_of):
+    docs, _ = corpus(60, 3)
+    docs += [(500, None), (501, ""), (502, " Émile  ñandú\x0b9,5 "), (503, docs[0][1]), (504, "grumbl 12 3"), (505, "x" * 3000)]
+    rows = suffix_tree.score_texts(docs_of(*docs), fold(F.col("doc_id"), 5) != 1).collect()
+    want = plain_scores(docs, lambda i: zlib.crc32(str(i).encode()) % 5 != 1)
+    assert {r.doc_id: r.score for r in rows} == {i: pytest.approx(s, rel=1e-5) for i, s in want.items()}
+
+
 @pytest.mark.parametrize("head", [0, 40])
 def test_contexts_beyond_the_head_score_alike(docs_of, monkeypatch, head):
     docs, _ = corpus(150, 3)
