@@ -3,13 +3,17 @@
 Texts are lower-cased (A-Z) and cut into words [a-z0-9 and non-ASCII]+. Phrases are found where their words stand
 consecutively. Notices are found with errors: a notice with k allowed edits is split into k + 1 pieces, one of which must
 stand unchanged in any match (pigeonhole); around each piece found the regex library matches the whole notice with at most
-k errors and gives its span and edits. Whole texts are searched, and all places are reported.
+k errors and gives its span and edits. The words of a notice that name its license or version (in braces) must stand in the
+match unchanged, so one license isn't taken for another. Of matches that overlap, the closest and then the longest counts.
+Whole texts are searched, and all places are reported.
 
-Null counts as an empty text: no words, no spans. Repeated rows give equal results; an empty table gives an empty one.
+Null counts as an empty text: no words, no spans. Texts may be of any length. Repeated rows give equal results; an empty
+table gives an empty one. Other columns aren't read, so their names may clash.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +27,47 @@ from cairn.llm.words import buffers, letters_digits, lower_ascii, slices
 # Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Notices that are found with errors, and their labels.
+# Notices that are found with errors, and their labels. Words in braces must stand as they are.
 NOTICES = {
-    "released under the mit license": "mit",
+    "released under the {mit} license": "mit",
+    "licensed under the {mit} license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "licensed under the apache license version 2 0": "apache-2",
-    "gnu general public license version 3": "gpl-3",
-    "gnu general public license version 2": "gpl-2",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
+    "licensed under the {apache} license {version 2} 0": "apache-2",
+    "the {apache} software license {version 1} 1": "apache-1",
+    "gnu {general public} license {version 1}": "gpl-1",
+    "gnu {general public} license {version 2}": "gpl-2",
+    "gnu {general public} license {version 3}": "gpl-3",
+    "gnu {lesser} general public license": "lgpl",
+    "gnu {library} general public license": "lgpl",
+    "gnu {affero} general public license": "agpl",
+    "released under the {bsd} license": "bsd",
+    "licensed under the {bsd} license": "bsd",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
+    "subject to the terms of the {mozilla} public license": "mpl",
+    "subject to the terms of the {eclipse} public license": "epl",
+    "made available under the terms of the {eclipse} public license": "epl",
+    "released under the {isc} license": "isc",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "creative commons attribution sharealike": "cc-by-sa",
-    "licensed under cc by nc 4 0": "cc-by-nc",
+    "distributed under the {boost} software license": "boost",
+    "released under the {zlib} license": "zlib",
+    "released under the {artistic} license": "artistic",
+    "licensed under the {european union} public licence": "eupl",
+    "licensed under the sil {open font} license": "ofl",
+    "common development and distribution license": "cddl",
+    "creative commons {attribution 4} 0": "cc-by",
+    "creative commons {attribution noncommercial}": "cc-by-nc",
+    "creative commons {attribution noncommercial sharealike}": "cc-by-nc-sa",
+    "creative commons {attribution noncommercial noderivatives}": "cc-by-nc-nd",
+    "creative commons {attribution sharealike}": "cc-by-sa",
+    "creative commons {attribution noderivatives}": "cc-by-nd",
+    "creative commons {zero} 1 0 universal": "cc0",
+    "licensed under {cc by 4} 0": "cc-by",
+    "licensed under {cc by nc 4} 0": "cc-by-nc",
+    "licensed under {cc by nc sa 4} 0": "cc-by-nc-sa",
+    "licensed under {cc by nc nd 4} 0": "cc-by-nc-nd",
+    "licensed under {cc by sa 4} 0": "cc-by-sa",
+    "licensed under {cc by nd 4} 0": "cc-by-nd",
     "all rights reserved": "all-rights-reserved",
 }
 #: Characters of a notice per allowed edit, and the most edits.
@@ -47,6 +76,16 @@ PER_EDIT, MOST_EDITS = 10, 6
 SCHEMA = "id long, n_words long, spans array<struct<label:string,notice:string,first_word:long,end_word:long,edits:int,base:boolean>>"
 
 
+def _in_order(whole: bytes, start: int, end: int, exact: list[bytes]) -> bool:
+    """Whether the words from start to end, the cut ones at both ends as a whole, hold the exact ones in their order."""
+    at, stop = whole.rfind(b" ", 0, start + 1), whole.find(b" ", end)
+    for words_ in exact:
+        if (at := whole.find(words_, max(at, 0), stop + 1)) < 0:
+            return False
+        at += len(words_) - 1
+    return True
+
+
 class Scanner:
     """The notices' pieces and patterns."""
 
@@ -54,13 +93,14 @@ class Scanner:
         self.phrases = [(b" " + p.encode() + b" ", label, p, len(p.split())) for p, label in phrases.items()]
         self.pieces: dict[bytes, list[tuple[int, int]]] = {}
         self.notices = []
-        for n, (notice, label) in enumerate(notices.items()):
-            raw = notice.encode()
+        for n, (marked, label) in enumerate(notices.items()):
+            notice = marked.replace("{", "").replace("}", "")
+            raw, exact = notice.encode(), [b" " + w.encode() + b" " for w in re.findall(r"\{(.*?)\}", marked)]
             k = min(MOST_EDITS, len(raw) // PER_EDIT)
             cuts = [len(raw) * j // (k + 1) for j in range(k + 2)]
             for a, z in zip(cuts[:-1], cuts[1:]):
                 self.pieces.setdefault(raw[a:z], []).append((n, a))
-            self.notices.append((regex.compile(b"(?b)(?:" + regex.escape(raw, special_only=True) + b"){e<=%d}" % k), notice, label, len(raw), k))
+            self.notices.append((regex.compile(b"(?b)(?:" + regex.escape(raw, special_only=True) + b"){e<=%d}" % k), notice, label, len(raw), k, exact))
 
     def scan(self, texts: pa.Array) -> list[tuple[int, list[tuple[str, str, int, int, int, bool]]]]:
         """Of each text: its number of words, and its spans in order."""
@@ -100,16 +140,21 @@ class Scanner:
                 at = whole.find(piece, at + 1)
         fuzzy: dict[int, list] = {}
         for n, starts in spots.items():
-            pattern, notice, label, size, k = self.notices[n]
+            pattern, notice, label, size, k, exact = self.notices[n]
             done = -1
             for d, s in sorted(starts):
-                a, z = max(s - k, int(heads[d]), done), min(s + size + 2 * k, int(heads[d + 1]) - 1)
-                if m := pattern.search(whole, a, z):
-                    fuzzy.setdefault(d, []).append((sum(m.fuzzy_counts) / size, m.start(), m.end(), sum(m.fuzzy_counts), label, notice))
-                    done = m.end()
+                left = [(max(s - k, int(heads[d]), done), min(s + size + 2 * k, int(heads[d + 1]) - 1))]
+                while left:  # the best match, then what is before and after it
+                    a, z = left.pop()
+                    if z - a < size - k or not (m := pattern.search(whole, a, z)):
+                        continue
+                    left += [(a, m.start()), (m.end(), z)]
+                    if _in_order(whole, m.start(), m.end(), exact):
+                        fuzzy.setdefault(d, []).append((sum(m.fuzzy_counts) / size, m.start() - m.end(), m.start(), m.end(), sum(m.fuzzy_counts), label, notice))
+                        done = max(done, m.end())
         for matches in fuzzy.values():  # of matches that overlap, the closest one counts
             taken: list[tuple[int, int]] = []
-            for _, a, z, edits, label, notice in sorted(matches):
+            for _, _, a, z, edits, label, notice in sorted(matches):
                 if all(z <= x or y <= a for x, y in taken):
                     taken.append((a, z))
                     add(a, z, label, notice, edits, False)

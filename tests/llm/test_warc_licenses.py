@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 
 from cairn.llm import licenses, queries, warc
@@ -78,3 +79,64 @@ def test_notice_without_its_first_characters_is_found_wherever_the_text_stands(d
     text = "is free and unencumbered software released into the public domain by us"
     got = spans(docs_of((1, text), (2, "some text before"), (3, text), (4, text)).coalesce(1))
     assert [s[0] for s in got[1][1]] == ["unlicense"] and got[1] == got[3] == got[4] and got[2][1] == []
+
+
+def test_one_license_is_not_taken_for_another(docs_of):
+    want = {
+        "released under the bsd license": ["bsd"], "released under the isc license": ["isc"], "licensed under cc by sa 4 0": ["cc-by-sa"],
+        "GNU General Public License version 1": ["gpl-1"], "gnu general public license version 4": [], "licensed under the apache license version 1 1": [],
+        "Licensed under the Apache License, Version 2.0": ["apache-2"], "gnu general publc license, version 3": [], "gnus general public licence version 3 0": ["gpl-3"],
+        "released under teh mit license": ["mit"], "released under the mitt license": [], "creative commons attribution noncommercial sharealike 4.0": ["cc-by-nc-sa"], "gnu general public license version 21": [],
+    }
+    got = spans(docs_of(*enumerate(want)))
+    assert {t: sorted({s[0] for s in got[i][1] if not s[5]}) for i, t in enumerate(want)} == want
+
+
+def edits_of(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_planted_notices_equal_a_full_scan(docs_of):
+    """Notices with up to k edits outside their exact words, alone and back to back: each is found where it stands."""
+    rng, rows, want = random.Random(17), [], {}
+    word = lambda: "".join(rng.choices("bdfgjkqvwxz", k=rng.randint(2, 8)))
+    for i in range(400):
+        parts = []
+        for _ in range(rng.choice([1, 1, 2])):
+            marked = rng.choice(list(licenses.NOTICES))
+            chars, inside = [], False
+            for c in marked:
+                if c in "{}":
+                    inside = c == "{"
+                else:
+                    chars.append([c, inside])
+            size = len(chars)
+            free = [j for j in range(1, size - 1) if not chars[j][1] and chars[j][0] != " " and not (chars[j - 1][1] or chars[j + 1][1])]
+            for j in rng.sample(free, min(len(free), rng.randint(0, min(licenses.MOST_EDITS, size // licenses.PER_EDIT)))):
+                chars[j][0] = rng.choice(["", "#", chars[j][0] * 2]).replace("#", "q")
+            parts.append((marked, "".join(c for c, _ in chars)))
+        before, after = [word() for _ in range(rng.randint(0, 9))], [word() for _ in range(rng.randint(0, 9))]
+        rows.append((i, " ".join([*before, *[t for _, t in parts], *after])))
+        want[i] = [(licenses.NOTICES[m], m.replace("{", "").replace("}", "")) for m, _ in parts]
+    got = spans(docs_of(*rows))
+    for i, text in rows:
+        found = [s for s in got[i][1] if not s[5]]
+        words = text.split()
+        assert len(found) == len(want[i]) and {s[0] for s in found} == {label for label, _ in want[i]}, (text, found)
+        for label, notice, first, end, edits, _ in found:
+            assert edits_of(notice, " ".join(words[first:end])) <= edits + 2 and edits <= min(licenses.MOST_EDITS, len(notice) // licenses.PER_EDIT)
+
+
+def test_license_query_on_a_small_table(spark, docs_of, tmp_path):
+    long = "word " * 200_000 + "Released undr the MIT licence. " + "and more " * 50_000 + "Under the MIT License"
+    rows = [(1, "under the mit license"), (2, None), (3, ""), (4, "released under the bsd license, cc-by-nc"), (5, "nothing here"), (6, long), (6, long)]
+    docs_of(*rows).selectExpr("*", "doc_id as id", "text as spans", "doc_id as n_words").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(queries.op7_licenses(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    short = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got]
+    assert short == [(1, 4, 1, 0, 0, "mit", "mit"), (2, 0, 0, None, None, "", ""), (3, 0, 0, None, None, "", ""), (4, 8, 1, 5, 5, "cc-by-nc", "bsd,cc-by-nc"), (5, 2, 0, None, None, "", ""), *[(6, 300009, 1, 300005, 300005, "mit", "mit")] * 2]
+    assert [r.score for r in got[:5]] == [1.0, 0.0, 0.0, 1.0, 0.0]
