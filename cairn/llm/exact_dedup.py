@@ -28,15 +28,14 @@ def _refined(df: DataFrame, text_col: str, prefix_chars: int) -> tuple[DataFrame
     sized = df.withColumn(size, F.octet_length(text).cast("long"))
 
     # 1. Lengths that occur once have no copy.
-    sizes = saved(bit_table(sized.groupBy(size).agg(F.count("*").alias("n")).filter("n > 1").select(size)))
+    sizes = bit_table(sized.groupBy(size).agg(F.count("*").alias("n")).filter("n > 1").select(size))
     sized = marked(sized, sizes, hit, F.col(size))
 
     # 2. Among the rest, (length, prefix hash) that occur once have no copy.
     prefixed = sized.withColumn(prefix, F.when(F.col(hit), F.xxhash64(F.substring(text, 1, prefix_chars))))
     pairs = prefixed.filter(F.col(hit)).groupBy(size, prefix).agg(F.count("*").alias("n")).filter("n > 1").select(size, prefix)
-    pairs = saved(bit_table(pairs))
     pair = fresh_name(prefixed, "pair")
-    found = marked(prefixed, pairs, pair, F.col(size), F.col(prefix)).withColumn(hit, F.col(hit) & F.col(pair)).drop(pair)
+    found = marked(prefixed, bit_table(pairs), pair, F.col(size), F.col(prefix)).withColumn(hit, F.col(hit) & F.col(pair)).drop(pair)
 
     # 3. Whole texts are hashed for what survives.
     return found.withColumn(key, F.when(F.col(hit), F.sha2(text.cast("binary"), 256))).drop(size, prefix), key, hit

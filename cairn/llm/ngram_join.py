@@ -26,7 +26,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,11 +42,11 @@ COARSE = 16
 #: n-grams of a block's documents, and documents in a block, on average at most.
 BLOCK_GRAMS, BLOCK_DOCS = 400_000, 384
 #: n-grams of a fragment in which documents' common n-grams are counted, and n-grams that a task holds before it sends them.
-FRAGMENT_GRAMS, HELD_GRAMS = 2_000_000, 1_500_000
+FRAGMENT_GRAMS, HELD_GRAMS = 2_000_000, 1_000_000
 #: Stands for several documents of a task.
 SEVERAL = 0
 #: Fragments that a task holds before it ties and sends them.
-HELD_SIGS = 1_000_000
+HELD_SIGS = 500_000
 #: Distinct sets that a task remembers, so as not to send their fragments twice.
 SEEN = 500_000
 
@@ -389,7 +388,7 @@ def _classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
 def _with_ids(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Of docs (id, text) the rows whose id is among keys', and perhaps a few others; docs aren't shuffled."""
-    return marked(docs, saved(bit_table(keys.select("id"))), "wanted", F.col("id")).filter("wanted").select("id", "text")
+    return marked(docs, bit_table(keys.select("id")), "wanted", F.col("id")).filter("wanted").select("id", "text")
 
 
 def ngram_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -428,7 +427,7 @@ def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "d
     first = of.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("f"), F.count("*").alias("n"), F.sum("n_rows").alias("rows"))
     several = join_groups(of, saved(first.filter("rows > 1")), ["component"])
     several = saved(several.select("id", "k", (F.col("id").eqNullSafe(F.col("f.id")) & (F.col("k") == F.col("f.k"))).alias("stays")))
-    touched = saved(bit_table(several.select("id")))
+    touched = bit_table(several.select("id"))
 
     def keyed(of: DataFrame, id_: Column) -> DataFrame:
         return of.withColumns({key_id: F.coalesce(id_, F.lit(0)), no_id: id_.isNull()})

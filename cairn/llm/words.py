@@ -141,7 +141,7 @@ def words(texts: pa.Array, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(start, offsets, "left"), start, end, np.concatenate(hashes) if hashes else np.empty(0, U64)
 
 
-def slices(texts: pa.Array, limit: int = 4 * CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 2 * CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes each, or of one longer text."""
     _, offsets = buffers(texts)
     lo = 0

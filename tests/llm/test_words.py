@@ -30,3 +30,19 @@ def test_sliced_arrays():
     first, *_ = w.words(a, w.not_space())
     assert first.tolist() == [0, 1, 1, 4]
     assert list(w.slices(a, 2)) == [(0, 2), (2, 3)]
+
+
+def test_bit_tables_miss_no_key(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.llm import spark_io
+
+    keys = spark.range(0, 5000, 7).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), (F.col("id") % 3).cast("string").alias("s"))
+    bits = spark_io.bit_table(keys)
+    df = spark.range(20000).select(F.when(F.col("id") > 0, F.col("id")).alias("bits"), (F.col("id") % 3).cast("string").alias("row"))
+    got = spark_io.marked(df, bits, "in_", F.col("bits"), F.col("row"))
+    assert got.columns == ["bits", "row", "in_"] and bits.size == 1 << 15
+    rows = got.collect()
+    assert all(r.in_ for r in rows if (r.bits or 0) % 7 == 0 and (r.bits or 0) < 5000)
+    assert sum(r.in_ for r in rows if (r.bits or 0) % 7 or (r.bits or 0) >= 5000) < 0.1 * len(rows)
+    assert not any(r.in_ for r in spark_io.marked(df, spark_io.bit_table(keys.limit(0)), "in_", F.col("bits"), F.col("row")).collect())
