@@ -113,6 +113,7 @@ def merged_metadata(existing: Column, incoming: Column) -> Column:
 
 
 def distance_label(metres: Column) -> Column:
+    """Metres, or kilometres with two digits or none; halves are rounded up, as the decimal numbers are written."""
     return F.when(metres < 1000, F.format_string("%d m", F.round(metres).cast("long"))).when(metres < 100_000, F.format_string("%.2f km", metres / 1000)).otherwise(F.format_string("%d km", F.round(metres / 1000).cast("long")))
 
 

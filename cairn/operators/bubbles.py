@@ -56,15 +56,19 @@ def bubble_radius(count: np.ndarray, scale: float) -> np.ndarray:
     return steps * max(scale, 0.1) + 2
 
 
+def radius(count: Column, scale: float) -> Column:
+    """bubble_radius as a column."""
+    return F.when(count <= 1, 8).when(count < 10, 10).when(count < 100, 12).when(count < 1000, 15).otherwise(18) * F.lit(float(max(scale, 0.1))) + 2
+
+
 _MERGED = ("cell_id", "count", "latitude", "longitude", "min_lat", "max_lat", "min_lon", "max_lon", "asset_id")
 
 
 def _touching(b: DataFrame, zoom: int, scale: float) -> DataFrame:
     """(a, b): ids of the bubbles whose circles touch; each meets those of its own and the eight squares around it."""
     k = max(scale, 0.1)
-    r = F.when(F.col("count") <= 1, 8).when(F.col("count") < 10, 10).when(F.col("count") < 100, 12).when(F.col("count") < 1000, 15).otherwise(18) * F.lit(float(k)) + 2
     square = 2 * (18 * k + 2)  # of the side of the largest circle
-    at = b.select("id", lon_to_px("longitude", zoom).alias("x"), lat_to_px("latitude", zoom).alias("y"), r.alias("r"))
+    at = b.select("id", lon_to_px("longitude", zoom).alias("x"), lat_to_px("latitude", zoom).alias("y"), radius(F.col("count"), scale).alias("r"))
     at = at.withColumns({"gx": F.floor(F.col("x") / square), "gy": F.floor(F.col("y") / square)})
     near = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     other = at.select(F.col("id").alias("b"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("r").alias("q"), near.alias("g")).select("b", "u", "v", "q", "g.*")

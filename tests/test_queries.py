@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from cairn.plans.catalog_queries import ORACLES, QUERIES
+from cairn.plans.import_queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
