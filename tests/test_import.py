@@ -7,9 +7,9 @@ from cairn.sources import readers
 from cairn.sources.media import read_media_folder
 from cairn.streaming.ingest import stream_imports
 
-GPX = """<?xml version="1.0"?><g:gpx><trk><trkseg><g:trkpt lat="48.1" lon="11.5"><ele>5</ele><g:time>2024-01-01T00:00:00Z</g:time></g:trkpt>
-<trkpt lat="91" lon="1"><time>2024-01-01T00:00:01Z</time></trkpt><trkpt lat='48.2' lon='11.6'/>
-<WPT lon="11.7" lat="48.3"><time>2024-01-01T01:00:02.250+01:00</time></WPT></trkseg></trk></g:gpx>"""
+GPX = """<?xml version="1.0"?><g:gpx><WPT lon="-58.4" lat="-34.6"><time>2024-01-01T01:00:02.250+01:00</time></WPT><rte><rtept lat='-34.7' lon='-58.5'/>
+<rtept lat="7" lon="-180.5"><time>2024-01-01T00:00:07Z</time></rtept></rte><trk><trkseg><g:trkpt lon="11.5" lat="48.1"><hdop>3</hdop>
+<g:time>2024-01-01T00:00:00Z</g:time></g:trkpt></trkseg></trk></g:gpx>"""
 RECORDS = {"locations": [{"latitudeE7": 481000000, "longitudeE7": "115000000", "timestamp": "2024-01-01T00:00:00.5Z", "accuracy": 12, "source": "WIFI", "activity": [{"x": 1}], "other": 1}, {"latitudeE7": 481000000, "longitudeE7": 115000000, "timestampMS": "1704067201000"}, {"latitudeE7": 981000000, "longitudeE7": 1}]}
 TIMELINE = {
     "semanticSegments": [
@@ -34,7 +34,7 @@ def folder(tmp_path):
 
 def test_gpx_counts_all_tags(spark, folder):
     rows = readers.gpx_points(readers.read_files(spark, str(folder / "a.gpx"))).orderBy("index").collect()
-    assert [(r["index"], r.ok, r.timestamp_ms) for r in rows] == [(1, True, 1704067200000), (2, False, 1704067201000), (3, False, None), (4, True, 1704067202250)]
+    assert [(r["index"], r.ok, r.timestamp_ms) for r in rows] == [(1, True, 1704067202250), (2, False, None), (3, False, 1704067207000), (4, True, 1704067200000)]
 
 
 def test_records_times_and_metadata(spark, folder):
