@@ -184,8 +184,13 @@ _add("durations", lambda s, d: geo_events(s, d).select("asset_id", values.durati
      f"WITH {GEO_SQL} SELECT asset_id, CASE WHEN end_timestamp_ms - 7200000 >= timestamp_ms THEN end_timestamp_ms - 7200000 - timestamp_ms END AS ms FROM ge")
 _add("distance_labels", lambda s, d: geo_events(s, d).select("asset_id", values.distance_label(F.col("asset_id") * 37.0 + 0.25).alias("label")),
      f"WITH {GEO_SQL}, m AS (SELECT asset_id, asset_id * CAST(37 AS DOUBLE) + CAST(0.25 AS DOUBLE) AS x FROM ge) SELECT asset_id, CASE WHEN x < 1000 THEN format('{{}} m', CAST(x AS BIGINT)) WHEN x < 100000 THEN format('{{:.2f}} km', x / 1000) ELSE format('{{}} km', CAST(floor(x / 1000 + 0.5) AS BIGINT)) END AS label FROM m")
-_MAPS = F.create_map(F.lit("a"), F.col("kind"), F.lit("b"), F.when(F.col("asset_id") % 2 == 0, F.lit("x"))), F.create_map(F.lit("b"), F.lit("y"), F.lit("c"), F.col("event_type"))
-_add("metadata_merge", lambda s, d: geo_events(s, d).select("asset_id", values.merged_metadata(*_MAPS).alias("m")).select("asset_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"), F.col("m")["c"].alias("c")),
+
+
+def _maps() -> tuple[Column, Column]:
+    return F.create_map(F.lit("a"), F.col("kind"), F.lit("b"), F.when(F.col("asset_id") % 2 == 0, F.lit("x"))), F.create_map(F.lit("b"), F.lit("y"), F.lit("c"), F.col("event_type"))
+
+
+_add("metadata_merge", lambda s, d: geo_events(s, d).select("asset_id", values.merged_metadata(*_maps()).alias("m")).select("asset_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"), F.col("m")["c"].alias("c")),
      f"WITH {GEO_SQL} SELECT asset_id, kind AS a, CASE WHEN asset_id % 2 = 0 THEN 'x' ELSE 'y' END AS b, event_type AS c FROM ge")
 _add("media_kinds", lambda s, d: geo_events(s, d).select("asset_id", values.media_kind(F.when(F.col("asset_id") % 4 == 0, "video/mp4").otherwise(""), F.concat(F.lit("d/f."), F.element_at(F.array(*map(F.lit, ("JPG", "mov", "txt"))), (F.col("asset_id") % 3 + 1).cast("int")))).alias("kind")),
      f"WITH {GEO_SQL} SELECT asset_id, CASE WHEN asset_id % 4 = 0 THEN 'video' WHEN asset_id % 3 = 0 THEN 'image' WHEN asset_id % 3 = 1 THEN 'video' END AS kind FROM ge")
