@@ -44,6 +44,16 @@ def group_points(items: DataFrame) -> DataFrame:
     return found.select("group_id", "sequence", ms_to_sec("timestamp_ms").alias("ts_sec"), to_e7("latitude", 90).alias("lat_e7"), to_e7("longitude", 180).alias("lon_e7"), "asset_id")
 
 
+def with_point_ranges(groups: DataFrame, points: DataFrame) -> DataFrame:
+    """groups with n_points, first_sequence and last_sequence of their points; 0 and nulls if a group has none.
+
+    Points are counted before they are shuffled, so the join has one row per group on each side. With group_points sorted by
+    (group_id, sequence), the range bounds what a later read of a group has to scan.
+    """
+    ranges = points.groupBy("group_id").agg(F.count("*").alias("n_points"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"))
+    return groups.join(ranges, "group_id", "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
+
+
 def matching_groups(groups: DataFrame, spec: SearchSpec) -> DataFrame:
     """Groups with a kind asked for, whose time and bounds meet the search's."""
     out = groups
@@ -59,8 +69,11 @@ def matching_groups(groups: DataFrame, spec: SearchSpec) -> DataFrame:
     return out
 
 
-def group_search(groups: DataFrame, spec: SearchSpec, limit: int = DEFAULT_GROUPS) -> DataFrame:
-    """A page by (start, end, id), backwards for timestamp_desc; a limit of 0 is an empty page."""
+def group_search(groups: DataFrame, spec: SearchSpec, limit: int = DEFAULT_GROUPS, probe: bool = False) -> DataFrame:
+    """A page by (start, end, id), backwards for timestamp_desc; a limit of 0 is an empty page.
+
+    probe adds one row to the page, if there is one: the limit was reached if the result has more than limit rows.
+    """
     keys = ("start_sec", "end_sec", "group_id")
     order = [F.col(c).desc() if spec.order == "timestamp_desc" else F.col(c).asc() for c in keys]
-    return matching_groups(groups, spec).orderBy(*order).offset(max(0, spec.offset)).limit(max(0, limit))
+    return matching_groups(groups, spec).orderBy(*order).offset(max(0, spec.offset)).limit(max(0, limit) + probe)

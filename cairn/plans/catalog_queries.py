@@ -183,6 +183,13 @@ def _group_points(s: SparkSession, d: str) -> DataFrame:
 _add("group_points", _group_points, f"WITH {TRIP_SQL} SELECT group_id, sequence, ts_sec, {_e7_sql('latitude', 90)} AS lat_e7, {_e7_sql('longitude', 180)} AS lon_e7, asset_id FROM tp")
 
 
+_add("group_point_ranges", lambda s, d: groups.with_point_ranges(groups.group_summary(_members(s, d)), _group_points(s, d).filter("asset_id % 3 = 0")).select("group_id", "count", "n_points", "first_sequence", "last_sequence"),
+     f"""WITH {_GROUP_SQL}, {TRIP_SQL}, r AS (SELECT group_id, count(*) AS n, min(sequence) AS a, max(sequence) AS b FROM tp WHERE asset_id % 3 = 0 GROUP BY group_id)
+  SELECT g.group_id, g.count, coalesce(r.n, 0) AS n_points, r.a AS first_sequence, r.b AS last_sequence FROM g LEFT JOIN r ON g.group_id = r.group_id""")
+_add("group_search_probe", lambda s, d: _flat(groups.group_search(groups.group_summary(_members(s, d)), SearchSpec(order="timestamp_asc"), 5, probe=True)),
+     f"WITH {_GROUP_SQL} SELECT {', '.join(_GROUP)} FROM g ORDER BY start_sec, end_sec, group_id LIMIT 6")
+
+
 # --- lines
 
 _W = "PARTITION BY group_id ORDER BY sequence, ts_sec, asset_id"
