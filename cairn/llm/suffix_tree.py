@@ -230,13 +230,14 @@ class Kept:
 
 
 def _kept(grams: DataFrame) -> Kept:
-    """The contexts that pass the divergence test, and their suffixes."""
-    # Gram counts by context of d symbols: the gram's last d + 1 symbols.
-    levels = []
-    for d in range(DEPTH + 1):
-        mask = (1 << (6 * (d + 1))) - 1
-        t = grams.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("n"))
-        levels.append(saved(t.select(F.shiftright("g", 6).alias("ctx"), F.col("g").bitwiseAND(F.lit(63)).cast("int").alias("sym"), "n")))
+    """The contexts that pass the divergence test, and their suffixes; grams (key, n) has each key once."""
+    # Gram counts by context of d symbols, a gram's last d + 1; each level is summed from the one above, which has more rows.
+    gram, levels = grams.select(F.col("key").alias("g"), "n"), []
+    for d in range(DEPTH, -1, -1):
+        if d < DEPTH:
+            mask = (1 << (6 * (d + 1))) - 1
+            gram = saved(gram.groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("n")))
+        levels.insert(0, gram.select(F.shiftright("g", 6).alias("ctx"), F.col("g").bitwiseAND(F.lit(63)).cast("int").alias("sym"), "n"))
     gains = None
     totals = [t.groupBy("ctx").agg(F.sum("n").alias("total")) for t in levels]
     for d in range(1, DEPTH + 1):
