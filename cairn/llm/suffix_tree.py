@@ -221,43 +221,27 @@ def _count(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "kind int, key long, n long")
 
 
-@dataclass
-class Kept:
-    """Per depth 0 to DEPTH: counts (ctx, sym, n) of the kept contexts; states: (d, ctx, total) of all but the empty one."""
-
-    counts: list[DataFrame]
-    states: DataFrame
-
-
-def _kept(grams: DataFrame) -> Kept:
-    """The contexts that pass the divergence test, and their suffixes; grams (key, n) has each key once."""
-    # Gram counts by context of d symbols, a gram's last d + 1; each level is summed from the one above, which has more rows.
-    gram, levels = grams.select(F.col("key").alias("g"), "n"), []
-    for d in range(DEPTH, -1, -1):
-        if d < DEPTH:
-            mask = (1 << (6 * (d + 1))) - 1
-            gram = saved(gram.groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("n")))
-        levels.insert(0, gram.select(F.shiftright("g", 6).alias("ctx"), F.col("g").bitwiseAND(F.lit(63)).cast("int").alias("sym"), "n"))
-    gains = None
-    totals = [t.groupBy("ctx").agg(F.sum("n").alias("total")) for t in levels]
-    for d in range(1, DEPTH + 1):
-        low = (1 << (6 * (d - 1))) - 1
-        own = levels[d].join(totals[d], "ctx").withColumn("suffix", F.col("ctx").bitwiseAND(F.lit(low)))
-        up = levels[d - 1].join(totals[d - 1], "ctx").select(F.col("ctx").alias("suffix"), "sym", (F.col("n") / F.col("total")).alias("q"))
-        g = own.join(up, ["suffix", "sym"]).groupBy("ctx").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
-        g = g.filter(F.col("gain") >= GAIN).select(F.lit(d).alias("d"), "ctx", "gain")
-        gains = g if gains is None else gains.unionByName(g)
-    best = saved(gains.select("d", "ctx"))
-    out, states, deeper = [], None, None
-    for d in range(DEPTH, 0, -1):
-        own = best.filter(F.col("d") == d).select("ctx")
-        if deeper is not None:
-            own = own.unionByName(deeper.select(F.col("ctx").bitwiseAND(F.lit((1 << (6 * d)) - 1)).alias("ctx"))).distinct()
-        deeper = own
-        state = totals[d].join(own, "ctx", "left_semi").select(F.lit(d).alias("d"), "ctx", "total")
-        states = state if states is None else states.unionByName(state)
-        out.append(levels[d].join(own, "ctx", "left_semi"))
-    return Kept([levels[0].select("ctx", "sym", "n"), *out[::-1]], saved(states))
+def _low(ctx: Column, d: Column) -> Column:
+    """The last d symbols of ctx."""
+    return ctx.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (d * 6).cast("int")) - 1)
+
+
+def _kept(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(root, kept) of grams (key, n), each key once. root: sym, n of all symbols. kept: the contexts that pass the
+    divergence test, and their suffixes, as d, ctx, total and nexts, an array of (sym, n) of at most 64 symbols."""
+    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("key", 6).bitwiseAND(F.lit((1 << (6 * d)) - 1)).alias("ctx")) for d in range(DEPTH + 1)]))
+    rows = grams.select(F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("sym"), "n", levels.alias("c")).groupBy("c.d", "c.ctx", "sym").agg(F.sum("n").alias("n"))
+    rows = saved(rows)
+    totals = saved(rows.groupBy("d", "ctx").agg(F.sum("n").alias("total")))
+    suffix = _low(F.col("ctx"), F.col("d") - 1)
+    # A context's gain is the sum of n * log((n / total) / (n of the suffix / total of the suffix)); a suffix meets at most 64 contexts.
+    up = rows.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("suffix"), "sym", F.col("n").alias("m"))
+    gain = rows.filter("d > 0").withColumn("suffix", suffix).join(up, ["d", "suffix", "sym"]).groupBy("d", "ctx", "suffix").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log(F.col("n") / F.col("m"))).alias("gain"))
+    up = totals.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("suffix"), F.col("total").alias("total_up"))
+    best = gain.join(up, ["d", "suffix"]).filter(F.col("gain") + F.col("total") * F.log(F.col("total_up") / F.col("total")) >= GAIN)
+    own = best.select("ctx", F.explode(F.sequence(F.lit(1), "d")).alias("d")).select("d", _low(F.col("ctx"), F.col("d")).alias("ctx")).distinct()
+    kept = rows.join(own, ["d", "ctx"]).groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("nexts"))
+    return rows.filter("d = 0").select("sym", "n"), saved(kept)
 
 
 def _map(states: DataFrame) -> np.ndarray:
@@ -269,14 +253,15 @@ def _map(states: DataFrame) -> np.ndarray:
     return bits
 
 
-def _gram_logs(grams: DataFrame, kept: Kept, root: np.ndarray) -> DataFrame:
+def _gram_logs(grams: DataFrame, kept: DataFrame, root: np.ndarray) -> DataFrame:
     """(g, logp) of grams (g): log10 of the last symbol after the longest kept context, as build_tree smooths it."""
     base = F.array(*[F.lit(float(x)) for x in (root + 0.5) / (root.sum() + 32.0)])
     out = grams.withColumn("sym", F.col("g").bitwiseAND(F.lit(63)).cast("int")).withColumn("p", F.get(base, F.col("sym")))
     for d in range(1, DEPTH + 1):
-        total = bounded(kept.states.filter(F.col("d") == d).select("ctx", "total"))
-        out = out.withColumn("ctx", F.shiftright("g", 6).bitwiseAND(F.lit((1 << (6 * d)) - 1))).join(total, "ctx", "left").join(bounded(saved(kept.counts[d])), ["ctx", "sym"], "left")
-        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("n", F.lit(0)) + SMOOTH * F.col("p")) / (F.col("total") + SMOOTH))
+        own = kept.filter(F.col("d") == d).select("ctx", "total", F.map_from_entries("nexts").alias("nexts"))
+        # There are at most 4096 contexts of two symbols, so they are broadcast; longer ones meet 64 ** 3 grams each at most.
+        out = out.withColumn("ctx", F.shiftright("g", 6).bitwiseAND(F.lit((1 << (6 * d)) - 1))).join(F.broadcast(own) if d < 3 else own, "ctx", "left")
+        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce(F.col("nexts")[F.col("sym")], F.lit(0)) + SMOOTH * F.col("p")) / (F.col("total") + SMOOTH))
         out = out.select("g", "sym", p.alias("p"))
     return out.select("g", F.log10("p").alias("logp"))
 
@@ -287,17 +272,17 @@ def score_texts(df: DataFrame, learn: Column, text_col: str = "text", id_col: st
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"))
     learned = docs.filter("learn").select("text")
     counts = saved(_count(learned).groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    kept = _kept(counts.filter("kind = 0").select("key", "n"))
-    states, bits = kept.states, None
-    if states.count() > MAX_STATES:
-        states = saved(states.orderBy(F.desc("total"), "d", "ctx").limit(MAX_STATES))
-        bits = _map(kept.states.join(states, ["d", "ctx"], "left_anti"))
-    heads = [kept.counts[0], *(t.join(states.filter(F.col("d") == d).select("ctx"), "ctx", "left_semi") for d, t in enumerate(kept.counts[1:], 1))]
-    tables = [t.toArrow() for t in heads]
-    parts = [tuple(t[c].to_numpy() for c in ("ctx", "sym", "n")) for t in tables]
-    root = np.zeros(64)
-    np.add.at(root, parts[0][1], parts[0][2])
-    tree = build_tree(parts[1:], root)
+    first, kept = _kept(counts.filter("kind = 0").select("key", "n"))
+    states, bits = kept, None
+    if kept.count() > MAX_STATES:
+        states = saved(kept.orderBy(F.desc("total"), "d", "ctx").limit(MAX_STATES))
+        bits = _map(kept.select("d", "ctx").join(states.select("d", "ctx"), ["d", "ctx"], "left_anti"))
+    heads = states.select("d", "ctx", F.inline("nexts")).toArrow()
+    depth, *head = (heads[c].to_numpy() for c in ("d", "ctx", "sym", "n"))
+    parts = [tuple(x[depth == d] for x in head) for d in range(1, DEPTH + 1)]
+    root, seen = np.zeros(64), first.toArrow()
+    np.add.at(root, seen["sym"].to_numpy(), seen["n"].to_numpy())
+    tree = build_tree(parts, root)
 
     vocabulary = counts.filter("kind = 1").select(F.col("key").alias("word"), "n")
     n_docs = learned.count()
@@ -356,7 +341,7 @@ def score_texts(df: DataFrame, learn: Column, text_col: str = "text", id_col: st
     if bits is not None:  # each text's grams meet their probabilities; equal texts get one sum
         met = rows.withColumn("row", F.monotonically_increasing_id()).select("key", "row", F.explode("grams").alias("x"))
         met = met.select("key", "row", F.col("x").bitwiseAND(F.lit((1 << _GRAM) - 1)).alias("g"), F.shiftright("x", _GRAM).alias("times"))
-        logs = bounded(saved(_gram_logs(saved(met.select("g").distinct()), kept, root)))
+        logs = bounded(saved(_gram_logs(met.select("g").distinct(), kept, root)))
         beyond = met.join(logs, "g").groupBy("key", "row").agg(F.sum(F.col("times") * F.col("logp")).alias("beyond")).groupBy("key").agg(F.max("beyond").alias("beyond"))
         sums, score = sums.join(beyond, "key", "full"), score + F.coalesce("beyond", F.lit(0.0))
     # One row for a distinct text, whatever the number of its copies.
