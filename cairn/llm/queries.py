@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, suffix_tree, toxicity, warc
+from cairn.llm import centroids, chat, decontaminate, exact_dedup, licenses, mixing, ngram_join, quality, simhash, suffix_tree, toxicity, warc, whitening
 from cairn.llm.spark_io import table, text_or_empty
 from cairn.operators.tables import work_path
 
@@ -117,5 +117,48 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY blk) - 1 AS par
 FROM parts
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_suffix_tree": op6_suffix_tree, "op7_licenses": op7_licenses, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op10_chat_format": OP10_SQL}
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+#: Of op12, fixed by its contract.
+CENTROIDS, ROUNDS, DIMS = 40, 5, 64
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS, dims=DIMS, scale=256, seed="2")
+
+
+def _lloyd_sql() -> str:
+    """Rounds of assignments a0, a1, ... to centroids c0, c1, ..., a row for each component."""
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT v, k, CAST(sum((e.x - c.x) * (e.x - c.x)) AS BIGINT) AS d FROM e JOIN c{r} c USING (i) GROUP BY v, k),
+a{r} AS MATERIALIZED (SELECT v, min_by(k, (d, k)) AS k, min(d) AS d FROM d{r} GROUP BY v)""")
+        if r < ROUNDS:
+            steps.append(f"""m{r} AS MATERIALIZED (SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e JOIN a{r} USING (v) GROUP BY k, i),
+c{r + 1} AS MATERIALIZED (SELECT k, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{r} LEFT JOIN m{r} USING (k, i))""")
+    return ",\n".join(steps)
+
+
+OP12_SQL = f"""
+WITH p AS MATERIALIZED (SELECT row_number() OVER () AS v, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT v, unnest(range({DIMS})) AS i, unnest(list_transform(embedding, lambda x : CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS x FROM p),
+h AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM p QUALIFY k < {CENTROIDS}),
+c0 AS MATERIALIZED (SELECT k, i, x FROM e JOIN h USING (v)),
+{_lloyd_sql()},
+s AS (SELECT k, sha256(string_agg(x, ',' ORDER BY i)) AS sha FROM c{ROUNDS} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM a{ROUNDS} JOIN p USING (v) JOIN s USING (k)
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_suffix_tree": op6_suffix_tree, "op7_licenses": op7_licenses, "op8_source_mix": op8_source_mix, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format, "op11_whitening": op11_whitening, "op12_centroids": op12_centroids, "op13_simhash": op13_simhash}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op10_chat_format": OP10_SQL, "op12_centroids": OP12_SQL}
