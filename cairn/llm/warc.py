@@ -10,8 +10,10 @@ each magic into a candidate (offset, successor's offset). Within a block of a fi
 led to where their chain leaves the block; pointer jumping from each file's start over blocks, with offsets joined to offsets
 and jumps doubling each round, finds where blocks are entered, and only records on the chain from there are kept. Magic
 inside a payload isn't reached.
-Payloads that hold the magic are put together from their pieces in a second scan, of these files' pieces only: within a
-block, each piece belongs to the last record before it, or to the last one of the blocks before.
+Payloads that hold the magic are put together from their pieces: within a block, each piece belongs to the last record
+before it, or to the last one of the blocks before. A second scan fetches the bytes of these pieces by their content (128
+bits of hash and the length, per file), not by their place in a split, so the two scans may be split differently. A record
+whose pieces don't make up its length raises an error.
 """
 
 from __future__ import annotations
@@ -94,37 +96,38 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-_PIECE = "file string, block long, seq long, at long, bytes long, page long, kind string, refers long, digest string, length long, payload long, next long, whole boolean"
+_PIECE = "file string, block long, h1 long, h2 long, at long, bytes long, page long, kind string, refers long, digest string, length long, payload long, next long, whole boolean"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every piece between two magics: its place in its block, and the candidate it may be. at is from the block's first piece on."""
-    counts: dict[tuple[str, int], list[int]] = {}
+    sizes: dict[tuple[str, int], int] = {}
     schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in _PIECE.split(", "))])
     for b in batches:
         rows = []
-        for raw, file, block in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for raw, *place in zip(b.column(0), *(b.column(k).to_pylist() for k in range(1, 5))):
             raw = raw.as_buffer().to_pybytes()
-            n = counts.setdefault((file, block), [0, 0])
+            at = sizes.setdefault((place[0], place[1]), 0)
             head = _header(raw)
-            row = [file, block, n[0], n[1], len(raw)]
+            row = [*place, at, len(raw)]
             if head:
                 start, f = head
                 length = int(f[b"content-length"])
                 whole = len(raw) >= start + length
                 digest = _digest(raw[start : start + length]) if whole and f[b"warc-type"] != b"revisit" else f.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("ascii", "replace")
-                row += [_page(f.get(b"warc-record-id")), f[b"warc-type"].decode("utf-8", "replace"), _page(f.get(b"warc-refers-to")), digest, length, int(full) if (full := f.get(b"x-payload-length", b"")).isdigit() else length, n[1] + start + length + len(END) + len(MAGIC), whole]
+                row += [_page(f.get(b"warc-record-id")), f[b"warc-type"].decode("utf-8", "replace"), _page(f.get(b"warc-refers-to")), digest, length, int(full) if (full := f.get(b"x-payload-length", b"")).isdigit() else length, at + start + length + len(END) + len(MAGIC), whole]
             else:
                 row += [None] * 8
             rows.append(row)
-            n[0] += 1
-            n[1] += len(raw) + len(MAGIC)
+            sizes[place[0], place[1]] = at + len(raw) + len(MAGIC)
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, file, block, h1, h2): what is between two magics, with 128 bits of its hash."""
     text = spark.read.option("lineSep", MAGIC).text(path)
-    return text.select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = text.select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.withColumns({"h1": F.xxhash64("raw"), "h2": F.xxhash64(F.lit(MAGIC), "raw")})
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -196,7 +199,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # Payloads with a magic in them: their pieces are read again and put together.
     files = bounded(broken.select("file").distinct())
     record = chain.join(files, "file").select("file", "block", F.col("at").alias("piece"), F.lit(True).alias("starts"))
-    own = placed.join(files, "file").select("file", "block", "seq", F.col("at").alias("piece")).join(record, ["file", "block", "piece"], "left")
+    own = placed.join(files, "file").select("file", "block", "h1", "h2", "bytes", F.col("at").alias("piece")).join(record, ["file", "block", "piece"], "left")
     within = Window.partitionBy("file", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
     start = F.when(F.col("starts"), F.col("piece"))
     last = record.groupBy("file", "block").agg(F.max("piece").alias("last"))
@@ -204,25 +207,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     own = own.withColumn("record", F.last(start, ignorenulls=True).over(within)).join(bounded(saved(carried)), ["file", "block"]).withColumn("record", F.coalesce("record", "carried"))
     span = broken.select("file", F.col("at").alias("record"), F.col("next").alias("until"), "length")
     parts = own.join(bounded(span), ["file", "record"]).filter("piece < until")
-    parts = saved(parts.select("file", "block", "seq", "piece", "record", "length"))
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], int] = {}
-        for b in batches:
-            seq = []
-            for key in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                seq.append(counts.get(key, 0))
-                counts[key] = seq[-1] + 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq, pa.int64())], ["raw", "file", "block", "seq"])
+    parts = saved(parts.select("file", "h1", "h2", "bytes", "piece", "record", "length"))
 
     def joined(table: pa.Table) -> pa.Table:
         table = table.sort_by("piece")
         raw = MAGIC.encode().join(x.as_buffer().to_pybytes() for x in table["raw"])
         start, _ = _header(raw)
         payload = raw[start : start + table["length"][0].as_py()]
+        if len(payload) < table["length"][0].as_py():
+            raise ValueError(f"a record of {table['file'][0]} at {table['record'][0]} isn't complete")
         return pa.table({"file": table["file"][:1], "at": table["record"][:1], "found": [_digest(payload)]})
 
-    raw = _raw(spark, path).mapInArrow(numbered, "raw binary, file string, block long, seq long").join(bounded(parts), ["file", "block", "seq"])
-    digests = raw.groupBy("file", "record").applyInArrow(joined, "file string, at long, found string")
-    rest = chain.filter("not whole").join(digests, ["file", "at"]).withColumn("digest", F.when(F.col("kind") == "revisit", F.col("digest")).otherwise(F.col("found")))
+    # A content is fetched once a file, however many of the file's records hold it.
+    content = ["file", "h1", "h2", "bytes"]
+    raw = _raw(spark, path).withColumn("bytes", F.octet_length("raw").cast("long")).join(bounded(parts.select(*content).distinct()), content, "left_semi")
+    raw = raw.groupBy(*content).agg(F.any_value("raw").alias("raw"))
+    digests = parts.join(raw, content, "left").groupBy("file", "record").applyInArrow(joined, "file string, at long, found string")
+    lost = F.raise_error(F.concat(F.lit("no pieces of the record at "), F.col("at").cast("string"), F.lit(" of "), F.col("file")))
+    digest = F.when(F.col("kind") == "revisit", F.col("digest")).when(F.col("found").isNull(), lost.cast("string")).otherwise(F.col("found"))
+    rest = chain.filter("not whole").join(digests, ["file", "at"], "left").withColumn("digest", digest)
     return good.unionByName(rest.select(*good.columns))

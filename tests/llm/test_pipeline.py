@@ -77,7 +77,7 @@ def test_run_reads_and_writes_each_stage(spark, folder):
 
 def test_every_numbered_query_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 def test_queries_of_the_small_table(spark, folder):

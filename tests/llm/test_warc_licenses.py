@@ -33,6 +33,32 @@ def test_round_trip_with_magic_in_payloads(spark):
     assert sorted([(r.page, r.payload) for r in got], key=key) == sorted([(i, len((h or "").encode())) for i, _, h in pages], key=key)
 
 
+def test_scans_may_be_split_differently(spark):
+    """Every third payload holds the magic; the second scan, which fetches their pieces, has other splits than the first."""
+    pages = [(k, f"u{k}", f"page {k} " + "word " * (k % 50) + (f"WARC/1.0\r\nx{k % 9} " * (k % 4 + 1) if k % 3 == 0 else "")) for k in range(2000)]
+    path, old = work_path(spark, "warc"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), path)
+    for first, second in (("7k", "3k"), ("1m", "5k")):
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first)
+            records = warc.read_warc(spark, path)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+            got = {r.page: r.digest for r in records.collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == {i: digest(h) for i, _, h in pages}
+
+
+def test_a_cut_archive_raises(spark):
+    import pytest
+
+    path = work_path(spark, "warc")
+    record = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 90\r\n\r\nabc WARC/1.0\r\nd"
+    spark.createDataFrame([(record,)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    with pytest.raises(Exception, match="complete"):
+        warc.read_warc(spark, path).collect()
+
+
 def test_empty_table(spark):
     path = work_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
