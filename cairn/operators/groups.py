@@ -31,17 +31,17 @@ def group_summary(items: DataFrame) -> DataFrame:
     )
 
 
-def group_points(items: DataFrame) -> DataFrame:
-    """(group_id, sequence, ts_sec, lat_e7, lon_e7, asset_id) of each located place in a group.
+def group_points(items: DataFrame, name: str = "asset_id") -> DataFrame:
+    """(group_id, sequence, ts_sec, lat_e7, lon_e7, asset_id) of each located place in a group; name: the column that names an item.
 
     An item's locations count, with their own time first; its own group counts if none of them has one.
     """
     base = items.filter("latitude is not null and longitude is not null")
-    own = base.filter(~F.exists("locations", lambda x: x["group_id"].isNotNull())).select("asset_id", "latitude", "longitude", "group_id", "sequence", "timestamp_ms")
-    each = base.select("asset_id", "latitude", "longitude", F.col("timestamp_ms").alias("item_ms"), F.explode("locations").alias("l"))
-    each = each.select("asset_id", "latitude", "longitude", "l.group_id", "l.sequence", F.coalesce("l.timestamp_ms", "item_ms").alias("timestamp_ms"))
+    own = base.filter(~F.exists("locations", lambda x: x["group_id"].isNotNull())).select(name, "latitude", "longitude", "group_id", "sequence", "timestamp_ms")
+    each = base.select(name, "latitude", "longitude", F.col("timestamp_ms").alias("item_ms"), F.explode("locations").alias("l"))
+    each = each.select(name, "latitude", "longitude", "l.group_id", "l.sequence", F.coalesce("l.timestamp_ms", "item_ms").alias("timestamp_ms"))
     found = each.unionByName(own).filter("group_id is not null and sequence is not null and timestamp_ms is not null")
-    return found.select("group_id", "sequence", ms_to_sec("timestamp_ms").alias("ts_sec"), to_e7("latitude", 90).alias("lat_e7"), to_e7("longitude", 180).alias("lon_e7"), "asset_id")
+    return found.select("group_id", "sequence", ms_to_sec("timestamp_ms").alias("ts_sec"), to_e7("latitude", 90).alias("lat_e7"), to_e7("longitude", 180).alias("lon_e7"), name)
 
 
 def with_point_ranges(groups: DataFrame, points: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ _add("materialised_assets", lambda s, d: _catalog(s, d).assets().select("asset_i
 _add("assets_of_a_source", lambda s, d: predicates.from_source(_catalog(s, d).assets(), "b").select("media_id", "source_id", F.size("locations").cast("long").alias("n_locations"), F.get("locations", F.lit(0))["source_label"].alias("label")),
      f"WITH {_ASSETS_SQL} SELECT media_id, 'b' AS source_id, CAST(1 AS BIGINT) AS n_locations, 'b' AS label FROM aa WHERE n_locations = 2")
 _add("listed_sources", lambda s, d: _catalog(s, d).list_sources().select("source_id", "label", "generation"), "SELECT 'a' AS source_id, 'Tracks' AS label, CAST(1 AS BIGINT) AS generation UNION ALL SELECT 'b', 'Records', 2")
-_add("catalog_time_index", lambda s, d: _catalog(s, d)._indexed("time_geo").select("asset_id", "ts_sec", "lat_e7", "has_geo"),
+_add("catalog_time_index", lambda s, d: _catalog(s, d).time_index().select("asset_id", "ts_sec", "lat_e7", "has_geo"),
      f"WITH {_ASSETS_SQL} SELECT asset_id, timestamp_ms // 1000 AS ts_sec, CAST(floor(CAST(string_split(media_id, ':')[3] AS DOUBLE) * CAST(1e7 AS DOUBLE) + 0.5) AS INTEGER) AS lat_e7, TRUE AS has_geo FROM aa")
 
 # --- pages of whole items, probes and windows

@@ -9,9 +9,10 @@ from cairn.functions.values import basename, file_occurrence_id, media_kind
 from cairn.operators.catalog import LOCATION, as_items
 
 
-def read_media_folder(spark: SparkSession, root: str, source_id: str, label: str | None = None) -> DataFrame:
-    """Items of the images and videos under root, at any depth; the time is the file's."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def read_media_folder(spark: SparkSession, root: str, source_id: str, label: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """Items of the images and videos under root, at any depth, or of some paths there; the time is the file's."""
+    read = spark.read.format("binaryFile")
+    files = read.load(paths) if paths else read.option("recursiveFileLookup", True).load(root)
     files = files.withColumn("kind", media_kind(F.lit(""), F.col("path"))).filter("kind is not null")
     absolute = F.regexp_replace("path", "^file:/+", "/")
     rel = F.regexp_replace(F.replace(absolute, F.lit(root.removeprefix("file:").rstrip("/")), F.lit("")), "^/+", "")

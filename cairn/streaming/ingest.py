@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,19 +15,29 @@ from cairn.sources.readers import file_format, read_gpx, read_records, read_time
 def stream_imports(spark: SparkSession, folder: str, catalog: Catalog, source_id: str, checkpoint: str, files_per_batch: int = 100, materialise: bool = True) -> StreamingQuery:
     """Starts a query that imports what is in folder and ends; run again with the same checkpoint it imports what is new.
 
-    A batch that is tried again repeats its occurrences; merging by content hash and location makes that harmless.
+    A batch is committed with its number, so one that is tried again replaces what it wrote before and counts once. Each batch
+    merges its own media ids into the catalog. To cancel, see cancel_stream().
     """
-    row = catalog.sources().filter(F.col("source_id") == source_id).first()
-    generation = row["generation"] if row and row["active"] else catalog.prepare_import(source_id)
+    row = catalog.source(source_id)
+    generation = row["generation"] if row and row["active"] and row["generation"] else catalog.prepare_import(source_id)
     files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).schema("value string").load(folder)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    # Batches of another checkpoint aren't repetitions: they get numbers of their own.
+    run = zlib.crc32(checkpoint.encode()) << 32
 
     def commit(batch: DataFrame, number: int) -> None:
         batch = batch.withColumn("format", file_format(F.col("content")))
         of = lambda name: batch.filter(F.col("format") == name)
         items = read_gpx(of("gpx"), source_id).unionByName(read_records(of("records"), source_id)).unionByName(read_timeline(of("timeline"), source_id))
-        catalog.append(items, generation, number)
-        if materialise:
-            catalog.materialise()
+        with catalog.transaction():
+            catalog.append(items, generation, run + number, source_id)
+            if materialise:
+                catalog.materialise()
 
     return files.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cancel_stream(query: StreamingQuery, catalog: Catalog, source_id: str, commit: int) -> None:
+    """Stops an import and takes back what it committed: the source is again as it was at the commit before it began."""
+    query.stop()
+    catalog.rollback(source_id, commit)
