@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -174,6 +174,12 @@ class _Folder:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
+    def delete_matching(self, pattern: str, rule: Callable[[str], bool]) -> None:
+        """Deletes what a pattern of paths finds, if rule holds for its name."""
+        for found in self.fs.globStatus(self._path(pattern)) or ():
+            if rule(found.getPath().getName()):
+                self.fs.delete(found.getPath(), True)
+
 
 class Catalog:
     """Sources, occurrences and what materialise() derives, under a folder.

@@ -1,14 +1,16 @@
 """The search index: narrow rows in two layouts, by time and by place, and pages that read only the ranges they need.
 
 By time, keys are (second, media id); a page reads ranges from one end until it is full. By place, keys are a Z-order curve
-of coordinates, so a range covers a small box; nearest neighbours take ranges by their boxes' lowest distances until no
-other range can hold a nearer item. Pages are exact and equal those of search.time_page and search.knn_page, if asset ids
+of coordinates, so a range covers a small box; nearest neighbours take ranges by the lowest distance of
+their boxes and squares, about twice as many rows each time, until no other range can hold a nearer item. Pages are exact and equal those of search.time_page and search.knn_page, if asset ids
 follow media ids.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +77,40 @@ def lowest_distance_m(lat: float, lon: float, box: dict) -> float:
     return EARTH_RADIUS_M * best
 
 
+def _cells(lo: int, hi: int) -> Iterator[dict]:
+    """The squares of the curve from lo to hi, as boxes: few, and each as large as it can be."""
+    while lo <= hi:
+        level = 0
+        while level < PLACE_BITS and lo % (4 << 2 * level) == 0 and lo + (4 << 2 * level) - 1 <= hi:
+            level += 1
+        x, y = (sum((lo >> 2 * k + side & 1) << k for k in range(PLACE_BITS)) for side in (0, 1))
+        a, b = 360.0 / (1 << PLACE_BITS), 180.0 / (1 << PLACE_BITS)
+        yield {"min_lon": x * a - 180, "max_lon": (x + (1 << level)) * a - 180, "min_lat": y * b - 90, "max_lat": (y + (1 << level)) * b - 90}
+        lo += 1 << 2 * level
+
+
+def _from_place(lat: float, lon: float, ranges: list[dict]) -> Iterator[tuple[float, dict]]:
+    """(a distance that no item of the range is below, the range), nearest first. Boxes come first; squares are looked at when their turn comes."""
+
+    def safe(d: float) -> float:
+        return d * (1 - 1e-9) - SLACK_M
+
+    heap = [(safe(lowest_distance_m(lat, lon, r)), i, False) for i, r in enumerate(ranges)]
+    heapq.heapify(heap)
+    while heap:
+        d, i, exact = heapq.heappop(heap)
+        r = ranges[i]
+        if exact:
+            yield d, r
+            continue
+        parts = []
+        for c in _cells(*(int(r[k][: PLACE_BITS // 2], 16) for k in ("lo", "hi"))):
+            own = {"min_lat": max(c["min_lat"], r["min_lat"]), "max_lat": min(c["max_lat"], r["max_lat"]), "min_lon": max(c["min_lon"], r["min_lon"]), "max_lon": min(c["max_lon"], r["max_lon"])}
+            if own["min_lat"] <= own["max_lat"] and own["min_lon"] <= own["max_lon"]:
+                parts.append(lowest_distance_m(lat, lon, own))
+        heapq.heappush(heap, (max(d, safe(min(parts))) if parts else d, i, True))
+
+
 @dataclass
 class Index:
     """Both layouts. read holds the ranges that the last page needed, and rows their rows."""
@@ -115,22 +151,24 @@ class Index:
         """As search.knn_page, of index rows."""
         spec = spec.page()
         (lat, lon), need, b = spec.center, spec.offset + spec.limit + probe, spec.bounds
-        far = sorted(((lowest_distance_m(lat, lon, r) * (1 - 1e-9) - SLACK_M, r) for r in self.place.ranges if b is None or r["max_lat"] >= b.min_lat and r["min_lat"] <= b.max_lat and r["max_lon"] >= b.min_lon and r["min_lon"] <= b.max_lon), key=lambda x: (x[0], x[1]["lo"]))
+        ranges = [r for r in self.place.ranges if b is None or r["max_lat"] >= b.min_lat and r["min_lat"] <= b.max_lat and r["max_lon"] >= b.min_lon and r["min_lon"] <= b.max_lon]
+        order = _from_place(lat, lon, ranges)
+        near: list[dict] = []
+        ahead = next(order, None)  # the next range, and its lowest distance
 
-        def nearest(take: int) -> DataFrame:
-            rows = self._found(self.place, [r for _, r in far[:take]], spec, True).withColumn("distance_m", haversine_m(lat, lon, "latitude", "longitude"))
+        def nearest() -> DataFrame:
+            rows = self._found(self.place, list(near), spec, True).withColumn("distance_m", haversine_m(lat, lon, "latitude", "longitude"))
             return rows.orderBy(F.round("distance_m", 6).asc(), F.col("media_id").asc())
 
-        take = 0
-        while take < len(far):
-            goal = max(need, 2 * sum(r["n"] for _, r in far[:take]))
-            while take < len(far) and sum(r["n"] for _, r in far[:take]) < goal:
-                take += 1
-            last = nearest(take).offset(need - 1).limit(1).collect()
-            if last:  # ranges that may hold something as near
-                take = max(take, sum(d <= last[0]["distance_m"] for d, _ in far))
-                break
-        return nearest(take).offset(spec.offset).limit(spec.limit + probe)
+        bound, goal = math.inf, need
+        while ahead and ahead[0] <= bound:
+            while ahead and ahead[0] <= bound and sum(r["n"] for r in near) < goal:
+                near.append(ahead[1])
+                ahead = next(order, None)
+            last = nearest().offset(need - 1).limit(1).collect()
+            bound = last[0]["distance_m"] if last else math.inf
+            goal = 2 * sum(r["n"] for r in near)
+        return nearest().offset(spec.offset).limit(spec.limit + probe)
 
 
 def build_index(assets: DataFrame, path: str, per_range: int = ROWS) -> Index:

@@ -5,31 +5,34 @@ Files hold a bounded number of points each, so that their number grows with the
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import geo, values
-from cairn.operators import bubbles, catalog, groups, lines, predicates, search
+from cairn.operators import bubbles, catalog, groups, index, lines, predicates, search
 from cairn.operators.catalog import Catalog
-from cairn.operators.tables import work_path
+from cairn.operators.tables import saved, work_path
 from cairn.plans import catalog_queries
 from cairn.plans.catalog_queries import _GROUP, _GROUP_SQL, ORACLES, QUERIES, _add, _d, _flat, _members  # noqa: F401
 from cairn.plans.spec import SearchSpec
 from cairn.plans.urlstate import spec_from_query
 from cairn.plans.views import GEO_SQL, TRIP_SQL, geo_events, trip_points
 from cairn.sources import readers
+from cairn.sources.rescan import rescan
 
 #: Points, or timeline segments, in a file.
 POINTS, SEGMENTS = 2000, 500
 
 
-def _written(df: DataFrame, per_file: int, entry: Column, head: str, tail: str, between: str, suffix: str) -> str:
-    """A fresh folder of text files made of entries (null ones are left out) in the order of asset_id, per_file ids in each."""
-    path = work_path(df.sparkSession, "export")
+def _written(df: DataFrame, per_file: int, entry: Column, head: str, tail: str, between: str, suffix: str, path: str | None = None) -> str:
+    """A folder of text files made of entries (null ones are left out) in the order of asset_id, per_file ids in each; in a folder that is there, files of other ids stay."""
+    path = path or work_path(df.sparkSession, "export")
     file = F.concat(F.floor(F.col("asset_id") / per_file).cast("string"), F.lit(suffix))
     rows = df.select("asset_id", file.alias("file"), entry.alias("entry")).filter("entry is not null")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("asset_id", "entry"))), lambda x: x["entry"]), between)
-    rows.groupBy("file").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("value")).write.partitionBy("file").text(path)
+    rows.groupBy("file").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").text(path)
     return path
 
 
@@ -41,11 +44,11 @@ def _degrees(column: str) -> Column:
     return F.col(column).cast("decimal(12,4)").cast("string")
 
 
-def _gpx(s: SparkSession, d: str) -> str:
+def _gpx(s: SparkSession, d: str, events: DataFrame | None = None, path: str | None = None) -> str:
     time = F.coalesce(F.concat(F.lit("<time>"), _iso(F.col("timestamp_ms")), F.lit("</time>")), F.lit(""))
     tag = F.element_at(F.array(F.lit("trkpt"), F.lit("x:rtept"), F.lit("WPT")), (F.col("asset_id") % 3 + 1).cast("int"))
     point = F.concat(F.lit("<"), tag, F.lit(' lat="'), _degrees("latitude"), F.lit('" lon="'), _degrees("longitude"), F.lit('">'), time, F.lit("</"), tag, F.lit(">"))
-    return _written(geo_events(s, d), POINTS, point, '<?xml version="1.0"?><gpx>', "</gpx>", "\n", "")
+    return _written(geo_events(s, d) if events is None else events, POINTS, point, '<?xml version="1.0"?><gpx>', "</gpx>", "\n", "", path)
 
 
 def _records(s: SparkSession, d: str) -> str:
@@ -157,20 +160,103 @@ _add("materialised_assets", lambda s, d: _catalog(s, d).assets().select("asset_i
      f"WITH {_ASSETS_SQL} SELECT asset_id, media_id, n_occurrences, accuracy_m, n_locations, timestamp_ms FROM aa")
 _add("assets_of_a_source", lambda s, d: predicates.from_source(_catalog(s, d).assets(), "b").select("media_id", "source_id", F.size("locations").cast("long").alias("n_locations"), F.get("locations", F.lit(0))["source_label"].alias("label")),
      f"WITH {_ASSETS_SQL} SELECT media_id, 'b' AS source_id, CAST(1 AS BIGINT) AS n_locations, 'b' AS label FROM aa WHERE n_locations = 2")
-_add("listed_sources", lambda s, d: _catalog(s, d).list_sources().select("source_id", "label", "generation"), "SELECT 'a' AS source_id, 'Tracks' AS label, CAST(1 AS BIGINT) AS generation UNION ALL SELECT 'b', 'Records', 2")
+
+
+def _sources_of_types(s: SparkSession, d: str) -> Catalog:
+    """A source for each type of events, with as many generations as its events tell; those with few events are removed."""
+    c = Catalog(s, work_path(s, "catalog"))
+    kinds = geo_events(s, d).groupBy("event_type").agg(F.count("*").alias("n")).collect()  # a row a type
+    mean = sum(r["n"] for r in kinds) / len(kinds)
+    with c.transaction():
+        for r in kinds:
+            c.upsert_source(r["event_type"], r["event_type"].upper())
+            for _ in range(1 + r["n"] % 3):
+                c.prepare_import(r["event_type"])
+        c.remove_sources([r["event_type"] for r in kinds if r["n"] < mean])
+    return c
+
+
+_add("listed_sources", lambda s, d: _sources_of_types(s, d).list_sources().select("source_id", "label", "generation"),
+     "WITH k AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) SELECT event_type AS source_id, upper(event_type) AS label, 1 + n % 3 AS generation FROM k WHERE n >= (SELECT avg(n) FROM k)")
 _add("catalog_time_index", lambda s, d: _catalog(s, d).time_index().select("asset_id", "ts_sec", "lat_e7", "has_geo"),
      f"WITH {_ASSETS_SQL} SELECT asset_id, timestamp_ms // 1000 AS ts_sec, CAST(floor(CAST(string_split(media_id, ':')[3] AS DOUBLE) * CAST(1e7 AS DOUBLE) + 0.5) AS INTEGER) AS lat_e7, TRUE AS has_geo FROM aa")
 
+
+# --- upkeep of the catalog: imports in batches, again, packed, scanned again
+
+def _in_batches(s: SparkSession, d: str, again: bool = False, packed: bool = False) -> Catalog:
+    """The records in three batches by their place in a file, each merged into what was there, and then the GPX points as another source."""
+    c = Catalog(s, work_path(s, "catalog"))
+    records, gpx = saved(_read(readers.read_records, _records(s, d), s, "b")), _read(readers.read_gpx, _gpx(s, d), s, "a")
+    g = c.prepare_import("b")
+    for k in (0, 1, 2, *([1] if again else [])):
+        with c.transaction():
+            c.append(records.filter(F.col("location.point_index") % 3 == k), g, k, "b")
+            c.materialise()
+    with c.transaction():
+        c.append(gpx, c.prepare_import("a"))
+        c.materialise()
+    if packed:
+        c.compact()
+    return c
+
+
+_BATCH_SQL = f"""WITH {_PLACED}, b AS (SELECT {_HASH} AS media_id, timestamp_ms, CASE WHEN asset_id % 4 <> 0 THEN CAST(asset_id % 100 AS DOUBLE) END AS accuracy_m, point_index % 3 AS batch, asset_id FROM ft WHERE timestamp_ms IS NOT NULL)
+  SELECT row_number() OVER (ORDER BY media_id) - 1 AS asset_id, media_id, CAST(2 * count(*) AS BIGINT) AS n_occurrences, arg_min(accuracy_m, (batch, asset_id)) FILTER (accuracy_m IS NOT NULL) AS accuracy_m, min(timestamp_ms) AS timestamp_ms, CAST(2 AS BIGINT) AS n_locations FROM b GROUP BY media_id"""
+_ASSET = ["asset_id", "media_id", "n_occurrences", "accuracy_m", "timestamp_ms"]
+for _name, _how in (("assets_in_batches", {}), ("assets_of_a_repeated_batch", {"again": True}), ("assets_after_compaction", {"packed": True})):
+    _add(_name, lambda s, d, h=_how: _in_batches(s, d, **h).assets().select(*_ASSET, F.size("locations").cast("long").alias("n_locations")), _BATCH_SQL)
+
+
+def _scanned_again(s: SparkSession, d: str) -> DataFrame:
+    """A folder of GPX files is imported; then of every four files one is written anew, one is deleted and one is added."""
+    c, root = Catalog(s, work_path(s, "catalog")), work_path(s, "folder")
+    events = geo_events(s, d)
+    file = F.floor(F.col("asset_id") / POINTS) % 4
+    _gpx(s, d, events.filter(file != 3), root)
+    c.upsert_source("r", "Folder", root)
+    rescan(c, "r")
+    c.materialise()
+    _gpx(s, d, events.filter((file == 1) & (F.col("asset_id") % 2 == 0) | (file == 3)), root)
+    c.folder.delete_matching(f"{root}/file=*", lambda name: int(name.partition("=")[2]) % 4 == 2)
+    rescan(c, "r")
+    return c.materialise()
+
+
+_add("rescanned_folder", lambda s, d: _scanned_again(s, d).select("asset_id", "media_id", "n_occurrences", F.get("locations", F.lit(0))["point_index"].alias("point_index")),
+     f"""WITH {GEO_SQL}, ft AS (SELECT *, row_number() OVER (PARTITION BY asset_id // {POINTS} ORDER BY asset_id) AS point_index FROM ge WHERE latitude IS NOT NULL AND ((asset_id // {POINTS}) % 4 IN (0, 3) OR (asset_id // {POINTS}) % 4 = 1 AND asset_id % 2 = 0))
+  SELECT row_number() OVER (ORDER BY {_HASH}) - 1 AS asset_id, {_HASH} AS media_id, CAST(1 AS BIGINT) AS n_occurrences, point_index FROM ft WHERE timestamp_ms IS NOT NULL""")
+
+# --- pages by the indexes
+
+#: Rows of a range: small ones, so that little data has many.
+_RANGE = 200
+
+
+def _index(s: SparkSession, d: str) -> index.Index:
+    return index.build_index(geo_events(s, d), work_path(s, "index"), _RANGE)
+
+
+_NEAR = SearchSpec(order="distance", center=(47.3769, 8.5417), limit=50)
+for _name, _spec in (("knn_basic", {}), ("knn_kind_media", {"kind": "media"}), ("knn_offset_page", {"offset": 75}), ("knn_polar", {"center": (89.9, 15)})):
+    _add(f"indexed_{_name}", lambda s, d, q=_spec: _index(s, d).knn_page(replace(_NEAR, **q)).select("media_id", "kind", "timestamp_ms", F.round("distance_m", 3).alias("distance_m")), ORACLES[_name])
+_TIMED = "asset_id, media_id, kind, ts_sec, latitude, longitude"
+for _name, _spec in (("time_page_desc", {}), ("time_page_asc", {"order": "timestamp_asc", "offset": 100}), ("time_page_interval_overlap", {"start_ms": catalog_queries.T1, "end_ms": catalog_queries.T2, "limit": 10_000})):
+    _add(f"indexed_{_name}", lambda s, d, q=_spec: _index(s, d).time_page(replace(SearchSpec(limit=200), **q)).select("media_id", "kind", "ts_sec", "latitude", "longitude"),
+         ORACLES[_name].replace(f"SELECT {_TIMED}", "SELECT " + _TIMED.partition(", ")[2]))
+_add("catalog_search_page", lambda s, d: _catalog(s, d).search(SearchSpec(order="timestamp_asc", limit=40, offset=15)).select("pos", "asset_id", "media_id", F.size("locations").cast("long").alias("n_locations")),
+     f"WITH {_ASSETS_SQL}, k AS (SELECT *, row_number() OVER (ORDER BY timestamp_ms // 1000, asset_id) - 16 AS pos FROM aa) SELECT pos, asset_id, media_id, n_locations FROM k WHERE pos BETWEEN 0 AND 39")
+
 # --- pages of whole items, probes and windows
 
 _PAGE = SearchSpec(order="timestamp_asc", limit=300, offset=40)
 _add("search_page_of_items", lambda s, d: search.search(geo_events(s, d), _PAGE).select("pos", "asset_id", "media_id", "event_type"),
      f"WITH {GEO_SQL}, k AS (SELECT *, row_number() OVER (ORDER BY coalesce(timestamp_ms // 1000, 0), asset_id) - 1 AS p FROM ge WHERE timestamp_ms IS NOT NULL OR latitude IS NOT NULL) SELECT p - 40 AS pos, asset_id, media_id, event_type FROM k WHERE p >= 40 AND p < 340")
-_URL = spec_from_query("sort=timestamp_asc&kind=video&page=3&pageSize=50&from=2024-01-05&to=2024-01-25")
+_URL = spec_from_query("sort=timestamp_asc&kind=media&page=2&pageSize=50&from=2024-01-05&to=2024-01-25")
 _add("search_from_url", lambda s, d: search.time_page(geo_events(s, d), _URL).select("asset_id", "kind", "ts_sec"),
-     f"""WITH {GEO_SQL} SELECT asset_id, kind, timestamp_ms // 1000 AS ts_sec FROM ge WHERE kind = 'video' AND coalesce(end_timestamp_ms, timestamp_ms) >= epoch_ms(TIMESTAMP '2024-01-05') AND timestamp_ms < epoch_ms(TIMESTAMP '2024-01-26')
-      ORDER BY ts_sec, asset_id LIMIT 50 OFFSET 100""")
-_add("group_search_none", lambda s, d: _flat(groups.group_search(groups.group_summary(_members(s, d)), SearchSpec(), 0)), f"WITH {_GROUP_SQL} SELECT {', '.join(_GROUP)} FROM g LIMIT 0")
+     f"""WITH {GEO_SQL} SELECT asset_id, kind, timestamp_ms // 1000 AS ts_sec FROM ge WHERE kind IN ('image', 'video') AND coalesce(end_timestamp_ms, timestamp_ms) >= epoch_ms(TIMESTAMP '2024-01-05') AND timestamp_ms < epoch_ms(TIMESTAMP '2024-01-26')
+      ORDER BY ts_sec, asset_id LIMIT 50 OFFSET 50""")
+_add("group_search_none", lambda s, d: _flat(groups.group_search(groups.group_summary(_members(s, d)), SearchSpec(), 0, probe=True)), f"WITH {_GROUP_SQL} SELECT {', '.join(_GROUP)} FROM g ORDER BY start_sec DESC, end_sec DESC, group_id DESC LIMIT 1")
 
 # --- scalar functions and filters
 

@@ -275,7 +275,7 @@ def test_a_stream_is_cancelled_and_taken_back(spark, tmp_path):
 @pytest.fixture(scope="module")
 def layout(spark, tmp_path_factory):
     points = geo_events(spark, "/root/testdata/sf0.01").cache()
-    return points, ix.build_index(points, str(tmp_path_factory.mktemp("index")), per_range=150)
+    return points, ix.build_index(points, str(tmp_path_factory.mktemp("index")), per_range=60)
 
 
 SPECS = [
@@ -293,12 +293,12 @@ def test_time_pages_by_the_index(layout, spec):
     page = index.time_page(spec, True)
     assert [(r.media_id, r.ts_sec) for r in page.collect()] == want
     if spec == SearchSpec(limit=200):
-        assert len(index.read) <= 3 and len(page.inputFiles()) == len(index.read) and index.time.rows > 9000
+        assert len(index.read) <= 6 and len(page.inputFiles()) == len(index.read) and index.time.rows > 9000
 
 
 NEAR = [
-    ({"center": (47.3769, 8.5417)}, 0.1), ({"center": (47.3769, 8.5417), "kind": "media"}, 0.5), ({"center": (47.3769, 8.5417), "start_ms": catalog_queries.T1, "end_ms": catalog_queries.T2}, 0.3),
-    ({"center": (47.3769, 8.5417), "bounds": Bounds(-10, -20, 40, 40)}, 0.1), ({"center": (47.3769, 8.5417), "offset": 75}, 0.12), ({"center": (0, 179.95)}, 0.12), ({"center": (89.9, 15)}, 0.3), ({"center": (-90, 0), "limit": 3}, 0.3), ({"center": (10, 10), "kind": "nothing"}, 1.0),
+    ({"center": (47.3769, 8.5417)}, 0.1), ({"center": (47.3769, 8.5417), "kind": "media"}, 0.15), ({"center": (47.3769, 8.5417), "start_ms": catalog_queries.T1, "end_ms": catalog_queries.T2}, 0.1),
+    ({"center": (47.3769, 8.5417), "bounds": Bounds(-10, -20, 40, 40)}, 0.1), ({"center": (47.3769, 8.5417), "offset": 75}, 0.1), ({"center": (0, 179.95)}, 0.1), ({"center": (89.9, 15)}, 0.1), ({"center": (-90, 0), "limit": 3}, 0.1), ({"center": (10, 10), "kind": "nothing"}, 1.0),
 ]
 
 
