@@ -263,6 +263,56 @@ def _tile_sql(zoom: int) -> str:
 _add("tile_segments", lambda s, d: lines.tile_segments(_source(s, d), 5).select("group_id", "run", "z", "x", "y", "n_points"), _tile_sql(5))
 
 
+# --- long trips, scanned in blocks; parts of lines; tiles of clipped edges
+
+#: Points of a block: few, so that little data has many.
+_BLOCK = 500
+
+
+def _long_trip(s: SparkSession, d: str) -> DataFrame:
+    """All events as one trip in the order of their ids, with a gap in its sequences after every 700th."""
+    e = F.col("asset_id")
+    return trip_points(s, d).withColumns({"group_id": F.lit("long"), "sequence": e + F.floor(e / 700), "ts_sec": e * 400, "latitude": 20 + (e % 97) / 100.0 + F.when(e % 41 == 0, 0.5).otherwise(0.0), "longitude": 30 + (e % 89) / 100.0})
+
+
+_LONG_TP = f"""{TRIP_SQL.replace('tp AS', 't0 AS', 1)}, tp AS (SELECT asset_id, 'long' AS group_id, asset_id * 400 AS ts_sec, asset_id + asset_id // 700 AS sequence,
+  20 + CAST(asset_id % 97 AS DOUBLE) / CAST(100 AS DOUBLE) + CASE WHEN asset_id % 41 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS latitude, 30 + CAST(asset_id % 89 AS DOUBLE) / CAST(100 AS DOUBLE) AS longitude FROM t0)"""
+_LONG_SQL = _SEG_SQL.replace(TRIP_SQL, _LONG_TP)
+_add("long_trip_segments", lambda s, d: lines.with_segments(lines.with_runs(_long_trip(s, d), _BLOCK), DISTANCE, SPEED).select("asset_id", "run", "run_points", "segment", "segment_points", "distance_break", "speed_break"),
+     f"WITH {_LONG_SQL} SELECT asset_id, run, run_points, segment, segment_points, distance_break, speed_break FROM k")
+_PARTS = 7
+_add("polyline_parts", lambda s, d: lines.polyline_parts(_segments(s, d), _PARTS).select("group_id", "run", "segment", "part", "n_points", "start_sec", "end_sec"),
+     f"""WITH {_SEG_SQL}, w AS (SELECT *, (row_number() OVER (PARTITION BY group_id, run, segment ORDER BY sequence, ts_sec, asset_id) - 1) // {_PARTS} AS part FROM k WHERE segment_points >= 2)
+  SELECT group_id, run, segment, part, count(*) AS n_points, min(ts_sec) AS start_sec, max(ts_sec) AS end_sec FROM w GROUP BY group_id, run, segment, part""")
+
+
+def _edge_sql(zoom: int, gutter: int, tile: tuple[int, int] | None = None) -> str:
+    """Edges of segments, dealt to the tiles of their bounds, and clipped to these."""
+    w = _d(geo.world_px(zoom))
+    y = lambda c: f"(0.5 - ln((1 + sin(radians({c}))) / (1 - sin(radians({c})))) / (4 * pi())) * {w}"
+    x = lambda c: f"({c} + 180) / 360 * {w}"
+    t = lambda p: f"CAST(least(greatest(floor(({p}) / 256), 0), {2**zoom - 1}) AS BIGINT)"
+    cut = lambda c, f: f"CASE WHEN {c}2 <> {c}1 THEN {f}(({c} * 256 - {gutter} - {c}1) / ({c}2 - {c}1), (({c} + 1) * 256 + {gutter} - {c}1) / ({c}2 - {c}1)) END"
+    pixel = lambda c, k: f"round({c}1 + t{k} * ({c}2 - {c}1) - {c} * 256, 3) + 0.0 AS p{c}{k}"
+    return f"""WITH {_SEG_SQL}, e0 AS (SELECT *, lag(latitude) OVER g AS la, lag(longitude) OVER g AS lo FROM k WINDOW g AS (PARTITION BY group_id, run, segment ORDER BY sequence, ts_sec, asset_id)),
+  e AS (SELECT group_id, run, segment, asset_id, {x('lo')} AS x1, {y('la')} AS y1, {x('longitude')} AS x2, {y('latitude')} AS y2 FROM e0 WHERE la IS NOT NULL),
+  xs AS (SELECT *, unnest(generate_series({t(f'least(x1, x2) - {gutter}')}, {t(f'greatest(x1, x2) + {gutter}')})) AS x FROM e),
+  ys AS (SELECT *, unnest(generate_series({t(f'least(y1, y2) - {gutter}')}, {t(f'greatest(y1, y2) + {gutter}')})) AS y FROM xs),
+  c AS (SELECT *, greatest(0.0, {cut('x', 'least')}, {cut('y', 'least')}) AS t1, least(1.0, {cut('x', 'greatest')}, {cut('y', 'greatest')}) AS t2 FROM ys {f'WHERE x = {tile[0]} AND y = {tile[1]}' if tile else ''})
+  SELECT group_id, run, segment, asset_id, {zoom} AS z, x, y, {pixel('x', 1)}, {pixel('y', 1)}, {pixel('x', 2)}, {pixel('y', 2)} FROM c WHERE t1 <= t2"""
+
+
+_EDGE = ["group_id", "run", "segment", "asset_id", "z", "x", "y"]
+
+
+def _pixels(df: DataFrame) -> DataFrame:
+    return df.select(*_EDGE, *[(F.round(c, 3) + 0.0).alias(c) for c in ("px1", "py1", "px2", "py2")])
+
+
+_add("tile_edges", lambda s, d: _pixels(lines.tile_edges(_segments(s, d), 8)), _edge_sql(8, 12))
+_add("one_tile", lambda s, d: _pixels(lines.one_tile(_segments(s, d), 4, 7, 5, 20)), _edge_sql(4, 20, (7, 5)))
+
+
 # --- catalog
 
 _FIELDS = ["display_name", "size_bytes", "timestamp_ms"]
