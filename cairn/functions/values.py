@@ -112,11 +112,27 @@ def merged_metadata(existing: Column, incoming: Column) -> Column:
     return F.map_zip_with(existing, incoming, lambda _, a, b: F.coalesce(a, b))
 
 
+def stable_json(text: Column) -> Column:
+    """JSON text with the keys of all its objects in order, without spaces: equal for values that differ in key order only.
+
+    Null for what isn't JSON, or repeats a key. Numbers lose what they don't need (2.50 is 2.5).
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
 def distance_label(metres: Column) -> Column:
     """Metres, or kilometres with two digits or none; halves are rounded up, as the decimal numbers are written."""
     return F.when(metres < 1000, F.format_string("%d m", F.round(metres).cast("long"))).when(metres < 100_000, F.format_string("%.2f km", metres / 1000)).otherwise(F.format_string("%d km", F.round(metres / 1000).cast("long")))
 
 
+def count_label(n: Column) -> Column:
+    """A bubble's number: with one digit and k from 1 000 on, whole k from 10 000, one digit and M from 1 000 000."""
+    return (
+        F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 10_000, F.concat(F.round(n / 1000).cast("long").cast("string"), F.lit("k")))
+        .when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+    )
+
+
 def media_kind(mime: Column, path: Column) -> Column:
     """image or video, by MIME type first and file extension then; else null."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))

@@ -81,3 +81,23 @@ def remove(points: DataFrame, gone: DataFrame, key: str = "media_id") -> DataFra
 def validate(expected: DataFrame, got: DataFrame) -> dict[str, int]:
     """Rows that only one of two results has."""
     return {"missing": expected.exceptAll(got).count(), "unexpected": got.exceptAll(expected).count()}
+
+
+def validate_order(expected: DataFrame, got: DataFrame, value: str = "distance_m", tolerance: float = 1e-6, key: str = "media_id") -> DataFrame:
+    """(pos, expected, got, why) for each place at which two pages, both with pos, key and value, don't agree.
+
+    Values at a place agree within the tolerance; then other ids may stand there (ties in another order), if each page has
+    them, or if it is the page's last value, which may go on after the page. why: value, order, missing or unexpected.
+    """
+    a = expected.select("pos", F.col(key).alias("expected"), F.col(value).alias("v1"))
+    b = got.select("pos", F.col(key).alias("got"), F.col(value).alias("v2"))
+    both = a.join(b, "pos", "full_outer")
+    known = both.join(a.select(F.col("expected").alias("e"), F.col("v1").alias("own1")), F.col("got") == F.col("e"), "left").join(b.select(F.col("got").alias("g"), F.col("v2").alias("own2")), F.col("expected") == F.col("g"), "left")
+    last = F.broadcast(a.agg(F.max("v1").alias("last")))  # one row
+    near = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) <= tolerance, F.lit(False))
+    tie = (near("own1", "v1") | F.col("own1").isNull() & near("v2", "last")) & (near("own2", "v2") | F.col("own2").isNull() & near("v1", "last"))
+    why = (
+        F.when(F.col("got").isNull(), "missing").when(F.col("expected").isNull(), "unexpected")
+        .when(~near("v1", "v2"), "value").when((F.col("expected") != F.col("got")) & ~tie, "order")
+    )
+    return known.join(last).withColumn("why", why).filter("why is not null").select("pos", "expected", "got", "why")

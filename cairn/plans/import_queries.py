@@ -109,6 +109,28 @@ _TIMELINE_SQL = f"""WITH {GEO_SQL}, sg AS (SELECT *, row_number() OVER (PARTITIO
     {_LAT}, {_LON}, timestamp_ms, stop, stop - timestamp_ms, NULL, NULL FROM sg WHERE kind IN ('video', 'timeline_visit')"""
 _add("import_timeline", lambda s, d: _read(readers.read_timeline, _timeline(s, d), s).select("kind", *_AT, "end_timestamp_ms", "duration_ms", "group_id", "sequence"), _TIMELINE_SQL)
 
+
+def _signals(s: SparkSession, d: str) -> list[str]:
+    """Per event, by its id: a raw position, an activity sample (its keys in one order or the other), a scan that no reader takes, or a frequent place."""
+    a, at = F.col("asset_id"), F.concat(_degrees("latitude"), F.lit("°, "), _degrees("longitude"), F.lit("°"))
+    time, text = _iso(F.col("timestamp_ms")), lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    n = (a % 100).cast("string")
+    position = text('{"position":{"LatLng":"', at, '","timestamp":"', time, '","source":"GPS","accuracyMeters":', n, ',"speedMetersPerSecond":"1.5"}}')
+    one, two = text('{"type":"WALKING","confidence":', n, '}'), text('{"confidence":', n, ',"type":"WALKING"}')
+    sample = text('{"activityRecord":{"timestamp":"', time, '","probableActivities":[', F.when(a % 8 == 1, one).otherwise(two), ']}}')
+    scan = text('{"wifiScan":{"deliveryTime":"', time, '"}}')
+    signal = F.when(F.col("latitude").isNotNull() & (a % 4 == 0), position).when(a % 4 == 1, sample).when(a % 4 == 2, scan)
+    place = F.when((a % 4 == 3) & F.col("latitude").isNotNull(), text('{"placeLocation":"', at, '","placeId":"P', a.cast("string"), '","label":"', F.when(a % 8 == 3, F.lit("HOME")).otherwise(F.lit("")), '"}'))
+    events = geo_events(s, d)
+    return [_written(events, SEGMENTS, signal, '{"rawSignals":[', "]}", ",", ""), _written(events, SEGMENTS, place, '{"userLocationProfile":{"frequentPlaces":[', "]}}", ",", "")]
+
+
+_SIGNALS_SQL = f"""WITH {GEO_SQL}, pl AS (SELECT *, format('{{:.9f}}:{{:.9f}}', {_LAT}, {_LON}) AS place FROM ge)
+  SELECT 'geo_point' AS kind, {_HASH} AS media_id, {_LAT} AS latitude, {_LON} AS longitude, timestamp_ms, 'GPS' AS source_type, CAST(asset_id % 100 AS DOUBLE) AS accuracy_m, CAST(1.5 AS DOUBLE) AS velocity_mps, CAST(NULL AS VARCHAR) AS activities, CAST(NULL AS VARCHAR) AS label FROM pl WHERE asset_id % 4 = 0 AND latitude IS NOT NULL AND timestamp_ms IS NOT NULL
+  UNION ALL SELECT 'activity_sample', 'timeline:v1:activity_sample:' || timestamp_ms || ':[{{"confidence":' || asset_id % 100 || ',"type":"WALKING"}}]', NULL, NULL, timestamp_ms, 'activity_record', NULL, NULL, '[{{"confidence":' || asset_id % 100 || ',"type":"WALKING"}}]', NULL FROM pl WHERE asset_id % 4 = 1 AND timestamp_ms IS NOT NULL
+  UNION ALL SELECT 'frequent_place', 'timeline:v1:frequent_place:' || place || ':P' || asset_id || ':' || CASE WHEN asset_id % 8 = 3 THEN 'HOME' ELSE '' END, {_LAT}, {_LON}, NULL, 'frequent_place', NULL, NULL, NULL, CASE WHEN asset_id % 8 = 3 THEN 'HOME' ELSE '' END FROM pl WHERE asset_id % 4 = 3 AND latitude IS NOT NULL"""
+_add("import_signals", lambda s, d: readers.read_timeline(readers.read_files(s, [f"{p}/*/*.txt" for p in _signals(s, d)]), "s").select("kind", *_AT, "source_type", "accuracy_m", "velocity_mps", F.col("metadata")["probableActivities"].alias("activities"), F.col("metadata")["label"].alias("label")), _SIGNALS_SQL)
+
 # Contents of files and the formats they are of.
 _CONTENTS = (
     ('{"locations": []}', "records"), ('{"rawSignals": []}', "timeline"), ('{"timelineObjects": []}', "error: semantic location history files are not supported"),
@@ -276,6 +298,22 @@ def _maps() -> tuple[Column, Column]:
     return F.create_map(F.lit("a"), F.col("kind"), F.lit("b"), F.when(F.col("asset_id") % 2 == 0, F.lit("x"))), F.create_map(F.lit("b"), F.lit("y"), F.lit("c"), F.col("event_type"))
 
 
+_add("count_labels", lambda s, d: geo_events(s, d).select("asset_id", values.count_label(F.col("asset_id") * 709 % 3_000_017).alias("label")),
+     f"WITH {GEO_SQL}, m AS (SELECT asset_id, asset_id * 709 % 3000017 AS n FROM ge) SELECT asset_id, CASE WHEN n >= 1000000 THEN format('{{:.1f}}M', round(n / CAST(100000 AS DOUBLE)) / 10) WHEN n >= 10000 THEN CAST((n + 500) // 1000 AS VARCHAR) || 'k' WHEN n >= 1000 THEN format('{{:.1f}}k', round(n / CAST(100 AS DOUBLE)) / 10) ELSE CAST(n AS VARCHAR) END AS label FROM m")
+_add("stable_json", lambda s, d: geo_events(s, d).select("asset_id", values.stable_json(F.when(F.col("asset_id") % 2 == 0, F.format_string('{"b": {"y": [%d, {"q": 1, "p": "%s"}], "x": null}, "a": true}', "asset_id", "kind")).otherwise(F.format_string('{"a":true,"b":{"x":null,"y":[%d,{"p":"%s","q":1}]}}', "asset_id", "kind"))).alias("json")),
+     f"""WITH {GEO_SQL} SELECT asset_id, '{{"a":true,"b":{{"x":null,"y":[' || asset_id || ',{{"p":"' || kind || '","q":1}}]}}}}' AS json FROM ge""")
+
+
+def _misordered(s: SparkSession, d: str) -> DataFrame:
+    """The nearest items by the index against those of a full scan, once as they are and once with the places 10 and 11 swapped."""
+    at = lambda df: df.select("media_id", "distance_m").withColumn("pos", F.monotonically_increasing_id())  # noqa: E731  one partition, in order
+    want, got = at(search.knn_page(geo_events(s, d), _NEAR)), at(_index(s, d).knn_page(_NEAR))
+    swapped = got.withColumn("pos", F.when(F.col("pos").isin(10, 11), 21 - F.col("pos")).otherwise(F.col("pos")))
+    return search.validate_order(want, got).withColumn("swapped", F.lit(False)).unionByName(search.validate_order(want, swapped).withColumn("swapped", F.lit(True)))
+
+
+_add("validated_order", _misordered, f"""WITH k AS (SELECT media_id, row_number() OVER () - 1 AS pos FROM ({ORACLES['knn_basic']}))
+  SELECT a.pos, a.media_id AS expected, b.media_id AS got, 'value' AS why, TRUE AS swapped FROM k a JOIN k b ON a.pos + b.pos = 21 WHERE a.pos IN (10, 11)""")
 _add("metadata_merge", lambda s, d: geo_events(s, d).select("asset_id", values.merged_metadata(*_maps()).alias("m")).select("asset_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"), F.col("m")["c"].alias("c")),
      f"WITH {GEO_SQL} SELECT asset_id, kind AS a, CASE WHEN asset_id % 2 = 0 THEN 'x' ELSE 'y' END AS b, event_type AS c FROM ge")
 _add("media_kinds", lambda s, d: geo_events(s, d).select("asset_id", values.media_kind(F.when(F.col("asset_id") % 4 == 0, "video/mp4").otherwise(""), F.concat(F.lit("d/f."), F.element_at(F.array(*map(F.lit, ("JPG", "mov", "txt"))), (F.col("asset_id") % 3 + 1).cast("int")))).alias("kind")),

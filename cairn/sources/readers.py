@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.geo import valid_coordinate
-from cairn.functions.values import coordinate_pair, duration_ms, finite, geo_point_hash, iso_to_ms, location_id, non_empty, segment_group_id, semantic_hash, semantic_location_id
+from cairn.functions.values import coordinate_pair, duration_ms, finite, geo_point_hash, iso_to_ms, location_id, non_empty, segment_group_id, semantic_hash, semantic_location_id, stable_json
 from cairn.operators.catalog import as_items
 
 #: What a position of a raw signal may hold; numbers are read as text, as exports write either.
@@ -22,7 +22,7 @@ _TEXT = "string"
 RECORD = "struct<latitudeE7:string,longitudeE7:string,timestamp:string,timestampMs:string,timestamp_upper_ms:string,accuracy:string,altitude:string,verticalAccuracy:string,velocity:string,heading:string,source:string,deviceTag:string,platformType:string,formFactor:string,osLevel:string,serverTimestamp:string,deviceTimestamp:string,batteryCharging:string,activity:string>"
 RECORD_METADATA = ("deviceTag", "platformType", "formFactor", "osLevel", "serverTimestamp", "deviceTimestamp", "batteryCharging", "activity")
 SEGMENT = "struct<startTime:string,endTime:string,timelinePath:array<struct<point:string,time:string>>,visit:struct<hierarchyLevel:string,probability:string,topCandidate:struct<placeId:string,semanticType:string,probability:string,placeLocation:string>>,activity:struct<distanceMeters:string,probability:string,start:string,end:string,topCandidate:struct<type:string,probability:string>>>"
-SIGNAL = "struct<position:struct<LatLng:string,timestamp:string,source:string,accuracyMeters:string,accuracy:string,altitudeMeters:string,altitude:string,speedMetersPerSecond:string,speed:string,headingDegrees:string,heading:string>,activityRecord:struct<timestamp:string,probableActivities:array<struct<type:string,confidence:string>>>,wifiScan:string>"
+SIGNAL = "struct<position:struct<LatLng:string,timestamp:string,source:string,accuracyMeters:string,accuracy:string,altitudeMeters:string,altitude:string,speedMetersPerSecond:string,speed:string,headingDegrees:string,heading:string>,activityRecord:struct<timestamp:string,probableActivities:string>,wifiScan:string>"
 PLACE = "struct<placeLocation:string,placeId:string,label:string>"
 
 
@@ -190,9 +190,11 @@ def read_timeline(files: DataFrame, source_id: str, label: str | None = None) ->
         raw, kind=F.lit("geo_point"), media_id=geo_point_hash(F.col("latitude"), F.col("longitude"), F.col("timestamp_ms")), source_dataset=F.lit("google_timeline_raw_signals"), source_type=non_empty(F.col("s.position.source")),
         accuracy_m=either("accuracyMeters", "accuracy"), altitude_m=either("altitudeMeters", "altitude"), velocity_mps=either("speedMetersPerSecond", "speed"), heading_deg=either("headingDegrees", "heading"),
     )
+    listed = F.col("s.activityRecord.probableActivities")  # what is no list counts as an empty one
+    activities = F.when(F.ltrim(listed).startswith("["), F.coalesce(stable_json(listed), listed)).otherwise(F.lit("[]"))
     sample = signal.filter("s.activityRecord is not null").withColumn("timestamp_ms", iso_to_ms(F.col("s.activityRecord.timestamp"))).filter("timestamp_ms is not null")
-    sample = _with(sample, kind=F.lit("activity_sample"), source_dataset=F.lit("google_timeline_raw_signals"), source_type=F.lit("activity_record"), metadata=known(probableActivities=F.to_json("s.activityRecord.probableActivities")))
-    sample = sample.withColumn("media_id", semantic_hash(F.col("kind"), F.col("timestamp_ms"), F.to_json("s.activityRecord.probableActivities")))
+    sample = _with(sample, kind=F.lit("activity_sample"), source_dataset=F.lit("google_timeline_raw_signals"), source_type=F.lit("activity_record"), metadata=known(probableActivities=activities))
+    sample = sample.withColumn("media_id", semantic_hash(F.col("kind"), F.col("timestamp_ms"), activities))
 
     times = segment.withColumns({"start_ms": iso_to_ms(F.col("s.startTime")), "stop_ms": iso_to_ms(F.col("s.endTime"))})
     # Only paths of more than one valid point are groups; the place in the file's path is the sequence.

@@ -80,6 +80,25 @@ def test_upsert_remove_validate(spark, city):
     assert search.validate(city, city) == {"missing": 0, "unexpected": 0}
 
 
+def test_order_is_validated_but_for_ties(spark):
+    page = lambda *rows: spark.createDataFrame([(i, m, d) for i, (m, d) in enumerate(rows)], "pos long, media_id string, distance_m double")
+    want = page(("a", 1.0), ("b", 2.0), ("c", 2.0), ("d", 3.0), ("e", 3.0))
+    why = lambda got: sorted((r.pos, r.why) for r in search.validate_order(want, got).collect())
+    assert why(want) == []
+    assert why(page(("a", 1.0), ("c", 2.0), ("b", 2.0 + 1e-9), ("d", 3.0), ("f", 3.0))) == []  # ties, one of which goes on after the page
+    assert why(page(("b", 2.0), ("a", 1.0), ("c", 2.0), ("d", 3.0), ("e", 3.0))) == [(0, "value"), (1, "value")]
+    assert why(page(("a", 1.0), ("b", 2.0), ("x", 2.0), ("d", 3.0), ("e", 3.0))) == [(2, "order")]
+    assert why(page(("d", 1.0), ("b", 2.0), ("c", 2.0), ("a", 3.0), ("e", 3.0))) == [(0, "order"), (3, "order")]
+    assert why(page(("a", 1.0), ("b", 2.1), ("c", 2.0), ("d", 3.0))) == [(1, "value"), (4, "missing")]
+
+
+def test_stable_json_and_labels(spark):
+    j = lambda t: one(spark, values.stable_json(F.lit(t)))
+    assert j('{"b":1, "a":[{"z":"é","y":2.50}]}') == '{"a":[{"y":2.5,"z":"é"}],"b":1}' == j('{"a":[{"y":2.5,"z":"é"}],"b":1}')
+    assert j("{bad") is None and j('{"a":1,"a":2}') is None
+    assert [one(spark, values.count_label(F.lit(n))) for n in (7, 999, 1000, 1250, 12_600, 2_340_000)] == ["7", "999", "1.0k", "1.3k", "13k", "2.3M"]
+
+
 def test_source_filter_narrows_locations(spark):
     df = spark.createDataFrame([("m", "s1", "p", [("s1", "p"), ("s2", "q")])], "media_id string, source_id string, relative_path string, locations array<struct<source_id:string,relative_path:string>>")
     row = from_source(df, "s2").first()
