@@ -3,6 +3,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from cairn.llm import licenses, queries, warc
 from cairn.operators.tables import work_path
 
@@ -166,3 +168,63 @@ def test_license_query_on_a_small_table(spark, docs_of, tmp_path):
     short = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got]
     assert short == [(1, 4, 1, 0, 0, "mit", "mit"), (2, 0, 0, None, None, "", ""), (3, 0, 0, None, None, "", ""), (4, 8, 1, 5, 5, "cc-by-nc", "bsd,cc-by-nc"), (5, 2, 0, None, None, "", ""), *[(6, 300009, 1, 300005, 300005, "mit", "mit")] * 2]
     assert [r.score for r in got[:5]] == [1.0, 0.0, 0.0, 1.0, 0.0]
+
+
+def full_scan(marked, text, k):
+    """Ends of substrings of text within k edits of a notice, whose words in braces stand as they are: a plain table of costs, no seeds."""
+    notice, fixed, inside = [], [], False
+    for c in marked:
+        if c in "{}":
+            inside = c == "{"
+            continue
+        notice.append(c)
+        fixed.append(inside)
+    # A place between two characters is fixed if either is part of exact words, whose spaces count as well.
+    edge = [fixed[j] or j and fixed[j - 1] or j + 1 < len(fixed) and fixed[j + 1] for j in range(len(notice))]
+    far, ends = 10**6, []
+    row = [0] + [far if any(edge[:i]) else i for i in range(1, len(notice) + 1)]
+    for at, t in enumerate(text):
+        new = [0]
+        for i, c in enumerate(notice, 1):
+            swap = row[i - 1] + (0 if c == t else far if edge[i - 1] else 1)
+            drop = new[i - 1] + (far if edge[i - 1] else 1)
+            more = row[i] + (far if edge[i - 1] and (i == len(notice) or edge[min(i, len(notice) - 1)]) else 1)
+            new.append(min(swap, drop, more))
+        row = new
+        if row[-1] <= k:
+            ends.append(at + 1)
+    return ends
+
+
+def test_no_match_of_a_full_scan_is_lost():
+    """Edited, cut and repeated notices of several licenses, close together: whatever a full scan finds is found, or overlaps what is found."""
+    rng = random.Random(23)
+    marked = ["released under the {mit} license", "licensed under the {apache} license {version 2} 0", "common development and distribution license", "gnu {general public} license {version 3}", "{mozilla public license}", "creative commons {attribution noncommercial}", "all rights {reserved}"]
+    notices = {m: licenses.NOTICES[m] for m in marked}
+    scanner, lines = licenses.Scanner({}, notices), []
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            t = list(rng.choice(marked).replace("{", "").replace("}", ""))
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 5])):
+                j = rng.randrange(len(t))
+                t[j] = rng.choice(["", "q", t[j] * 2, " "])
+            words += "".join(t).split()[rng.choice([0, 0, 0, 1]) :] + rng.choice([[], ["by", "mit"], ["the", "license"]])
+        lines.append(" ".join(words))
+    n_found = 0
+    for line, (_, spans_) in zip(lines, scanner.scan(pa.array(lines))):
+        words, text = line.split(), f" {line} "
+        starts = [0]
+        for w in words:
+            starts.append(starts[-1] + len(w) + 1)
+        taken = [(starts[a] + 1, starts[z]) for _, _, a, z, _, _ in spans_]
+        n_found += len(taken)
+        for m in marked:
+            free = "".join(re.split(r"\{.*?\}", m)).strip()
+            k = min(licenses.MOST_EDITS, len(m.replace("{", "").replace("}", "")) // licenses.PER_EDIT) if free else 0
+            for end in full_scan(m, text, k):
+                closed = not m.endswith("}") or text[end] == " "
+                begins = len(m.replace("{", "").replace("}", "")) + k
+                if closed:
+                    assert any(a < end and end - begins < z for a, z in taken), (m, line, end, spans_)
+    assert n_found > 120
