@@ -338,6 +338,14 @@ class Catalog:
             files.select("path", "size", "mtime", "hash").write.parquet(f"{self.root}/{name}")
             s["listings"][source_id] = name
 
+    def progress(self, source_id: str) -> dict[str, list]:
+        """What of each file of the source's generation was imported in steps: see sources.steps."""
+        return dict(self._now.get("progress", {}).get(f"{source_id}/{(self.source(source_id) or {'generation': 0})['generation']}", {}))
+
+    def put_progress(self, source_id: str, done: dict[str, list]) -> None:
+        with self.transaction() as s:
+            s.setdefault("progress", {})[f"{source_id}/{s['sources'][source_id]['generation']}"] = done
+
     def _files(self, names: list[str], schema: T.StructType | str | None = None) -> DataFrame:
         schema = schema or self._OCCURRENCES
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)

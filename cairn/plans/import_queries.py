@@ -21,6 +21,7 @@ from cairn.plans.urlstate import spec_from_query
 from cairn.plans.views import GEO_SQL, TRIP_SQL, geo_events, trip_points
 from cairn.sources import readers
 from cairn.sources.rescan import rescan
+from cairn.sources.steps import import_step
 
 #: Points, or timeline segments, in a file.
 POINTS, SEGMENTS = 2000, 500
@@ -249,6 +250,17 @@ _add("rescanned_folder", lambda s, d: _scanned_again(s, d).select("asset_id", "m
      f"""WITH {GEO_SQL}, ft AS (SELECT *, row_number() OVER (PARTITION BY asset_id // {POINTS} ORDER BY asset_id) AS point_index FROM ge WHERE latitude IS NOT NULL AND ((asset_id // {POINTS}) % 4 IN (0, 3) OR (asset_id // {POINTS}) % 4 = 1 AND asset_id % 2 = 0))
   SELECT row_number() OVER (ORDER BY {_HASH}) - 1 AS asset_id, {_HASH} AS media_id, CAST(1 AS BIGINT) AS n_occurrences, point_index FROM ft WHERE timestamp_ms IS NOT NULL""")
 
+
+def _stepped(s: SparkSession, d: str) -> DataFrame:
+    """The records files, 700 locations of each at a time, by a catalog that is opened anew for each step."""
+    root, path = work_path(s, "catalog"), _records(s, d)
+    while import_step(Catalog(s, root), f"{path}/*/*.txt", "b", 700):
+        pass
+    return Catalog(s, root).occurrences()
+
+
+_add("import_in_steps", lambda s, d: _record(_stepped(s, d)), _RECORDS_SQL)
+
 # --- pages by the indexes
 
 #: Rows of a range: small ones, so that little data has many.

@@ -111,14 +111,15 @@ def read_records(files: DataFrame, source_id: str, label: str | None = None) ->
     return _record_items(record_points(files), source_id, label)
 
 
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\]]', re.S)
 
 
-def _cut(piece: str) -> tuple[bool, str, str, int]:
-    """Of a piece between latitudes: is it its file's first, the rest of its location, what the next one begins with, and
-    the number of locations without a latitude that it holds."""
+def _cut(piece: str) -> tuple[bool, str, str, int, bool]:
+    """Of a piece between latitudes: is it its file's first, the rest of its location, what the next one begins with, the
+    number of locations without a latitude that it holds, and whether the list of locations ends in it."""
     first = not piece.lstrip().startswith(":")
-    head, n, open_ = "", 0, [] if first else [-1]  # -1: the location that the latitude before stands in
+    head, n, closed, open_ = "", 0, False, [] if first else [-1]  # -1: the location that the latitude before stands in
+    listed = not first
     for m in _TOKEN.finditer(piece):
         if m[0] == "{":
             open_.append(m.start())
@@ -127,36 +128,51 @@ def _cut(piece: str) -> tuple[bool, str, str, int]:
                 head = piece[: m.end()]
             elif len(open_) == first:
                 n += 1
+        elif m[0] == "]" and len(open_) == first and listed:
+            closed = True
+            break
         elif m[0] == '"locations"' and len(open_) == first:
-            n = 0
-    return first, head, piece[open_[-1] :] if open_ and open_[-1] >= 0 else "", n
+            n, listed = 0, True
+    return first, head, piece[open_[-1] :] if open_ and open_[-1] >= 0 else "", n, closed
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cut = [_cut(x) for x in b.column(3).to_pylist()]
-        kinds = (pa.bool_(), pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array([c[k] for c in cut], t) for k, t in enumerate(kinds)]], ["path", "block", "at", "first", "head", "tail", "n"])
+        cut = [_cut(x) for x in b.column(4).to_pylist()]
+        kinds = (pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], *[pa.array([c[k] for c in cut], t) for k, t in enumerate(kinds)]], ["path", "bytes", "block", "at", "first", "head", "tail", "n", "closed"])
 
 
-def read_records_objects(spark: SparkSession, paths: str | list[str], source_id: str, label: str | None = None) -> DataFrame:
-    """As read_records, of files too large for a row: Spark splits them at '"latitudeE7"', so that no task holds a whole one.
+def record_texts(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """((path, index, text) of every location with a latitude, (path, bytes, n, closed) of every file): n locations; closed: their list ends.
 
-    A location is put together from the end of one piece and the start of the next, within a block of the file; what a
-    block's last piece ends with, and its number of locations, go to the next block by a table of one row for a block.
+    Spark splits the files at '"latitudeE7"', so that no task holds a whole one. A location is put together from the end of one
+    piece and the start of the next, within a block of the file; what a block's last piece ends with, and its number of
+    locations, go to the next block by a table of one row for a block.
     """
-    text = spark.read.option("lineSep", '"latitudeE7"').text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    pieces = text.mapInArrow(_cut_pieces, "path string, block long, at long, first boolean, head string, tail string, n long")
+    text = spark.read.option("lineSep", '"latitudeE7"').text(paths)
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    pieces = text.mapInArrow(_cut_pieces, "path string, bytes long, block long, at long, first boolean, head string, tail string, n long, closed boolean")
     size = F.col("n") + F.when(F.col("first"), 0).otherwise(1)
-    blocks = pieces.groupBy("path", "block").agg(F.sum(size).alias("size"), F.max_by("tail", "at").alias("last"))
+    blocks = pieces.groupBy("path", "block").agg(F.sum(size).alias("size"), F.max_by("tail", "at").alias("last"), F.bool_or("closed").alias("closed"), F.first("bytes").alias("bytes"))
     file = Window.partitionBy("path").orderBy("block")
-    blocks = blocks.select("path", "block", F.lag("last").over(file).alias("last"), F.coalesce(F.sum("size").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    carried = blocks.select("path", "block", F.lag("last").over(file).alias("last"), F.coalesce(F.sum("size").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = Window.partitionBy("path", "block").orderBy("at")
     rows = pieces.withColumns({"start": F.lag("tail").over(within), "index": F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    rows = rows.join(blocks, ["path", "block"]).filter(~F.col("first"))
+    rows = rows.join(carried, ["path", "block"]).filter(~F.col("first"))
     whole = F.concat(F.coalesce("start", "last"), F.lit('"latitudeE7"'), F.col("head"))
-    one = F.from_json(_one_case(whole), RECORD)
-    return _record_items(_record_points(rows.select("path", (F.col("index") + F.col("before") + 1).alias("index"), one.alias("r"))), source_id, label)
+    files = blocks.groupBy("path").agg(F.first("bytes").alias("bytes"), F.sum("size").alias("n"), F.bool_or("closed").alias("closed"))
+    return rows.select("path", (F.col("index") + F.col("before") + 1).alias("index"), whole.alias("text")), files
+
+
+def record_items(texts: DataFrame, source_id: str, label: str | None = None) -> DataFrame:
+    """Items of (path, index, text) rows of record_texts()."""
+    return _record_items(_record_points(texts.select("path", "index", F.from_json(_one_case(F.col("text")), RECORD).alias("r"))), source_id, label)
+
+
+def read_records_objects(spark: SparkSession, paths: str | list[str], source_id: str, label: str | None = None) -> DataFrame:
+    """As read_records, of files too large for a row: no task holds a whole one."""
+    return record_items(record_texts(spark, paths)[0], source_id, label)
 
 
 def _pair(text: Column) -> Column:

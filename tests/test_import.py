@@ -147,3 +147,50 @@ def test_media_folder(spark, tmp_path):
         (tmp_path / name).write_bytes(name.encode())
     rows = read_media_folder(spark, str(tmp_path), "s").collect()
     assert sorted((r.kind, r.relative_path, r.display_name) for r in rows) == [("image", "x/A.JPG", "A.JPG"), ("video", "b.mov", "b.mov")]
+
+
+def test_import_in_steps(spark, tmp_path):
+    import json
+    import random
+
+    from cairn.operators.cancel import Cancellable, Cancelled
+    from cairn.sources.readers import read_files, read_records
+    from cairn.sources.steps import Unfinished, import_in_steps, import_step
+
+    rng = random.Random(4)
+    place = lambda k: {**({"latitudeE7": k * 1000, "longitudeE7": 5} if k % 11 else {"note": "]}[{"}), "timestampMs": str(k * 1000), "activity": [{"x": [k, {"y": "}]"}]}]}
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, n in (("a", 60), ("b", 7), ("none", 0)):
+        (folder / name).write_text(json.dumps({"locations": [dict(rng.sample(sorted(place(k + 1).items()), len(place(k + 1)))) for k in range(n)], "other": [{"z": 1}]}))
+    want = sorted(map(repr, read_records(read_files(spark, str(folder)), "s").select("media_id", "timestamp_ms", "location.point_index", "location.absolute_path").collect()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split, entries in (("700", 13), (old, 60), (old, 7)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            root, steps = str(tmp_path / f"c{split}{entries}"), 1
+            job = Cancellable(spark)
+            while import_step(Catalog(spark, root), str(folder), "s", entries):
+                steps += 1
+                if steps == 2:  # a cancelled step has no effect
+                    job.cancel()
+                    with pytest.raises(Cancelled):
+                        import_step(Catalog(spark, root), str(folder), "s", entries, job)
+            assert steps == -(-60 // entries)
+            got = Catalog(spark, root).occurrences().select("media_id", "timestamp_ms", "location.point_index", "location.absolute_path")
+            assert sorted(map(repr, got.collect())) == want
+            assert import_in_steps(Catalog(spark, root), str(folder), "s", entries) == 1 and Catalog(spark, root).occurrences().count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = (folder / "a").read_text()
+    c = Catalog(spark, str(tmp_path / "cut"))
+    (tmp_path / "cut.json").write_text(whole[: whole.index('"timestampMs": "40000"')])
+    with pytest.raises(Unfinished):
+        import_in_steps(c, str(tmp_path / "cut.json"), "s", 20)
+    assert 30 < c.occurrences().count() < 40
+    (tmp_path / "cut.json").write_text(whole)
+    with pytest.raises(ValueError, match="changed"):
+        import_step(c, str(tmp_path / "cut.json"), "s", 20)
+    (tmp_path / "odd.json").write_text('{"places": []}')
+    with pytest.raises(Unfinished):
+        import_in_steps(Catalog(spark, str(tmp_path / "odd")), str(tmp_path / "odd.json"), "s")
