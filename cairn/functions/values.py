@@ -100,6 +100,11 @@ def line_source(source: Column) -> Column:
     return F.when(up.isin("WIFI", "CELL", "GPS"), up).otherwise(F.lit("UNKNOWN"))
 
 
+def item_line_source(source_type: Column, metadata: Column) -> Column:
+    """line_source() of an item: its source type, or where that is missing the source in its metadata."""
+    return line_source(F.coalesce(non_empty(source_type), metadata["source"]))
+
+
 def coordinate_pair(text: Column) -> Column:
     """struct(lat, lon) from '48.13°, 11.57°'; null unless both are valid. What follows a second comma is ignored."""
     parts = F.split(text, ",")

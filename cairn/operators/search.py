@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cairn.functions.geo import haversine_m
 from cairn.functions.values import ms_to_sec
 from cairn.operators.predicates import at_time, geo_is, matching, searchable
+from cairn.operators.tables import bounded
 from cairn.plans.spec import SearchSpec
 
 
@@ -57,13 +58,14 @@ def list_media(assets: DataFrame, spec: SearchSpec) -> DataFrame:
 
 
 def lookup(assets: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Assets for the rows (key, pos) of ids, by pos; missing ids are dropped, repeated ones repeated."""
-    return assets.join(ids.select(key, "pos"), key).orderBy("pos")
+    """Assets for the rows (key, pos) of ids, by pos; missing ids are dropped, repeated ones repeated. Few ids are sent to the assets."""
+    return assets.join(bounded(ids.select(key, "pos")), key).orderBy("pos")
 
 
 def geo_points(assets: DataFrame, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """All located items in a range of times, in no order: a total sort is left to those who need it."""
     found = assets.filter(geo_is(True) & at_time(start_ms, end_ms))
-    return found.select("media_id", "kind", "latitude", "longitude", "timestamp_ms").orderBy("media_id")
+    return found.select("media_id", "kind", "latitude", "longitude", "timestamp_ms")
 
 
 def kind_counts(assets: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import geo, values
+from cairn.functions import facts, geo, values
 from cairn.operators import bubbles, catalog, groups, index, lines, predicates, search
 from cairn.operators.catalog import Catalog
 from cairn.operators.tables import saved, work_path
@@ -312,6 +312,21 @@ def _maps() -> tuple[Column, Column]:
 
 _add("count_labels", lambda s, d: geo_events(s, d).select("asset_id", values.count_label(F.col("asset_id") * 709 % 3_000_017).alias("label")),
      f"WITH {GEO_SQL}, m AS (SELECT asset_id, asset_id * 709 % 3000017 AS n FROM ge) SELECT asset_id, CASE WHEN n >= 1000000 THEN format('{{:.1f}}M', round(n / CAST(100000 AS DOUBLE)) / 10) WHEN n >= 10000 THEN CAST((n + 500) // 1000 AS VARCHAR) || 'k' WHEN n >= 1000 THEN format('{{:.1f}}k', round(n / CAST(100 AS DOUBLE)) / 10) ELSE CAST(n AS VARCHAR) END AS label FROM m")
+_add("item_line_sources", lambda s, d: geo_events(s, d).select("asset_id", values.item_line_source(F.when(F.col("asset_id") % 3 == 0, F.lit("gps")).when(F.col("asset_id") % 3 == 1, F.lit(" ")), F.create_map(F.lit("source"), F.when(F.col("asset_id") % 2 == 0, F.lit("Wi_Fi")))).alias("source")),
+     f"WITH {GEO_SQL} SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN 'GPS' WHEN asset_id % 2 = 0 THEN 'WIFI' ELSE 'UNKNOWN' END AS source FROM ge")
+
+
+def _shown(s: SparkSession, d: str) -> DataFrame:
+    return _read(readers.read_records, _records(s, d), s).withColumn("locations", F.array("location"))
+
+
+_add("item_facts", lambda s, d: _shown(s, d).select("media_id", F.explode(facts.item_facts()).alias("f")).select("media_id", "f.label", "f.value"),
+     f"""WITH {_PLACED}, ok AS (SELECT {_HASH} AS media_id, asset_id FROM ft WHERE timestamp_ms IS NOT NULL)
+  SELECT media_id, 'dataset' AS label, 'google_records' AS value FROM ok UNION ALL SELECT media_id, 'source', 'WIFI' FROM ok WHERE asset_id % 5 <> 0 UNION ALL SELECT media_id, 'accuracy', (asset_id % 100) || ' m' FROM ok WHERE asset_id % 4 <> 0""")
+_add("item_source_types", lambda s, d: _shown(s, d).select("media_id", F.array_join(facts.source_types(), ",").alias("types")),
+     f"WITH {_PLACED} SELECT {_HASH} AS media_id, CASE WHEN asset_id % 5 <> 0 THEN 'WIFI' ELSE '' END AS types FROM ft WHERE timestamp_ms IS NOT NULL")
+_add("group_labels", lambda s, d: _read(readers.read_timeline, _timeline(s, d), s).filter("group_id is not null").select("group_id", facts.group_label(F.col("group_id")).alias("label")),
+     f"WITH t AS ({_TIMELINE_SQL}) SELECT group_id, 'segment ' || string_split(group_id, ':')[3] AS label FROM t WHERE group_id IS NOT NULL")
 _add("stable_json", lambda s, d: geo_events(s, d).select("asset_id", values.stable_json(F.when(F.col("asset_id") % 2 == 0, F.format_string('{"b": {"y": [%d, {"q": 1, "p": "%s"}], "x": null}, "a": true}', "asset_id", "kind")).otherwise(F.format_string('{"a":true,"b":{"x":null,"y":[%d,{"p":"%s","q":1}]}}', "asset_id", "kind"))).alias("json")),
      f"""WITH {GEO_SQL} SELECT asset_id, '{{"a":true,"b":{{"x":null,"y":[' || asset_id || ',{{"p":"' || kind || '","q":1}}]}}}}' AS json FROM ge""")
 

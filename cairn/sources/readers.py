@@ -241,9 +241,24 @@ def read_timeline(files: DataFrame, source_id: str, label: str | None = None) ->
     return out
 
 
-def read_locations(spark: SparkSession, paths: str | list[str], source_id: str, label: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(items of all files whose format is known, (path, error) of the others); an unfit file doesn't stop the rest."""
-    files = read_files(spark, paths).withColumn("format", file_format(F.col("content")))
+#: Bytes from which a file is no longer read as one row.
+LARGE_BYTES = 256 << 20
+
+
+def read_locations(spark: SparkSession, paths: str | list[str], source_id: str, label: str | None = None, large_bytes: int = LARGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(items of all files whose format is known, (path, error) of the others); an unfit file doesn't stop the rest.
+
+    Files of more than large_bytes are read as records only, in splits; other formats of that size are errors.
+    """
+    listed = spark.read.format("binaryFile").load(paths).filter(F.col("length") > large_bytes).select("path")  # no contents are read
+    large = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["path"]) for r in listed.collect()]  # large files are few
+    rows = spark.read.text(paths, wholetext=True).filter(F.col("_metadata.file_size") <= large_bytes)  # others aren't opened
+    files = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).withColumn("format", file_format(F.col("content")))
     of = lambda name: files.filter(F.col("format") == name)
     items = read_gpx(of("gpx"), source_id, label).unionByName(read_records(of("records"), source_id, label)).unionByName(read_timeline(of("timeline"), source_id, label))
-    return items, files.filter(F.col("format").startswith("error:")).select("path", F.substring("format", 8, 200).alias("error"))
+    errors = files.filter(F.col("format").startswith("error:")).select("path", F.substring("format", 8, 200).alias("error"))
+    if large:
+        texts, whole = record_texts(spark, large)
+        items = items.unionByName(record_items(texts, source_id, label))
+        errors = errors.unionByName(whole.filter("n = 0 or not closed").select("path", F.lit("a large file without a closed list of locations").alias("error")))
+    return items, errors

@@ -80,6 +80,16 @@ def test_folder_import_collects_errors(spark, folder):
     assert items.count() == 2 + 2 + 8 and errors.count() == 4
 
 
+def test_large_files_are_read_in_splits(spark, folder):
+    small, _ = readers.read_locations(spark, str(folder / "Records.json"), "s")
+    size = (folder / "Records.json").stat().st_size
+    for paths in (str(folder / "Records.json"), [str(folder / "Records.json")]):
+        large, errors = readers.read_locations(spark, paths, "s", large_bytes=size - 1)
+        assert {r.media_id for r in large.collect()} == {r.media_id for r in small.collect()} and errors.count() == 0
+    _, errors = readers.read_locations(spark, str(folder), "s", large_bytes=10)
+    assert errors.filter("error like 'a large file%'").count() > 2
+
+
 def test_catalog_generations_and_index_version(spark, folder, tmp_path):
     items, _ = readers.read_locations(spark, str(folder), "s1", "Mine")
     c = Catalog(spark, str(tmp_path / "catalog"))
