@@ -22,6 +22,7 @@ from cairn.plans.views import GEO_SQL, TRIP_SQL, geo_events, trip_points
 from cairn.sources import readers
 from cairn.sources.rescan import rescan
 from cairn.sources.steps import import_step
+from cairn.streaming.ingest import stream_imports
 
 #: Points, or timeline segments, in a file.
 POINTS, SEGMENTS = 2000, 500
@@ -261,6 +262,34 @@ def _stepped(s: SparkSession, d: str) -> DataFrame:
 
 _add("import_in_steps", lambda s, d: _record(_stepped(s, d)), _RECORDS_SQL)
 
+
+def _grouped(s: SparkSession, d: str) -> Catalog:
+    c = Catalog(s, work_path(s, "catalog"))
+    with c.transaction():
+        c.append(_read(readers.read_timeline, _timeline(s, d), s, "t"), c.prepare_import("t"))
+        c.materialise()
+    return c
+
+
+_add("catalog_groups", lambda s, d: _grouped(s, d).groups().select("group_id", "count", "start_sec", "end_sec"),
+     f"WITH t AS ({_TIMELINE_SQL}) SELECT group_id, count(DISTINCT media_id) AS count, min(timestamp_ms // 1000) AS start_sec, max(timestamp_ms // 1000) AS end_sec FROM t WHERE group_id IS NOT NULL GROUP BY group_id")
+_add("catalog_group_points", lambda s, d: _grouped(s, d).group_points().select("group_id", "sequence", "ts_sec"), f"WITH t AS ({_TIMELINE_SQL}) SELECT group_id, sequence, timestamp_ms // 1000 AS ts_sec FROM t WHERE group_id IS NOT NULL")
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """The GPX folder as a stream: one run, then files that are added to it, by the same checkpoint; half of all in batches of two files."""
+    c, check, root = Catalog(s, work_path(s, "catalog")), work_path(s, "checkpoint"), work_path(s, "folder")
+    events = geo_events(s, d)
+    late = F.floor(F.col("asset_id") / POINTS) % 2 == 1
+    for part, per_batch in ((events.filter(~late), 2), (events.filter(late), 100)):
+        _gpx(s, d, part, root)
+        stream_imports(s, f"{root}/*/*.txt", c, "a", check, files_per_batch=per_batch).awaitTermination()
+    return c.assets()
+
+
+_add("stream_import", lambda s, d: _streamed(s, d).select("asset_id", "media_id", "n_occurrences", "timestamp_ms"),
+     f"WITH {_PLACED} SELECT row_number() OVER (ORDER BY {_HASH}) - 1 AS asset_id, {_HASH} AS media_id, count(*) AS n_occurrences, min(timestamp_ms) AS timestamp_ms FROM ft WHERE timestamp_ms IS NOT NULL GROUP BY {_HASH}")
+
 # --- pages by the indexes
 
 #: Rows of a range: small ones, so that little data has many.
