@@ -39,6 +39,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of work_path()."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bounded(keys: DataFrame, limit: int | None = None) -> DataFrame:
     """keys with a broadcast hint if it was counted to hold at most limit rows; else as it is (a shuffle join follows).
 
