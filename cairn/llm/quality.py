@@ -4,6 +4,8 @@ Statistics are counted over the whole text's bytes and words, in numpy on the ex
 sample of labelled rows (MAX_ROWS feature vectors reach the driver) and flattened into complete binary arrays, which all
 rows descend at once. Null texts count as empty and get a score, too. Rows with a null label aren't learned from; if all
 learned labels are equal or there are none, the score is their share (0.5 without any). Repeated rows get equal scores.
+Null ids are scored, and never learned from. Texts may be of any length; they are counted in slices. An empty table gives no
+scores. Other columns aren't read, so their names may clash.
 """
 
 from __future__ import annotations

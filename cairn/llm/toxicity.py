@@ -5,8 +5,10 @@ with marks for its ends) and of the whole word, in hashed buckets; a text is the
 two classes reads that mean. As an unseen misspelling shares n-grams with what was learned, it scores alike. The model is
 fitted on a bounded sample of labelled rows (MAX_ROWS); the driver gets word counts of these only.
 
-Null texts count as empty: their score is that of no words. Rows with a null label aren't learned from; if learned labels
-are all equal or missing, the score is their share (0 without any). Repeated rows get equal scores.
+Null texts count as empty: their score is that of no words, the share of label 1 among what may be learned. Rows with a null label aren't learned from; if learned labels
+are all equal or missing, the score is their share (0 without any). Repeated rows get equal scores. Null ids are scored, and
+never learned from. Texts may be of any length. An empty table gives no scores. Scores read no other columns, and
+drop_toxic() keeps them, whatever their names.
 """
 
 from __future__ import annotations
