@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cairn.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
 from cairn.llm.queries import fold
 from cairn.llm.spark_io import table
-from cairn.operators.tables import saved, work_path
+from cairn.operators.tables import drop_path, saved, work_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents; each one's result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order over documents; each one's result is written as Parquet and read again, and goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = work_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
