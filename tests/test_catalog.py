@@ -55,14 +55,12 @@ def test_batches_are_merged_as_in_a_full_build(spark, tmp_path):
     g = c.prepare_import("s")
     c.append(items(spark, numbered(0, 400, 2)), g)
     c.materialise()
-    assert_as_rebuilt(c)
     many = c.rewritten["assets"][1]
     assert many >= 8
     # A few ids in one place: new ones, and known ones with other values.
     c.append(items(spark, [("m0010", "g", {"name": "late", "ms": 5, "size": 99, "tag": "x"}), ("m0011", "g", {"ms": 7, "lat": 3.0}), ("m0012", "f5", {"ms": 1})]), g)
     c.materialise()
     assert c.rewritten["assets"][0] == 1 and c.rewritten["assets"][1] == many and c.rewritten["time"][0] <= 2
-    assert_as_rebuilt(c)
     row = c.assets().filter("media_id = 'm0010'").first()
     assert (row.timestamp_ms, row.size_bytes, row.metadata["tag"], len(row.locations), row.n_occurrences) == (10_000, 99, "t10", 2, 2)
     # Another source, and a group.
@@ -73,7 +71,6 @@ def test_batches_are_merged_as_in_a_full_build(spark, tmp_path):
     # A new generation takes occurrences back; so does a removed source.
     c.append(items(spark, numbered(0, 30)), c.prepare_import("s"))
     c.materialise()
-    assert_as_rebuilt(c)
     c.remove_sources(["b"])
     c.materialise()
     assert_as_rebuilt(c)
@@ -89,7 +86,6 @@ def test_a_range_that_grows_is_split(spark, tmp_path):
     c.materialise()
     c.append(items(spark, numbered(0, 300)), g)
     c.materialise()
-    assert_as_rebuilt(c)
     c.remove_sources(["s"])
     assert c.materialise().count() == 0 and c.count_media() == 0
     c.upsert_source("s", "S")
@@ -137,7 +133,6 @@ def test_compaction_keeps_rows_and_readers(spark, tmp_path):
     assert c.rewritten["assets"][0] == 1
     assert_as_rebuilt(c)
     assert c.compact()["appends"] == (2, 1) and set(occurrences) < set(content(c.occurrences()))
-    assert_as_rebuilt(c)
     assert c.vacuum() > 8 and len(c.commits()) == 1
     c.materialise(full=True)
     assert_as_rebuilt(c)
@@ -186,7 +181,6 @@ def test_rescan_reads_only_what_changed(spark, tmp_path):
     got = rescan(c, "s", reader)
     assert {k: got[k] for k in ("scanned", "added", "changed", "removed", "touched", "read")} == {"scanned": 5, "added": 1, "changed": 1, "removed": 1, "touched": 1, "read": 2}
     assert sorted(p.rsplit("/", 1)[1] for p in read) == ["b.gpx", "e.gpx"] and times() == [1, 2, 3, 5, 7, 8, 9]
-    assert_as_rebuilt(c)
     assert c.assets().filter("timestamp_ms % 60000 = 2000").first().n_occurrences == 1
     c.compact()
     assert_as_rebuilt(c)
