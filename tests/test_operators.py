@@ -134,6 +134,51 @@ def test_the_whole_grid_is_merged_and_capped_last(spark):
     assert sorted((r["count"], r["cell_id"]) for r in QUERIES["bubbles_merged"](spark, "/root/testdata/sf0.01").collect()) == sorted(fullest)
 
 
+def merged_plainly(rows, zoom, scale):
+    """{cell id: (count, latitude, longitude, bounds)}: all pairs of circles are compared, and touching ones merged, until none touch."""
+    size = geo.world_px(zoom)
+    while True:
+        at = []
+        for r in rows:
+            q = math.sin(math.radians(max(-geo.MAX_MERCATOR_LAT, min(geo.MAX_MERCATOR_LAT, r["lat"]))))
+            step = next(v for top, v in ((2, 8), (10, 10), (100, 12), (1000, 15), (math.inf, 18)) if r["n"] < top)
+            at.append(((r["lon"] + 180) / 360 * size, (0.5 - math.log((1 + q) / (1 - q)) / (4 * math.pi)) * size, step * scale + 2))
+        root = list(range(len(rows)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if math.hypot(at[i][0] - at[j][0], at[i][1] - at[j][1]) < at[i][2] + at[j][2]:
+                    root[find(i)] = find(j)
+        parts = {}
+        for i, r in enumerate(rows):
+            parts.setdefault(find(i), []).append(r)
+        if len(parts) == len(rows):
+            return {r["id"]: (r["n"], r["lat"], r["lon"], *r["box"]) for r in rows}
+        rows = []
+        for p in parts.values():
+            n = sum(r["n"] for r in p)
+            mean = {c: p[0][c] if len(p) == 1 else sum(r[c] * r["n"] for r in p) / n for c in ("lat", "lon")}
+            rows.append({"id": min(p, key=lambda r: (-r["n"], r["id"]))["id"], "n": n, **mean, "box": [f(r["box"][k] for r in p) for k, f in enumerate((min, max, min, max))]})
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("zoom,scale", [(4, 3.0), (3, 5.0)])
+def test_merged_bubbles_equal_brute_force(spark, zoom, scale):
+    from cairn.plans.catalog_queries import _grid
+
+    grid = _grid(spark, "/root/testdata/sf0.001", zoom, 64.0).cache()
+    rows = [{"id": r.cell_id, "n": r["count"], "lat": r.latitude, "lon": r.longitude, "box": [r.min_lat, r.max_lat, r.min_lon, r.max_lon]} for r in grid.collect()]
+    got = {r.cell_id: (r["count"], r.latitude, r.longitude, r.min_lat, r.max_lat, r.min_lon, r.max_lon) for r in bubbles.merge_overlapping(grid, zoom, scale).collect()}
+    want = merged_plainly(rows, zoom, scale)
+    assert got.keys() == want.keys() and len(want) < len(rows)
+    assert all(got[k][0] == want[k][0] and got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 TRIP = "asset_id long, group_id string, ts_sec long, sequence long, latitude double, longitude double"
 
 
