@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,10 @@ def matching(df: DataFrame, spec: SearchSpec, points: bool = False) -> DataFrame
 def searchable(df: DataFrame) -> DataFrame:
     """Items with a time or coordinates; others are in no index."""
     return df.filter(F.col("timestamp_ms").isNotNull() | geo_is(True))
+
+
+def on_map(df: DataFrame, spec: SearchSpec, compat_map_start: bool = False) -> DataFrame:
+    """Located items that a map shows: those whose interval meets the range. compat_map_start: where all kinds, visits or
+    activities are asked for, what ended before the start is shown as well, as maps used to."""
+    early = compat_map_start and spec.kind in (None, "all", "timeline_visit", "timeline_activity")
+    return matching(df, replace(spec, has_geo=True, start_ms=None if early else spec.start_ms))

@@ -321,6 +321,11 @@ _add("search_from_url", lambda s, d: search.time_page(geo_events(s, d), _URL).se
       ORDER BY ts_sec, asset_id LIMIT 50 OFFSET 50""")
 _add("group_search_none", lambda s, d: _flat(groups.group_search(groups.group_summary(_members(s, d)), SearchSpec(), 0, probe=True)), f"WITH {_GROUP_SQL} SELECT {', '.join(_GROUP)} FROM g ORDER BY start_sec DESC, end_sec DESC, group_id DESC LIMIT 1")
 
+for _name, _compat, _kind in (("map_points", False, None), ("map_points_compat", True, None), ("map_points_compat_kind", True, "video")):
+    _all = _compat and _kind is None
+    _add(_name, lambda s, d, c=_compat, k=_kind: predicates.on_map(geo_events(s, d), SearchSpec(kind=k, start_ms=catalog_queries.T1, end_ms=catalog_queries.T2), c).select("asset_id", "kind"),
+         f"""WITH {GEO_SQL} SELECT asset_id, kind FROM ge WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND timestamp_ms <= {catalog_queries.T2} {'' if _all else f'AND coalesce(end_timestamp_ms, timestamp_ms) >= {catalog_queries.T1}'} {f"AND kind = '{_kind}'" if _kind else ''}""")
+
 # --- scalar functions and filters
 
 _add("coordinate_validity", lambda s, d: geo_events(s, d).select("asset_id", geo.valid_coordinate(F.col("latitude") * 1.5, F.col("longitude") * 1.5).alias("valid")),
