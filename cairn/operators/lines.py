@@ -58,10 +58,10 @@ def _handed(df: DataFrame, small: DataFrame, keys: list[str], *names: str) -> Da
 def _neighbour(df: DataFrame, value: Column, name: str, keys: list[str], ahead: bool = False) -> DataFrame:
     """df with name: the nearest value that isn't null before each point (or ahead of it) among points with equal keys of its trip.
 
-    keys are 0-based numbers that grow along the trip.
+    keys are 0-based numbers that grow along the trip. Ahead, value may not be null: Spark would look for one anew from each row.
     """
     pick, span = (F.first, _AFTER) if ahead else (F.last, _BEFORE)
-    own = pick(value, ignorenulls=True).over(_ordered(df, *keys).rowsBetween(*span))
+    own = F.lead(value).over(_ordered(df, *keys)) if ahead else F.last(value, ignorenulls=True).over(_ordered(df, *keys).rowsBetween(*span))
     if BLOCK not in df.columns:
         return df.withColumn(name, own)
     there = F.when(value.isNotNull(), F.struct(value.alias("v"), *keys))
