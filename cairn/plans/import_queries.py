@@ -293,7 +293,7 @@ _add("stream_import", lambda s, d: _streamed(s, d).select("asset_id", "media_id"
 # --- pages by the indexes
 
 #: Rows of a range: small ones, so that little data has many.
-_RANGE = 200
+_RANGE = 1000
 
 
 def _index(s: SparkSession, d: str) -> index.Index:
