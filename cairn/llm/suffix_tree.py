@@ -4,7 +4,8 @@ The model reads the bytes of lower-cased words with single spaces between them a
 alphabet of 64 (rare bytes share a symbol and are equally likely within it). The tree holds contexts of 0 to DEPTH symbols.
 A context is kept if the next symbol's distribution after it diverges from that after its suffix by enough: its count times
 the divergence must reach GAIN. All such contexts, with their suffixes, make the tree. A kept context's distribution is its
-counts' smoothed with its suffix's. A symbol is scored by the longest kept suffix before it.
+counts' smoothed with its suffix's, which weighs WEIGHT times the number of different symbols that follow the context
+(Witten-Bell for 1). A symbol is scored by the longest kept suffix before it.
 
 All learned rows are counted: symbol grams and words are counted in the tasks, then summed by key. The tree is a table; its
 MAX_STATES most frequent contexts (a tree as well: a suffix is no rarer) and the most frequent words go to every task. Other
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from cairn.llm.words import U64, buffers, lower_ascii, mix64, not_space, slices, words
 from cairn.operators.tables import bounded, join_groups, saved
 
-DEPTH, MAX_STATES, GAIN, SMOOTH = 5, 1 << 17, 12.0, 8.0
+DEPTH, MAX_STATES, GAIN, WEIGHT = 5, 1 << 17, 12.0, 2.0
 #: Bytes of text that are turned into symbols at once; temporary arrays take some 60 times as much.
 SLICE = 1 << 20
 #: Words whose counts go to every task.
@@ -163,9 +164,10 @@ def build_tree(contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root:
             break
         parent = np.searchsorted(known, own & ((1 << (6 * (d - 1))) - 1))
         total = np.bincount(of, n, len(own))
-        p = p[parent] * SMOOTH
+        smooth = WEIGHT * np.bincount(of, minlength=len(own))  # a row for a context and symbol
+        p = p[parent] * smooth[:, None]
         p[of, sym] += n
-        p /= (total + SMOOTH)[:, None]
+        p /= (total + smooth)[:, None]
         child[-1][parent, own >> (6 * (d - 1))] = first + len(known) + np.arange(len(own))
         first += len(known)
         logs.append(np.log10(p).astype(np.float32))
@@ -258,10 +260,10 @@ def _gram_logs(grams: DataFrame, kept: DataFrame, root: np.ndarray) -> DataFrame
     base = F.array(*[F.lit(float(x)) for x in (root + 0.5) / (root.sum() + 32.0)])
     out = grams.withColumn("sym", F.col("g").bitwiseAND(F.lit(63)).cast("int")).withColumn("p", F.get(base, F.col("sym")))
     for d in range(1, DEPTH + 1):
-        own = kept.filter(F.col("d") == d).select("ctx", "total", F.map_from_entries("nexts").alias("nexts"))
+        own = kept.filter(F.col("d") == d).select("ctx", "total", (WEIGHT * F.size("nexts")).alias("smooth"), F.map_from_entries("nexts").alias("nexts"))
         # There are at most 4096 contexts of two symbols, so they are broadcast; longer ones meet 64 ** 3 grams each at most.
         out = out.withColumn("ctx", F.shiftright("g", 6).bitwiseAND(F.lit((1 << (6 * d)) - 1))).join(F.broadcast(own) if d < 3 else own, "ctx", "left")
-        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce(F.col("nexts")[F.col("sym")], F.lit(0)) + SMOOTH * F.col("p")) / (F.col("total") + SMOOTH))
+        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce(F.col("nexts")[F.col("sym")], F.lit(0)) + F.col("smooth") * F.col("p")) / (F.col("total") + F.col("smooth")))
         out = out.select("g", "sym", p.alias("p"))
     return out.select("g", F.log10("p").alias("logp"))
 

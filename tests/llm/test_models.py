@@ -202,7 +202,8 @@ def plain_scores(docs, learn):
     def p(c, x):
         if not c:
             return (counts[c][x] + 0.5) / (total.get(c, 0) + 32)
-        return (counts[c][x] + suffix_tree.SMOOTH * p(c[1:], x)) / (total[c] + suffix_tree.SMOOTH)
+        smooth = suffix_tree.WEIGHT * len(counts[c])
+        return (counts[c][x] + smooth * p(c[1:], x)) / (total[c] + smooth)
 
     out = {}
     for i, t in docs:
