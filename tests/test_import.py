@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.operators.catalog import Catalog
 from cairn.sources import readers
@@ -204,3 +205,24 @@ def test_import_in_steps(spark, tmp_path):
     (tmp_path / "odd.json").write_text('{"places": []}')
     with pytest.raises(Unfinished):
         import_in_steps(Catalog(spark, str(tmp_path / "odd")), str(tmp_path / "odd.json"), "s")
+
+
+def test_timeline_files_are_parsed_once_a_kind_and_plain_places_are_no_json(spark, tmp_path):
+    segment = '{"startTime":"2024-01-01T00:00:00Z","endTime":"2024-01-01T01:00:00Z","timelinePath":[{"point":"1.5°, 2.5°","time":"2024-01-01T00:00:00Z"},{"point":"{\\"latLng\\":\\"3.5°, 4.5°\\"}","time":"2024-01-01T00:01:00Z"}]}'
+    (tmp_path / "t.json").write_text('{"semanticSegments":[null,' + segment + "]}")
+    found = readers.read_timeline(readers.read_files(spark, str(tmp_path)), "s").filter("group_id is not null")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert [(r.latitude, r.longitude, r.sequence) for r in found.orderBy("sequence").collect()] == [(1.5, 2.5, 0), (3.5, 4.5, 1)]
+
+
+def test_an_exported_folder_has_a_file_a_row_and_no_folders(spark, tmp_path):
+    import os
+
+    from cairn.plans.import_queries import _written
+
+    rows = spark.range(10).select(F.col("id").alias("asset_id"))
+    path = _written(rows, 3, F.when(F.col("asset_id") < 8, F.col("asset_id").cast("string")), "[", "]", ",", "")
+    names = [n for n in os.listdir(path.removeprefix("file:")) if n.endswith(".txt")]
+    assert len(names) == 3  # none for the ids from 9 on
+    assert sorted(r.content.strip() for r in readers.read_files(spark, path).collect()) == ["[0,1,2]", "[3,4,5]", "[6,7]"]
