@@ -100,3 +100,14 @@ def test_a_world_wide_line_makes_as_many_rows_as_tiles_it_crosses(spark):
     (x1, y1), (x2, y2) = pixel(-80.0, -179.0, 14), pixel(80.0, 179.0, 14)
     crossed = abs(x2 // 256 - x1 // 256) + abs(y2 // 256 - y1 // 256) + 1
     assert abs(n - crossed) <= 2  # corners
+
+
+def test_many_blocks_are_cut_by_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "CUTS", 4)
+    e = F.col("id")
+    points = spark.range(1000).select(F.lit("g").alias("group_id"), e.alias("asset_id"), e.alias("sequence"), e.alias("ts_sec"), F.lit(1.0).alias("latitude"), F.lit(1.0).alias("longitude"))
+    cut = lines.in_blocks(points, 5)
+    blocks = cut.groupBy(lines.BLOCK).agg(F.count("*").alias("n"), F.min("sequence").alias("lo"), F.max("sequence").alias("hi")).orderBy(lines.BLOCK).collect()
+    assert sum(b.n for b in blocks) == 1000 and max(b.n for b in blocks) <= 5
+    assert all(a.hi < b.lo for a, b in zip(blocks, blocks[1:]))
+    assert len({b[lines.BLOCK] >> 33 for b in blocks}) <= 5
