@@ -339,3 +339,19 @@ def test_search_of_the_catalog(spark, tmp_path):
         assert [(r.pos, r.asset_id, r.source_id, len(r.locations)) for r in got] == [(r.pos, r.asset_id, r.source_id, len(r.locations)) for r in want]
     page = c.search(SearchSpec(limit=5))
     assert len([p for p in page.inputFiles()]) <= 2
+
+
+def test_small_ranges_share_tasks_and_large_ones_do_not(spark, tmp_path, monkeypatch):
+    from cairn.operators import ranges as rg
+
+    monkeypatch.setattr(rg, "TASKS", 4)
+    rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias(rg.KEY), "id")
+    table = rg.write_ranges(rows, str(tmp_path / "t"), 10)
+    tasks = {int(r["path"].rpartition("r_=")[2]) >> 32 for r in table.ranges}
+    assert len(tasks) <= 4 and 100 <= len(table.ranges) <= 104 and max(r["n"] for r in table.ranges) <= 10
+    assert [r["at"] for r in table.numbered(spark, "at").orderBy("id").collect()] == list(range(1000))
+    # An update of all ranges: neighbours share tasks by their sizes, not by a hash.
+    new = spark.range(500).select(F.lpad(F.col("id").cast("string"), 6, "0").alias(rg.KEY), (F.col("id") + 5000).alias("id"))
+    again, stale = rg.update_ranges(table, new.select(rg.KEY), new, str(tmp_path / "t"), 10)
+    assert again.rows == 1000 and max(r["n"] for r in again.ranges) <= 10 and len(stale) >= 50
+    assert [r["at"] for r in again.numbered(spark, "at").orderBy(F.expr("if(id >= 5000, id - 5000, id)")).collect()] == list(range(1000))
