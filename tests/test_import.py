@@ -226,3 +226,17 @@ def test_an_exported_folder_has_a_file_a_row_and_no_folders(spark, tmp_path):
     names = [n for n in os.listdir(path.removeprefix("file:")) if n.endswith(".txt")]
     assert len(names) == 3  # none for the ids from 9 on
     assert sorted(r.content.strip() for r in readers.read_files(spark, path).collect()) == ["[0,1,2]", "[3,4,5]", "[6,7]"]
+
+
+def test_streamed_batches_are_merged_together_and_all_at_the_end(spark, folder, tmp_path, monkeypatch):
+    merges = []
+    once = Catalog.materialise
+    monkeypatch.setattr(Catalog, "materialise", lambda self, full=False: merges.append(1) or once(self, full))
+    root = tmp_path / "many"
+    root.mkdir()
+    for k in range(5):
+        (root / f"{k}.gpx").write_text(f'<gpx><trkpt lat="{k}" lon="1"><time>2024-01-01T00:00:0{k}Z</time></trkpt></gpx>')
+    c = Catalog(spark, str(tmp_path / "catalog"))
+    stream_imports(spark, str(root), c, "s", str(tmp_path / "check"), files_per_batch=1).awaitTermination()
+    assert len(c._now["appends"]) == 5 and len(merges) < 5
+    assert c.up_to_date() and c.assets().count() == 5
