@@ -355,3 +355,24 @@ def test_small_ranges_share_tasks_and_large_ones_do_not(spark, tmp_path, monkeyp
     again, stale = rg.update_ranges(table, new.select(rg.KEY), new, str(tmp_path / "t"), 10)
     assert again.rows == 1000 and max(r["n"] for r in again.ranges) <= 10 and len(stale) >= 50
     assert [r["at"] for r in again.numbered(spark, "at").orderBy(F.expr("if(id >= 5000, id - 5000, id)")).collect()] == list(range(1000))
+
+
+def test_small_ranges_share_folders_and_are_told_apart(spark, tmp_path, monkeypatch):
+    from cairn.operators import ranges as rg
+
+    monkeypatch.setattr(rg, "TASKS", 4)
+    rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias(rg.KEY), "id")
+    table = rg.write_ranges(rows, str(tmp_path / "t"), 10)
+    assert len({r["path"] for r in table.ranges}) <= 4 < 100 <= len(table.ranges)  # else each range is a listing of its own
+    few = [table.ranges[k] for k in (3, 4, 50)]
+    got = [r["id"] for r in table.read(spark, few).orderBy("id").collect()]
+    assert got == [i for i in range(1000) if any(r["lo"] <= f"{i:06d}" <= r["hi"] for r in few)] and len(got) == sum(r["n"] for r in few)
+    # Ranges that an update replaced stay in the folders that others are in, and aren't read.
+    new = spark.range(100, 103).select(F.lpad(F.col("id").cast("string"), 6, "0").alias(rg.KEY), (F.col("id") + 5000).alias("id"))
+    again, stale = rg.update_ranges(table, new.select(rg.KEY), new, str(tmp_path / "t"), 10)
+    want = sorted([i for i in range(1000) if not 100 <= i < 103] + [5100, 5101, 5102])
+    assert len(stale) <= 2 and [r["id"] for r in again.read(spark).orderBy("id").collect()] == want
+    monkeypatch.setattr(rg, "MAX_IDS", 5)
+    monkeypatch.setattr(rg, "MAX_SPANS", 1)
+    assert [r["id"] for r in again.read(spark).orderBy("id").collect()] == want
+    assert [r["id"] for r in table.read(spark).orderBy("id").collect()] == list(range(1000))
