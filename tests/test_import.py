@@ -240,3 +240,11 @@ def test_streamed_batches_are_merged_together_and_all_at_the_end(spark, folder,
     stream_imports(spark, str(root), c, "s", str(tmp_path / "check"), files_per_batch=1).awaitTermination()
     assert len(c._now["appends"]) == 5 and len(merges) < 5
     assert c.up_to_date() and c.assets().count() == 5
+
+
+def test_texts_are_not_parsed_again_to_filter_them(spark, folder):
+    files = readers.read_files(spark, str(folder))
+    for items, parse in ((readers.read_gpx(files, "a"), "regexp_extract"), (readers.read_records(files, "b"), "try_to_timestamp")):
+        plan = items._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        filters = [x for x in plan if x.lstrip(" :+-").startswith("Filter")]
+        assert filters and not any(parse in x for x in filters)
