@@ -376,3 +376,18 @@ def test_small_ranges_share_folders_and_are_told_apart(spark, tmp_path, monkeypa
     monkeypatch.setattr(rg, "MAX_SPANS", 1)
     assert [r["id"] for r in again.read(spark).orderBy("id").collect()] == want
     assert [r["id"] for r in table.read(spark).orderBy("id").collect()] == list(range(1000))
+
+
+def test_ids_of_many_states_are_merged_as_others(spark, monkeypatch):
+    from cairn.operators import catalog as cat
+
+    rows = spark.range(400).select(F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("m"), (F.col("id") % 7).cast("string"))).alias("media_id"), F.when(F.col("id") % 3 == 1, F.col("id")).alias("timestamp_ms"), F.col("id").alias("ingest_seq"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("metadata"))
+    states = cat.as_states(cat.as_items(rows).withColumn("ingest_seq", F.monotonically_increasing_id()).join(rows.select("media_id").distinct(), "media_id"))
+    states = states.localCheckpoint()
+    plain = content(cat.merge_states(states).select("media_id", "n_occurrences", "timestamp_ms", "metadata"))
+    # States are dealt as they are: no aggregate combines them before the exchange.
+    plan = cat.merge_states(states)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "REPARTITION_BY_COL" in plan
+    monkeypatch.setattr(cat, "HOT_STATES", 100)
+    assert cat._hot_ids(states) == ["hot"]
+    assert content(cat.merge_states(states).select("media_id", "n_occurrences", "timestamp_ms", "metadata")) == plain and len(plain) == 8
