@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are worked on at once: temporary arrays take some 40 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15

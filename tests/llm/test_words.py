@@ -46,3 +46,15 @@ def test_bit_tables_miss_no_key(spark):
     assert all(r.in_ for r in rows if (r.bits or 0) % 7 == 0 and (r.bits or 0) < 5000)
     assert sum(r.in_ for r in rows if (r.bits or 0) % 7 or (r.bits or 0) >= 5000) < 0.1 * len(rows)
     assert not any(r.in_ for r in spark_io.marked(df, spark_io.bit_table(keys.limit(0)), "in_", F.col("bits"), F.col("row")).collect())
+
+
+def test_splitting_texts_takes_little_memory():
+    import tracemalloc
+
+    w._POWER.clear()
+    texts = pa.array(["some words of a text " * 200] * 1000)  # 4 MB
+    tracemalloc.start()
+    w.words(texts, w.not_space())
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 16 << 20 and peak < 80 << 20
