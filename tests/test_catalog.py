@@ -306,6 +306,36 @@ def test_nearest_by_the_index(layout, spec, part):
     assert index.rows <= part * index.place.rows
 
 
+@pytest.mark.parametrize("name", ["time_page_desc", "time_page_asc", "time_page_interval_overlap"])
+def test_indexed_time_pages_of_long_ids(spark, tmp_path, name):
+    """Media ids are cut to 7 digits, so ids beyond them neither follow asset ids nor are unique; many events of a second."""
+    import duckdb
+
+    from cairn.plans.import_queries import ORACLES, QUERIES
+
+    rows = spark.range(500).select(F.explode(F.array(*[F.col("id") + x for x in (0, 999_990, 9_999_000, 10_000_000, 35_999_000)])).alias("event_id"), F.col("id").alias("user_id"))
+    rows = rows.withColumns({"ts": F.timestamp_seconds(F.lit(catalog_queries.T1 // 1000) + F.col("user_id") % 2), "event_type": F.lit("view")})
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set TimeZone = 'UTC'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(ORACLES[f"indexed_{name}"])
+    names = [d[0] for d in found.description]
+    got = QUERIES[f"indexed_{name}"](spark, str(tmp_path)).collect()
+    assert [tuple(r[c] for c in names) for r in got] == found.fetchall() and len(got) >= 200
+
+
+def test_an_index_with_ties_is_updated(spark, tmp_path):
+    rows = [(f"m{-k % 7}{k:03d}", 2 * k - 100, 1_000_000 + 1000 * (k % 2)) for k in range(100)]
+    points = spark.createDataFrame(rows, "media_id string, asset_id long, timestamp_ms long").selectExpr("*", "'image' kind", "null::long end_timestamp_ms", "asset_id / 10.0D latitude", "1.0D longitude")
+    index = ix.build_index(points, str(tmp_path / "i"), per_range=10, ties="asset_id")
+    gone = points.filter("asset_id between -10 and 10")
+    new = gone.selectExpr("* except (asset_id)", "asset_id + 1 asset_id")
+    index, _ = ix.update_index(index, gone, new, str(tmp_path / "i"), per_range=10)
+    want = search.time_page(points.join(gone, "asset_id", "left_anti").unionByName(new), SearchSpec(limit=200))
+    assert [r.asset_id for r in index.time_page(SearchSpec(limit=200)).collect()] == [r.asset_id for r in want.collect()]
+
+
 def test_nearest_of_one_place(spark, tmp_path):
     points = geo_events(spark, DATA).withColumns({c: F.floor(F.col(c) / 10) * 10.0 for c in ("latitude", "longitude")})
     index = ix.build_index(points, str(tmp_path), per_range=60)
