@@ -6,10 +6,12 @@ The counts are summed per document; linked sets have at least p/q of their n-gra
 are candidates. Of those, for documents of like size the order is cut into m fragments. Two sets with a Jaccard similarity of p/q or more differ in at most
 D = (q-p)/(q+p) * (|x|+|y|) n-grams, so with m > D + s fragments they agree in more than s of them: a hash of each
 fragment's n-grams finds candidates, none is missed, and common n-grams alone don't make one, as a fragment agrees as a
-whole. Each candidate's partial overlaps are counted in each fragment of a coarser cut and summed per pair.
+whole. Of its fragments, a set leaves out the most frequent ones, as many as linked sets have at least in common, less one: a
+rarer one in common remains, and passages of many sets don't chain them. Each candidate's partial overlaps are counted in each
+fragment of a coarser cut and summed per pair.
 
-Documents with equal sets are one class. The candidates' graph (each class with the smallest of its fragment's, first within
-a task, then of all) splits the classes into clusters. Each class is first compared with the one class that it shares most
+Documents with equal sets are one class. The candidates' graph (each class with the smallest of its fragment's) splits the
+classes into clusters. Each class is first compared with the one class that it shares most
 fragments with, in blocks of bounded size; in a group of near copies this links nearly all. What isn't of one component then
 is compared within its cluster: bands of sizes are cut into blocks, and every pair of blocks that may hold links between
 different components is one group. A group sums the partial overlaps of its pairs and returns a spanning forest of its
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from cairn.llm.spark_io import bit_table, fresh_name, marked
 from cairn.llm.words import mix64, not_space, slices, words
 from cairn.operators.components import connected_components
-from cairn.operators.tables import join_groups, saved
+from cairn.operators.tables import join_groups, saved, stored
 
 U64 = np.uint64
 #: Fragments of the coarser cut in which overlaps are counted.
@@ -45,7 +47,7 @@ BLOCK_GRAMS, BLOCK_DOCS = 400_000, 384
 FRAGMENT_GRAMS, HELD_GRAMS = 2_000_000, 1_000_000
 #: Stands for several documents of a task.
 SEVERAL = 0
-#: Fragments that a task holds before it ties and sends them.
+#: Fragments that a task holds before it sends them.
 HELD_SIGS = 500_000
 #: Distinct sets that a task remembers, so as not to send their fragments twice.
 SEEN = 500_000
@@ -112,20 +114,26 @@ def set_key(g: np.ndarray) -> int:
     return int(mix64(np.array([np.add.reduce(mix64(g ^ U64(0x5851F42D4C957F2D))) + U64(len(g))], U64))[0] >> U64(1))
 
 
-def fragments(g: np.ndarray, rule: Rule) -> list[np.ndarray]:
-    """The signatures of a set's fragments, for each of its classes."""
+def fragments(g: np.ndarray, rule: Rule) -> list[tuple[int, int, np.ndarray]]:
+    """Of a set, for each of its classes: the class, the number of its fragments that may be left out, and their signatures.
+
+    A linked set has all of its fragments but those that one of the differing n-grams is in; left out may be one less than it
+    has at least: the last ones of an order that holds for all sets, and one in common is still among the others of both.
+    Empty fragments count only where sets may have no other ones in common, as a class of their own.
+    """
     out = []
     for c in rule.classes(len(g)):
-        m, d = rule.cut(c)
+        m, _ = rule.cut(c)
+        d = rule.differ(len(g), min(len(g) * rule.den // rule.num, rule.top(c)))
         if not d:  # only equal sets are linked
             continue
         part = ((g >> U64(32)) * U64(m)) >> U64(32)
         head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         content = np.add.reduceat(mix64(g), head)
         where = part[head] + U64(c << 40)
-        out.append(mix64(content ^ mix64(where)))
-        if m - len(head) >= m - d:  # such sets may agree in empty fragments only
-            out.append(mix64(np.setdiff1d(np.arange(m, dtype=U64), part[head]) + U64((c << 40) | (1 << 39))))
+        out.append((c, max(0, len(head) - d - 1), mix64(content ^ mix64(where))))
+        if len(head) <= d:  # such sets may agree in empty fragments only
+            out.append((-1 - c, 0, mix64(np.setdiff1d(np.arange(m, dtype=U64), part[head]) + U64((c << 40) | (1 << 39)))))
     return out
 
 
@@ -225,46 +233,42 @@ def _common(df: DataFrame, rule: Rule, parts: int, wide: bool) -> DataFrame:
 
 
 def _stars(df: DataFrame, rule: Rule) -> DataFrame:
-    """(k, c, w): each set's key, a smaller one with w equal fragments. Sets with an equal fragment are connected by such rows.
+    """(k, c, w): each set's key, a smaller one with w equal fragments. Linked sets are connected by such rows.
 
-    A task ties the sets of a fragment to the smallest that it holds; only that one is sent on, to meet those of other tasks.
-    So a fragment that many sets share has one row for each task, or for each HELD_SIGS fragments of one.
+    Fragments are ordered by the number of sets that have them. Those of one set tie nothing, and each set leaves out its most
+    frequent ones, as many as it may: a passage that chains sets that aren't alike ties few of them.
     """
-    names = ["sig", "k", "c", "w"]
-
-    def tied(sigs: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        s, k = np.concatenate(sigs), np.concatenate(keys)
-        order = np.lexsort((k, s))
-        s, k = s[order], k[order]
-        head = np.r_[True, s[1:] != s[:-1]]
-        low = k[head][np.cumsum(head) - 1]
-        pair, w = np.unique(np.stack([k, low])[:, k != low], axis=1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int64()), pa.array(pair[0]), pa.array(pair[1]), pa.array(w.astype(np.int64))], names)
-        yield pa.RecordBatch.from_arrays([pa.array(s[head].view(np.int64)), pa.array(k[head]), pa.nulls(int(head.sum()), pa.int64()), pa.array(np.ones(int(head.sum()), np.int64))], names)
+    names = ["sig", "k", "cls", "out"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        keys, sigs, rows = [], [], 0
+        held, rows = [], 0
+
+        def batch() -> pa.RecordBatch:
+            columns = [np.concatenate([x.view(np.int64) for _, _, _, x in held]), *[np.repeat(np.array([h[i] for h in held], t), [len(h[3]) for h in held]) for i, t in ((0, np.int64), (1, np.int32), (2, np.int32))]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
         for b in batches:
             for g in gram_sets(b.column(0), rule.n):
                 if not len(g) or (k := set_key(g)) in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(k)
-                for s in fragments(g, rule):
-                    sigs.append(s)
-                    keys.append(np.full(len(s), k, np.int64))
+                for c, out, s in fragments(g, rule):
+                    held.append((k, c, out, s))
                     rows += len(s)
                 if rows > HELD_SIGS:
-                    yield from tied(sigs, keys)
-                    keys, sigs, rows = [], [], 0
+                    yield batch()
+                    held, rows = [], 0
         if rows:
-            yield from tied(sigs, keys)
-
-    rows = saved(df.select("text").mapInArrow(run, "sig long, k long, c long, w long"))
-    low = F.min("k").over(Window.partitionBy("sig"))
-    across = rows.filter("sig is not null").withColumn("c", low).filter("k > c").select("k", "c", "w")
-    return across.unionByName(rows.filter("sig is null").select("k", "c", "w")).groupBy("k", "c").agg(F.sum("w").alias("w"))
+            yield batch()
+
+    rows = stored(df.select("text").mapInArrow(run, "sig long, k long, cls int, out int"))
+    common = saved(rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1"))
+    place = F.row_number().over(Window.partitionBy("k", "cls").orderBy(F.desc("n"), F.desc("sig")))
+    keys = saved(join_groups(rows, common, ["sig"]).withColumn("place", place).filter("place > out").select("sig", "k"))
+    low = saved(keys.groupBy("sig").agg(F.min("k").alias("c"), F.count("*").alias("n")).filter("n > 1"))
+    return join_groups(keys, low, ["sig"]).filter("k > c").groupBy("k", "c").agg(F.count("*").alias("w"))
 
 
 def _grams(df: DataFrame, rule: Rule) -> DataFrame:

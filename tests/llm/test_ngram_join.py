@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -143,3 +144,34 @@ def test_clusters_of_several_components(docs_of, monkeypatch, few):
             rows.append((len(rows), " ".join(edited(rng, passage + own, rng.randint(0, 3)))))
     got = ngram_join.ngram_components(docs_of(*rows), n=3, num=90, den=100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90, 100)
+
+
+def test_a_passage_of_many_documents_ties_none_that_are_not_alike(docs_of):
+    """Else documents that share a passage are one cluster, in which all pairs are compared."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 100_000)}"
+    passage = [word() for _ in range(40)]
+    rows = [(i, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])) for i in range(60)]
+    rows += [(100 + i, " ".join(edited(rng, rows[i][1].split(), 1))) for i in range(5)]
+    stars = ngram_join._stars(docs_of(*rows), ngram_join.Rule(5, 80, 100))
+    clusters = collections.Counter(r.component for r in connected_components(stars.selectExpr("k AS a", "c AS b")).collect())
+    assert sorted(clusters.values()) == [1] * 5  # the larger ends of five pairs
+    got = ngram_join.ngram_components(docs_of(*rows), n=5, num=80, den=100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 5, 80, 100)
+
+
+@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
+def test_fragments_left_out_lose_no_linked_pair(n, num):
+    """Whatever the order: linked sets have a fragment in common that neither leaves out."""
+    rule, rng, linked = ngram_join.Rule(n, num, 100), np.random.default_rng(n), 0
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 1 << 64, rng.integers(1, 90), np.uint64))
+        size = int(rng.integers(1, len(a) + 1)) if rng.random() < 0.3 else len(a) - int(rng.integers(0, len(a) // 8 + 1))
+        b = np.unique(np.r_[rng.choice(a, size, False), rng.integers(0, 1 << 64, rng.integers(0, len(a) // 8 + 2), np.uint64)])
+        if len(np.setxor1d(a, b)) and 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+            order, kept = np.uint64(rng.integers(0, 1 << 64, dtype=np.uint64)), []
+            for g in (a, b):
+                kept.append({(c, s) for c, out, sigs in ngram_join.fragments(g, rule) for s in sorted(sigs.tolist(), key=lambda x: x ^ int(order))[: len(sigs) - out]})
+            assert kept[0] & kept[1]
+            linked += 1
+    assert linked > 100
