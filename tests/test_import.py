@@ -248,3 +248,18 @@ def test_texts_are_not_parsed_again_to_filter_them(spark, folder):
         plan = items._jdf.queryExecution().optimizedPlan().toString().splitlines()
         filters = [x for x in plan if x.lstrip(" :+-").startswith("Filter")]
         assert filters and not any(parse in x for x in filters)
+
+
+def test_a_streamed_batch_has_two_jobs_and_a_small_stream_one_merge(spark, folder, tmp_path, monkeypatch):
+    merges, once = [], Catalog.materialise
+    monkeypatch.setattr(Catalog, "materialise", lambda self, full=False: merges.append(1) or once(self, full))
+    root = tmp_path / "many"
+    root.mkdir()
+    for k in range(6):
+        (root / f"{k}.gpx").write_text(f'<gpx><trkpt lat="{k}" lon="1"><time>2024-01-01T00:00:0{k}Z</time></trkpt></gpx>')
+    c = Catalog(spark, str(tmp_path / "catalog"))
+    query = stream_imports(spark, str(root), c, "s", str(tmp_path / "check"), files_per_batch=1)
+    query.awaitTermination()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))
+    assert len(jobs) == 2 * 6 and len(merges) == 1
+    assert c.up_to_date() and c.assets().count() == 6
