@@ -421,3 +421,23 @@ def test_ids_of_many_states_are_merged_as_others(spark, monkeypatch):
     monkeypatch.setattr(cat, "HOT_STATES", 100)
     assert cat._hot_ids(states) == ["hot"]
     assert content(cat.merge_states(states).select("media_id", "n_occurrences", "timestamp_ms", "metadata")) == plain and len(plain) == 8
+
+
+def test_ranges_that_lose_none_or_all_of_their_rows_are_not_joined(spark, tmp_path, monkeypatch):
+    from cairn.operators import ranges
+
+    keyed = lambda ids, by: spark.createDataFrame([(f"{i:04d}", i * by) for i in ids], "key_ string, v long")
+    found = lambda table: {r["key_"]: r["v"] for r in table.read(spark).collect()}
+    joined, once = [], ranges.bounded
+    monkeypatch.setattr(ranges, "bounded", lambda keys, *a: joined.append(1) or once(keys, *a))
+    old = ranges.write_ranges(keyed(range(0, 400, 2), 1), str(tmp_path / "t"), 20)
+    assert len(old.ranges) > 5
+    all_of = [int(k) for r in old.ranges[1:3] for k in range(int(r["lo"]), int(r["hi"]) + 1, 2)]
+    gone = {r["id"]: r["n"] for r in old.ranges[1:3]}
+    new, stale = ranges.update_ranges(old, keyed(all_of, 1), keyed([*all_of, 399, 401], 3), str(tmp_path / "t"), 20, gone=gone)
+    want = {f"{i:04d}": i for i in range(0, 400, 2)} | {f"{i:04d}": 3 * i for i in [*all_of, 399, 401]}
+    assert not joined and len(stale) == 3 and found(new) == want and new.rows == len(want)
+    # Some rows of a range, and a key that isn't there: it is looked up which rows go.
+    new, stale = ranges.update_ranges(new, keyed([0, 2, 3], 1), keyed([2], 5), str(tmp_path / "t"), 20)
+    want.pop("0000")
+    assert len(joined) == 2 and len(stale) == 1 and found(new) == want | {"0002": 10} and new.rows == len(want)
